@@ -3,23 +3,26 @@
 A rule is a predicate and a list of actions. Every rule sees what the rules before it did;
 within one rule the predicate is judged once, on the row as the rule finds it.
 
-Written down literally that is one projection per rule. Most rules do not read what the
-rules next to them write, though, so neighbouring rules are compiled together:
-
-* settings of one attribute become one ``CASE`` with the last rule first, which stops at
-  the first match instead of evaluating every rule of a row;
-* added tags become one ``concat``, which copies the array once instead of once per rule;
-* deletions become one filter.
-
-A rule that reads or repeats something its group writes starts the next group, so the
-result is the one that rule-by-rule evaluation gives. Everything is row-local: no shuffle,
-no Python at run time, and the same code serves streams.
+Written down literally that is one projection per rule, each rewriting the row. Instead,
+the only thing computed per rule is whether it *fires*. What a rule would see of earlier
+rules follows from their flags: an attribute is the value of the last setter that fired, a
+tag is present if the event came with it or some adder fired. Thus
+
+* flags that do not depend on other flags are computed side by side, and the number of
+  projections is the depth of the dependencies, usually two or three, not the number of rules;
+* settings of one attribute become one ``CASE`` with the last rule first, and a flag nobody
+  else needs is evaluated inside it, so a row stops at its first match;
+* added tags become one ``concat``, in the order of the rules;
+* deletions become filters, placed as early as their flags allow.
+
+Everything is row-local: no shuffle, no Python at run time, and the same code serves streams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -153,18 +156,26 @@ LIVE_RULES = Dialect(
 # -- predicates --------------------------------------------------------------------------
 
 
-def predicate_column(predicate, dialect: Dialect = TABLE_RULES) -> Column:
-    """The predicate over the columns of a flat event table."""
+def predicate_column(
+    predicate,
+    dialect: Dialect = TABLE_RULES,
+    attribute: Callable[[str], Column] = F.col,
+    tagged: Callable[[str], Column] = lambda tag: has_tag(F.col("tags"), tag),
+) -> Column:
+    """The predicate over the columns of a flat event table.
+
+    ``attribute`` and ``tagged`` say how to obtain an attribute and the presence of a tag.
+    """
 
     def build(p) -> Column:
         match p:
-            case AttributeValue(attribute, value):
-                return F.col(attribute).eqNullSafe(F.lit(value))
-            case AttributeRegex(attribute, pattern):
-                found = search(F.col(attribute), pattern)
+            case AttributeValue(name, value):
+                return attribute(name).eqNullSafe(F.lit(value))
+            case AttributeRegex(name, pattern):
+                found = search(attribute(name), pattern)
                 return F.coalesce(found, F.lit(False)) if dialect.missing_is_false else found
             case HasTag(tag):
-                return has_tag(F.col("tags"), tag)
+                return tagged(tag)
             case IsMobile():
                 return F.col("isMobile") == F.lit(True)
             case IdleForGreaterThan(seconds):
@@ -180,102 +191,143 @@ def predicate_column(predicate, dialect: Dialect = TABLE_RULES) -> Column:
     return build(predicate)
 
 
-def patterns_of(rules: Iterable[Rule]) -> set[str]:
-    """All search patterns of a rule list, for checking them in one go."""
-
-    def walk(p) -> set[str]:
-        match p:
-            case AttributeRegex(_, pattern):
-                return {pattern}
-            case And(parts) | Or(parts):
-                return set().union(*map(walk, parts))
-            case Not(part):
-                return walk(part)
-        return set()
-
-    return set().union(*(walk(rule.predicate) for rule in rules))
-
-
-def _reads(predicate) -> set[tuple[str, str]]:
-    """What a predicate depends on. A tag test depends on that one tag, not on the list."""
+def _leaves(predicate) -> Iterator:
     match predicate:
-        case AttributeValue(attribute, _) | AttributeRegex(attribute, _):
-            return {("attribute", attribute)}
-        case HasTag(tag):
-            return {("tag", tag)}
         case And(parts) | Or(parts):
-            return set().union(*map(_reads, parts))
+            for part in parts:
+                yield from _leaves(part)
         case Not(part):
-            return _reads(part)
-    return set()
-
-
-# -- groups of rules ---------------------------------------------------------------------
-
+            yield from _leaves(part)
+        case _:
+            yield predicate
 
-@dataclass
-class _Group:
-    """Consecutive rules, none of which reads what an earlier one of them writes."""
 
-    settings: dict[str, list[tuple[Column, str | None]]] = field(default_factory=dict)
-    tags: dict[str, Column] = field(default_factory=dict)
-    ignored: list[Column] = field(default_factory=list)
-    deleted: list[Column] = field(default_factory=list)
-
-    def accepts(self, rule: Rule) -> bool:
-        touched = {("attribute", a) for a in self.settings} | {("tag", t) for t in self.tags}
-        # A tag added twice must appear where it was added first, which depends on the row.
-        adds = {("tag", a.tag) for a in rule.actions if isinstance(a, AddTag)}
-        return touched.isdisjoint(_reads(rule.predicate) | adds)
-
-    def add(self, rule: Rule, dialect: Dialect) -> None:
-        fires = predicate_column(rule.predicate, dialect)
+def patterns_of(rules: Iterable[Rule]) -> set[str]:
+    """All search patterns of a rule list, for checking them in one go."""
+    return {leaf.pattern for rule in rules for leaf in _leaves(rule.predicate) if isinstance(leaf, AttributeRegex)}
+
+
+# -- rule lists --------------------------------------------------------------------------
+
+
+class _Program:
+    """A rule list with the dependencies between its rules worked out."""
+
+    def __init__(self, rules: Sequence[Rule], dialect: Dialect):
+        self.rules = [rule for rule in rules if rule.actions]
+        self.dialect = dialect
+        self.setters: dict[str, list[tuple[int, str | None]]] = {}
+        self.adders: dict[str, list[int]] = {}
+        self.flaggers: list[int] = []
+        self.deleters: set[int] = set()
+        self.additions: list[tuple[int, str]] = []
+        for i, rule in enumerate(self.rules):
+            self._note_actions(i, rule)
+        # The flags each predicate is built on, all of earlier rules, and how deep that goes.
+        self.needs = [self._needs(i) for i in range(len(self.rules))]
+        self.depth: list[int] = []
+        for needed in self.needs:
+            self.depth.append(1 + max((self.depth[j] for j in needed), default=-1))
+        self.kept = self._flags_to_keep()
+
+    def _note_actions(self, i: int, rule: Rule) -> None:
+        if any(isinstance(action, Delete) for action in rule.actions):
+            # Whatever else the rule does, it does to a row that is gone.
+            self.deleters.add(i)
+            return
         for action in rule.actions:
             match action:
                 case AddTag(tag):
-                    self.tags.setdefault(tag, fires & ~has_tag(F.col("tags"), tag))
+                    if (i, tag) not in self.additions:
+                        self.additions.append((i, tag))
+                        self.adders.setdefault(tag, []).append(i)
                 case SetAttribute(attribute, value):
-                    self.settings.setdefault(attribute, []).append((fires, value))
+                    self.setters.setdefault(attribute, []).append((i, value))
                 case RedactProcess():
-                    for attribute in ("processPath", "processName"):
-                        self.settings.setdefault(attribute, []).append((fires, None))
+                    self.setters.setdefault("processPath", []).append((i, None))
+                    self.setters.setdefault("processName", []).append((i, None))
                 case Ignore():
-                    self.ignored.append(fires)
-                case Delete():
-                    self.deleted.append(fires)
+                    self.flaggers.append(i)
                 case _:
                     raise TypeError(f"not an action: {action!r}")
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        if self.deleted:
-            df = df.filter(~reduce(Column.__or__, self.deleted))
-        columns = {}
-        for attribute, choices in self.settings.items():
-            columns[attribute] = _first_match(
-                [(fires, F.lit(value).cast("string")) for fires, value in reversed(choices)], F.col(attribute)
-            )
-        if self.tags:
-            added = [F.when(fires, F.array(F.lit(tag))).otherwise(no_tags()) for tag, fires in self.tags.items()]
-            columns["tags"] = F.concat(F.col("tags"), *added)
-        if self.ignored:
-            columns["ignore"] = _first_match([(fires, F.lit(True)) for fires in self.ignored], F.col("ignore"))
-        return df.withColumns(columns) if columns else df
+    def _needs(self, i: int) -> set[int]:
+        needed: set[int] = set()
+        for leaf in _leaves(self.rules[i].predicate):
+            match leaf:
+                case AttributeValue(name, _) | AttributeRegex(name, _):
+                    needed.update(j for j, _ in self.setters.get(name, ()) if j < i)
+                case HasTag(tag):
+                    needed.update(j for j in self.adders.get(tag, ()) if j < i)
+        return needed
+
+    def _flags_to_keep(self) -> set[int]:
+        """Flags with a column of their own: those that more than one expression uses."""
+        uses = Counter(self.flaggers)
+        uses.update(j for setters in self.setters.values() for j, _ in setters)
+        for i, tag in self.additions:
+            uses.update([i, *self._earlier_adders(i, tag)])
+        read = set().union(*self.needs)
+        return {j for j, count in uses.items() if count > 1 or j in read}
+
+    def _earlier_adders(self, i: int, tag: str) -> list[int]:
+        return [j for j in self.adders.get(tag, ()) if j < i]
+
+    def fires(self, i: int) -> Column:
+        """Whether a rule fires: its column if it has one, else its predicate (maybe null)."""
+        return F.col(f"_fires_{i}") if i in self.kept else self.predicate(i)
+
+    def predicate(self, i: int) -> Column:
+        return predicate_column(
+            self.rules[i].predicate,
+            self.dialect,
+            attribute=lambda name: self.attribute(name, [(j, v) for j, v in self.setters.get(name, ()) if j < i]),
+            tagged=lambda tag: self.tagged(tag, i),
+        )
+
+    def attribute(self, name: str, setters: list[tuple[int, str | None]]) -> Column:
+        """The value after the given setters, the last that fired winning."""
+        choices = [(self.fires(j), F.lit(value).cast("string")) for j, value in reversed(setters)]
+        return _first_match(choices, F.col(name))
+
+    def tagged(self, tag: str, i: int) -> Column:
+        """Whether the row has a tag by the time rule ``i`` looks."""
+        added = [F.coalesce(self.fires(j), F.lit(False)) for j in self._earlier_adders(i, tag)]
+        return reduce(Column.__or__, added, has_tag(F.col("tags"), tag))
+
+    def run(self, df: DataFrame) -> DataFrame:
+        columns = df.columns
+        for depth in range(max(self.depth, default=-1) + 1):
+            level = [i for i, d in enumerate(self.depth) if d == depth]
+            gone = [self.fires(i) for i in level if i in self.deleters]
+            if gone:
+                df = df.filter(~reduce(Column.__or__, gone))
+            flags = {f"_fires_{i}": F.coalesce(self.predicate(i), F.lit(False)) for i in level if i in self.kept}
+            if flags:
+                df = df.withColumns(flags)
+        results = {name: self.attribute(name, setters) for name, setters in self.setters.items()}
+        if self.additions:
+            added = [
+                F.when(self.fires(i) & ~self.tagged(tag, i), F.array(F.lit(tag))).otherwise(no_tags())
+                for i, tag in self.additions
+            ]
+            results["tags"] = F.concat(F.col("tags"), *added)
+        if self.flaggers:
+            results["ignore"] = _first_match([(self.fires(i), F.lit(True)) for i in self.flaggers], F.col("ignore"))
+        return df.select(*[results[c].alias(c) if c in results else F.col(c) for c in columns])
 
 
 def _first_match(choices: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
     """``CASE`` over the choices; a null condition counts as not met."""
+    if not choices:
+        return otherwise
     (condition, value), *rest = choices
     return reduce(lambda case, choice: case.when(*choice), rest, F.when(condition, value)).otherwise(otherwise)
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], dialect: Dialect = TABLE_RULES) -> DataFrame:
     """Run a rule list over a flat event table."""
-    groups: list[_Group] = []
-    for rule in rules:
-        if not groups or not groups[-1].accepts(rule):
-            groups.append(_Group())
-        groups[-1].add(rule, dialect)
-    return reduce(lambda out, group: group.apply(out), groups, df)
+    return _Program(rules, dialect).run(df)
 
 
 def drop_ignored(df: DataFrame) -> DataFrame:
