@@ -7,6 +7,7 @@ from dwelltrace.operators.unify import active_events_from, unlock_events_from
 from dwelltrace.operators.upgrade import upgrade_legacy, upgrade_lines
 from dwelltrace.plans.etl import JobError, active_events, run_pipeline, unlock_events, write_outputs
 from dwelltrace.plans.maintenance import compact_logs
+from dwelltrace.plans.workspace import recommended_settings
 from dwelltrace.sinks.tables import flatten, write_table
 from dwelltrace.sources.config import (
     ConfigError,

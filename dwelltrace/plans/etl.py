@@ -12,10 +12,10 @@ from dwelltrace.functions.regex import check_patterns
 from dwelltrace.operators.rules import Rule, apply_rules, drop_ignored as without_ignored, patterns_of
 from dwelltrace.operators.split import split_long_events
 from dwelltrace.operators.unify import active_events_from, unlock_events_from
-from dwelltrace.plans.workspace import discard, materialize, scan_partitions
+from dwelltrace.plans.workspace import discard, materialize, job_settings
 from dwelltrace.schemas import ACTIVE_EVENTS, UNLOCK_EVENT, UNLOCK_LOG_SCHEMA
 from dwelltrace.sinks.tables import write_table
-from dwelltrace.sources.config import load_job_config
+from dwelltrace.sources.config import JobConfig, load_job_config
 from dwelltrace.sources.logs import (
     CORRUPT_POLICIES,
     NotALogError,
@@ -64,7 +64,7 @@ def write_outputs(active: DataFrame, unlocks: DataFrame, folder: str, output_for
 
 def run_pipeline(
     spark: SparkSession,
-    config_path: str,
+    config: str | JobConfig,
     *,
     scan: str = "staged",
     on_corrupt: str = "file",
@@ -73,7 +73,8 @@ def run_pipeline(
     partition_bytes: int | None = None,
     max_records_per_file: int = 0,
 ) -> Outputs:
-    """Read the configuration and all logs, and replace both output tables.
+    """Read the configuration, a loaded one or the path of its main file, and all logs, and
+    replace both output tables.
 
     ``scan="staged"`` parses the JSON once into a columnar copy in the shared folder. The
     verdict on foreign files and both tables then come from that copy, where each reads
@@ -89,10 +90,11 @@ def run_pipeline(
     if on_corrupt not in CORRUPT_POLICIES:
         raise ValueError(f"unknown policy {on_corrupt!r}, expected one of {CORRUPT_POLICIES}")
     try:
-        config = load_job_config(config_path, spark)
+        if not isinstance(config, JobConfig):
+            config = load_job_config(config, spark)
         check_patterns(spark, patterns_of(config.transform.rules))
     except ValueError as error:
-        raise JobError(f"could not read {config_path}") from error
+        raise JobError(f"unusable configuration: {error}") from error
 
     def finish(active: DataFrame, unlocks: DataFrame) -> Outputs:
         table = apply_rules(active_events_from(active), config.transform.rules)
@@ -110,7 +112,7 @@ def run_pipeline(
 
     root = config.log_directory
     try:
-        with scan_partitions(spark, partition_bytes):
+        with job_settings(spark, partition_bytes):
             if scan == "staged":
                 staged, path = materialize(scan_marked(spark, root), "logs")
                 try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from dwelltrace.operators.upgrade import upgrade_lines
-from dwelltrace.plans.workspace import scan_partitions
+from dwelltrace.plans.workspace import job_settings
 from dwelltrace.sinks.lines import write_lines
 from dwelltrace.sources.logs import LOG_FILE_PATTERN
 
@@ -37,7 +37,7 @@ def compact_logs(
     source, target = source_root.rstrip("/") + "/", target_root.rstrip("/") + "/"
     if target.startswith(source) or source.startswith(target):
         raise ValueError("compacted logs must not be written inside the folder they come from, or above it")
-    with scan_partitions(spark, partition_bytes, _SMALL_FILE_COST):
+    with job_settings(spark, partition_bytes, _SMALL_FILE_COST):
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", LOG_FILE_PATTERN)
         lines = reader.text(source_root)
         if upgrade:

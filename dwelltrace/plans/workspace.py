@@ -38,18 +38,30 @@ def discard(spark: SparkSession, path: str, schema) -> None:
     spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def recommended_settings() -> dict[str, str]:
+    """Session settings that the rule expressions depend on for speed.
+
+    Long rule lists make long generated methods, and the JVM never compiles a method of more
+    than 8000 bytes. With this limit Spark generates many short methods for such a stage
+    instead of one that would be interpreted.
+    """
+    return {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 @contextmanager
-def scan_partitions(spark: SparkSession, partition_bytes: int | None, file_cost_bytes: int | None = None) -> Iterator[None]:
-    """Set how many bytes of input one task gets, for the actions inside the block.
+def job_settings(
+    spark: SparkSession, partition_bytes: int | None = None, file_cost_bytes: int | None = None
+) -> Iterator[None]:
+    """The recommended settings, and the input one task gets, for the actions inside the block.
 
     Files are packed into a task until it is full; each counts its size plus the file cost.
     Since nothing here shuffles, the size of scan tasks is also the size of output files.
     """
-    wanted = {
-        "spark.sql.files.maxPartitionBytes": partition_bytes,
-        "spark.sql.files.openCostInBytes": file_cost_bytes,
-    }
-    changed = {key: str(value) for key, value in wanted.items() if value is not None}
+    changed = recommended_settings()
+    if partition_bytes is not None:
+        changed["spark.sql.files.maxPartitionBytes"] = str(partition_bytes)
+    if file_cost_bytes is not None:
+        changed["spark.sql.files.openCostInBytes"] = str(file_cost_bytes)
     before = {key: spark.conf.get(key) for key in changed}
     try:
         for key, value in changed.items():
