@@ -13,6 +13,7 @@ _LINE_OPTIONS = {
     "sep": "\x01",
     "quote": "\x02",
     "escape": "\x02",
+    "comment": "\x03",
     "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,

@@ -34,11 +34,14 @@ def start(
         return writer.trigger(processingTime=f"{every_sec} seconds").start()
 
 
-def flush_and_stop(query: StreamingQuery) -> None:
-    """Write everything that has arrived, then end the query. What fails to be written is
-    not marked as done and comes again at the next start."""
-    if query.isActive:
-        query.processAllAvailable()
-        query.stop()
+def flush_and_stop(query: StreamingQuery, start_once: Callable[[], StreamingQuery]) -> None:
+    """End a periodic query without waiting for its next flush, and lose nothing.
+
+    ``start_once`` starts the same job on the same checkpoint without a period. That run
+    writes what has arrived since the last flush, the batch that stopping may have cut short
+    included, and ends. What it fails to write stays due for the next start.
+    """
+    query.stop()
     if query.exception() is not None:
         raise query.exception()
+    start_once().awaitTermination()
