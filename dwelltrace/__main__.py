@@ -13,14 +13,16 @@ from dwelltrace.sources.logs import CORRUPT_POLICIES
 def main() -> None:
     parser = argparse.ArgumentParser(prog="dwelltrace", description="Turn activity logs into two flat tables.")
     parser.add_argument("config", help="main configuration file")
-    parser.add_argument("--scan", choices=SCANS, default="staged")
+    parser.add_argument("--scan", choices=SCANS, default="direct")
     parser.add_argument("--on-corrupt", choices=CORRUPT_POLICIES, default="file")
     parser.add_argument("--drop-ignored", action="store_true", help="leave out rows that a rule flagged")
     parser.add_argument("--split-long", action="store_true", help="cut long phone events into pieces")
     parser.add_argument("--partition-bytes", type=int, help="input bytes per task, and so the size of output files")
     parser.add_argument("--max-records-per-file", type=int, default=0)
     options = vars(parser.parse_args())
-    spark = SparkSession.builder.appName("dwelltrace").getOrCreate()
+    # Long rule lists are thousands of small expressions; do not record a call site for each.
+    builder = SparkSession.builder.appName("dwelltrace").config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    spark = builder.getOrCreate()
     outputs = run_pipeline(spark, options.pop("config"), **options)
     print(outputs.active_events)
     print(outputs.unlock_events)

@@ -17,7 +17,7 @@ PATH_STYLES = ("both", "posix")
 
 def last_segment(path: Column, style: str = "both") -> Column:
     """What follows the last separator; null when nothing does."""
-    slashed = F.translate(path, "\\", "/") if style == "both" else path
+    slashed = F.replace(path, F.lit("\\"), F.lit("/")) if style == "both" else path
     return F.nullif(F.substring_index(slashed, "/", -1), F.lit(""))
 
 
@@ -38,9 +38,11 @@ def file_stem(path: Column, style: str = "both") -> Column:
     """
     if style not in PATH_STYLES:
         raise ValueError(f"unknown path style {style!r}, expected one of {PATH_STYLES}")
-    separator = r"[\\/]" if style == "both" else "/"
-    # Possessive quantifiers: a long run of separators must not make the match backtrack.
-    trimmed = F.regexp_replace(path, F.lit(rf"(?:{separator}++\.?+)++\z"), F.lit(""))
-    name = last_segment(trimmed, style)
-    stem = F.regexp_replace(name, F.lit(r"(?s)(?<=.)\.[^.]*+\z"), F.lit(""))
-    return F.when(~name.isin(".", ".."), stem)
+    # One pattern, so that the name stays a small expression wherever rules make the optimizer
+    # repeat it. Possessive quantifiers: a long run of separators must not make it backtrack.
+    separator = r"\\/" if style == "both" else "/"
+    rest = rf"(?:[{separator}]++\.?+)*+\z"
+    component = rf"(?<![^{separator}])(?!\.{{1,2}}{rest})"
+    pattern = rf"{component}([^{separator}]+?)(?:\.[^.{separator}]*+)?{rest}"
+    # The first match if there is one; null otherwise, which takes no second look at the value.
+    return F.try_element_at(F.regexp_extract_all(path, F.lit(pattern), F.lit(1)), F.lit(1))

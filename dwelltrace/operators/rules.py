@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -229,6 +229,9 @@ class _Program:
         for needed in self.needs:
             self.depth.append(1 + max((self.depth[j] for j in needed), default=-1))
         self.kept = self._flags_to_keep()
+        # Expressions are immutable, and building one costs a round trip to the JVM.
+        self.came_with = cache(lambda tag: has_tag(F.col("tags"), tag))
+        self.fires = cache(self._fires)
 
     def _note_actions(self, i: int, rule: Rule) -> None:
         if any(isinstance(action, Delete) for action in rule.actions):
@@ -273,7 +276,7 @@ class _Program:
     def _earlier_adders(self, i: int, tag: str) -> list[int]:
         return [j for j in self.adders.get(tag, ()) if j < i]
 
-    def fires(self, i: int) -> Column:
+    def _fires(self, i: int) -> Column:
         """Whether a rule fires: its column if it has one, else its predicate (maybe null)."""
         return F.col(f"_fires_{i}") if i in self.kept else self.predicate(i)
 
@@ -292,8 +295,9 @@ class _Program:
 
     def tagged(self, tag: str, i: int) -> Column:
         """Whether the row has a tag by the time rule ``i`` looks."""
-        added = [F.coalesce(self.fires(j), F.lit(False)) for j in self._earlier_adders(i, tag)]
-        return reduce(Column.__or__, added, has_tag(F.col("tags"), tag))
+        # Such adders have a flag column, which is never null.
+        added = [self.fires(j) for j in self._earlier_adders(i, tag)]
+        return reduce(Column.__or__, added, self.came_with(tag))
 
     def run(self, df: DataFrame) -> DataFrame:
         columns = df.columns
@@ -307,8 +311,9 @@ class _Program:
                 df = df.withColumns(flags)
         results = {name: self.attribute(name, setters) for name, setters in self.setters.items()}
         if self.additions:
+            nothing = no_tags()
             added = [
-                F.when(self.fires(i) & ~self.tagged(tag, i), F.array(F.lit(tag))).otherwise(no_tags())
+                F.when(self.fires(i) & ~self.tagged(tag, i), F.array(F.lit(tag))).otherwise(nothing)
                 for i, tag in self.additions
             ]
             results["tags"] = F.concat(F.col("tags"), *added)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dwelltrace.functions.regex import check_patterns
@@ -13,7 +13,7 @@ from dwelltrace.operators.rules import Rule, apply_rules, drop_ignored as withou
 from dwelltrace.operators.split import split_long_events
 from dwelltrace.operators.unify import active_events_from, unlock_events_from
 from dwelltrace.plans.workspace import discard, materialize, job_settings
-from dwelltrace.schemas import ACTIVE_EVENTS, UNLOCK_EVENT, UNLOCK_LOG_SCHEMA
+from dwelltrace.schemas import ACTIVE_EVENTS, SOURCE_FILE_COLUMN, UNLOCK_EVENT, UNLOCK_LOG_SCHEMA
 from dwelltrace.sinks.tables import write_table
 from dwelltrace.sources.config import JobConfig, load_job_config
 from dwelltrace.sources.logs import (
@@ -26,7 +26,7 @@ from dwelltrace.sources.logs import (
     scan_marked,
 )
 
-SCANS = ("staged", "direct")
+SCANS = ("direct", "staged")
 
 
 class JobError(RuntimeError):
@@ -53,10 +53,15 @@ def unlock_events(spark: SparkSession, paths: str | Sequence[str], *, on_corrupt
     return unlock_events_from(logs)
 
 
-def write_outputs(active: DataFrame, unlocks: DataFrame, folder: str, output_format: str, **options) -> Outputs:
-    """Write both tables next to each other, named after their content and format."""
+def output_paths(folder: str, output_format: str) -> Outputs:
+    """Where the two tables of a run go, named after their content and format."""
     base = folder.rstrip("/")
-    outputs = Outputs(f"{base}/active_events.{output_format}", f"{base}/unlock_events.{output_format}")
+    return Outputs(f"{base}/active_events.{output_format}", f"{base}/unlock_events.{output_format}")
+
+
+def write_outputs(active: DataFrame, unlocks: DataFrame, folder: str, output_format: str, **options) -> Outputs:
+    """Write both tables next to each other, replacing what is there."""
+    outputs = output_paths(folder, output_format)
     write_table(active, outputs.active_events, output_format, **options)
     write_table(unlocks, outputs.unlock_events, output_format, **options)
     return outputs
@@ -66,7 +71,7 @@ def run_pipeline(
     spark: SparkSession,
     config: str | JobConfig,
     *,
-    scan: str = "staged",
+    scan: str = "direct",
     on_corrupt: str = "file",
     drop_ignored: bool = False,
     split_long: bool = False,
@@ -76,11 +81,15 @@ def run_pipeline(
     """Read the configuration, a loaded one or the path of its main file, and all logs, and
     replace both output tables.
 
-    ``scan="staged"`` parses the JSON once into a columnar copy in the shared folder. The
-    verdict on foreign files and both tables then come from that copy, where each reads
-    only the columns and row groups it needs, and nothing is replaced before the verdict.
-    ``scan="direct"`` keeps no copy and reads the logs once per table instead, plus once for
-    the verdict if ``on_corrupt`` is ``"file"``.
+    ``scan="direct"`` reads the logs once per table. The second scan is cheap: the reader
+    skips all lines but unlocks once it has seen their type. Under the policy ``"file"``
+    unreadable lines are counted while the first table is written, and only if there are any
+    does a further pass find out whether a file is to blame; if so the run fails, as it also
+    would half way through, and its outputs are not to be used.
+
+    ``scan="staged"`` parses the logs once into a columnar copy in the shared folder and makes
+    everything from that, so no output is replaced before the verdict. It costs the copy, and
+    pays where reading the logs is the bottleneck.
 
     ``drop_ignored`` leaves out flagged rows and ``split_long`` cuts phone events to the
     configured maximum duration; both are off by default.
@@ -96,44 +105,47 @@ def run_pipeline(
     except ValueError as error:
         raise JobError(f"unusable configuration: {error}") from error
 
-    def finish(active: DataFrame, unlocks: DataFrame) -> Outputs:
-        table = apply_rules(active_events_from(active), config.transform.rules)
+    def active_table(logs: DataFrame) -> DataFrame:
+        table = apply_rules(active_events_from(logs), config.transform.rules)
         if drop_ignored:
             table = without_ignored(table)
-        if split_long:
-            table = split_long_events(table, config.transform.max_duration_sec)
-        return write_outputs(
-            table,
-            unlock_events_from(unlocks),
-            config.output_directory,
-            config.output_format,
-            max_records_per_file=max_records_per_file,
-        )
-
-    root = config.log_directory
+        return split_long_events(table, config.transform.max_duration_sec) if split_long else table
+
+    def write(df: DataFrame, path: str) -> None:
+        write_table(df, path, config.output_format, max_records_per_file=max_records_per_file)
+
+    outputs = output_paths(config.output_directory, config.output_format)
     try:
         with job_settings(spark, partition_bytes):
-            if scan == "staged":
-                staged, path = materialize(scan_marked(spark, root), "logs")
-                try:
-                    _judge(staged, on_corrupt)
-                    logs = staged.drop(UNREADABLE_COLUMN, "source_file")
-                    return finish(logs, logs)
-                finally:
-                    discard(spark, path, staged.schema)
-            # One verdict holds for both scans, so the second one need not repeat it.
-            active = read_log_root(spark, root, types=ACTIVE_EVENTS, on_corrupt=on_corrupt)
-            later = "drop" if on_corrupt == "file" else on_corrupt
-            unlocks = read_log_root(
-                spark, root, schema=UNLOCK_LOG_SCHEMA, types=[UNLOCK_EVENT], on_corrupt=later
-            )
-            return finish(active, unlocks)
+            run = _run_staged if scan == "staged" else _run_direct
+            run(spark, config.log_directory, on_corrupt, active_table, outputs, write)
     except Exception as error:
-        raise JobError(f"the run over {root} failed: {error}") from error
+        raise JobError(f"the run over {config.log_directory} failed: {error}") from error
+    return outputs
+
 
+def _run_direct(spark, root, on_corrupt, active_table, outputs, write) -> None:
+    by_line = "line" if on_corrupt == "line" else "drop"
+    unreadable = Observation() if on_corrupt == "file" else None
+    write(
+        active_table(read_log_root(spark, root, types=ACTIVE_EVENTS, on_corrupt=by_line, dropped=unreadable)),
+        outputs.active_events,
+    )
+    if unreadable is not None and unreadable.get["unreadable_lines"]:
+        refuse_foreign_files(scan_marked(spark, root))
+    unlocks = read_log_root(spark, root, schema=UNLOCK_LOG_SCHEMA, types=[UNLOCK_EVENT], on_corrupt=by_line)
+    write(unlock_events_from(unlocks), outputs.unlock_events)
 
-def _judge(staged: DataFrame, on_corrupt: str) -> None:
-    if on_corrupt == "file":
-        refuse_foreign_files(staged)
-    elif on_corrupt == "line" and not staged.filter(F.col(UNREADABLE_COLUMN)).isEmpty():
-        raise NotALogError("a log holds a line that is not a JSON object")
+
+def _run_staged(spark, root, on_corrupt, active_table, outputs, write) -> None:
+    staged, path = materialize(scan_marked(spark, root), "logs")
+    try:
+        if on_corrupt == "file":
+            refuse_foreign_files(staged)
+        elif on_corrupt == "line" and not staged.filter(F.col(UNREADABLE_COLUMN)).isEmpty():
+            raise NotALogError("a log holds a line that is not a JSON object")
+        logs = staged.drop(UNREADABLE_COLUMN, SOURCE_FILE_COLUMN)
+        write(active_table(logs), outputs.active_events)
+        write(unlock_events_from(logs), outputs.unlock_events)
+    finally:
+        discard(spark, path, staged.schema)

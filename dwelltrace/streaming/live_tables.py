@@ -26,11 +26,12 @@ def start_live_tables(
     output_format: str = "parquet",
     every_sec: float | None = None,
     on_corrupt: str = "line",
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int = 10_000,
 ) -> StreamingQuery:
     """Process each log file once, as it appears, instead of all logs on every run.
 
-    A micro-batch is parsed once and feeds both tables. Read the results with
+    A micro-batch is parsed once and feeds both tables; ``max_files_per_trigger`` bounds what
+    the first run over a long history holds at a time. Read the results with
     ``recursiveFileLookup``.
     """
 

@@ -669,8 +669,8 @@ def run_active_output(spark, sf_dir):
 
 
 @register(RULED_ACTIVE)
-def run_direct_scan_active_output(spark, sf_dir):
-    return flat(spark.read.parquet(_run(spark, sf_dir, scan="direct").active_events))
+def run_staged_scan_active_output(spark, sf_dir):
+    return flat(spark.read.parquet(_run(spark, sf_dir, scan="staged").active_events))
 
 
 @register(UNLOCKS)

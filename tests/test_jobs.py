@@ -402,7 +402,7 @@ def test_run_options(spark, fixture_path, tmp_path):
 
 def test_run_leaves_no_staged_rows(spark, fixture_path, tmp_path):
     _two_file_root(fixture_path, tmp_path)
-    run_pipeline(spark, _config(tmp_path))
+    run_pipeline(spark, _config(tmp_path), scan="staged")
     shared = spark.conf.get("spark.checkpoint.dir")
     for staged in glob.glob(f"{shared}/dwelltrace/logs-*"):
         assert spark.read.parquet(staged).count() == 0
@@ -412,11 +412,25 @@ def test_a_refused_run_keeps_the_previous_output(spark, fixture_path, tmp_path):
     _two_file_root(fixture_path, tmp_path)
     outputs = run_pipeline(spark, _config(tmp_path))
     shutil.copy(fixture_path("live", "main_config.json"), tmp_path / "root" / "foreign.jsonl")
+    for policy in ("file", "line"):
+        with pytest.raises(dwelltrace.JobError):
+            run_pipeline(spark, _config(tmp_path), on_corrupt=policy, scan="staged")
+    assert spark.read.parquet(outputs.active_events).count() == 5
     for policy in ("file", "line"):
         with pytest.raises(dwelltrace.JobError):
             run_pipeline(spark, _config(tmp_path), on_corrupt=policy)
+    for scan in ("direct", "staged"):
+        run_pipeline(spark, _config(tmp_path), on_corrupt="drop", scan=scan)
+        assert spark.read.parquet(outputs.active_events).count() == 5
+
+
+@pytest.mark.parametrize("scan", ["direct", "staged"])
+def test_a_torn_line_does_not_stop_a_run(spark, fixture_path, tmp_path, scan):
+    _two_file_root(fixture_path, tmp_path)
+    with open(tmp_path / "root" / "mobile.jsonl", "a") as log:
+        log.write('{"type":"Device')
+    outputs = run_pipeline(spark, _config(tmp_path), scan=scan)
     assert spark.read.parquet(outputs.active_events).count() == 5
-    run_pipeline(spark, _config(tmp_path), on_corrupt="drop")
 
 
 def test_run_errors_have_context(spark, tmp_path):
