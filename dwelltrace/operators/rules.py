@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache, reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,9 +182,9 @@ def predicate_column(
             case IdleForGreaterThan(seconds):
                 return longer_than(F.col("idleFor"), seconds)
             case And(parts):
-                return reduce(Column.__and__, map(build, parts)) if parts else F.lit(True)
+                return _joined(Column.__and__, [build(part) for part in parts]) if parts else F.lit(True)
             case Or(parts):
-                return reduce(Column.__or__, map(build, parts)) if parts else F.lit(False)
+                return _joined(Column.__or__, [build(part) for part in parts]) if parts else F.lit(False)
             case Not(part):
                 return ~build(part)
         raise TypeError(f"not a predicate: {p!r}")
@@ -207,27 +208,55 @@ def patterns_of(rules: Iterable[Rule]) -> set[str]:
     return {leaf.pattern for rule in rules for leaf in _leaves(rule.predicate) if isinstance(leaf, AttributeRegex)}
 
 
+def _joined(operator: Callable[[Column, Column], Column], conditions: Sequence[Column]) -> Column:
+    """Conditions joined as a balanced tree: a chain of hundreds overflows the optimizer's stack."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return operator(_joined(operator, conditions[:half]), _joined(operator, conditions[half:]))
+
+
+def _first_match(choices: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
+    """``CASE`` over the choices; a null condition counts as not met."""
+    if not choices:
+        return otherwise
+    (condition, value), *rest = choices
+    return reduce(lambda case, choice: case.when(*choice), rest, F.when(condition, value)).otherwise(otherwise)
+
+
 # -- rule lists --------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class _Cell:
+    """Something rules read and write: an attribute, or the presence of one tag."""
+
+    kind: str
+    name: str
+
+
 class _Program:
-    """A rule list with the dependencies between its rules worked out."""
+    """A rule list with the dependencies between its rules worked out.
+
+    A *state* is a cell together with the number of its writers that came before: what a
+    rule sees. States that some rule reads get a column, built from the state before it, and
+    so do the flags that more than one expression uses.
+    """
 
     def __init__(self, rules: Sequence[Rule], dialect: Dialect):
         self.rules = [rule for rule in rules if rule.actions]
         self.dialect = dialect
-        self.setters: dict[str, list[tuple[int, str | None]]] = {}
-        self.adders: dict[str, list[int]] = {}
+        self.writers: dict[_Cell, list[tuple[int, str | None]]] = {}
+        self.additions: list[tuple[int, str]] = []
         self.flaggers: list[int] = []
         self.deleters: set[int] = set()
-        self.additions: list[tuple[int, str]] = []
         for i, rule in enumerate(self.rules):
             self._note_actions(i, rule)
-        # The flags each predicate is built on, all of earlier rules, and how deep that goes.
-        self.needs = [self._needs(i) for i in range(len(self.rules))]
+        # The depth of a state or flag is the number of projections that must come before.
+        self.states: dict[tuple[_Cell, int], int] = {}
         self.depth: list[int] = []
-        for needed in self.needs:
-            self.depth.append(1 + max((self.depth[j] for j in needed), default=-1))
+        for i in range(len(self.rules)):
+            self.depth.append(self._note_reads(i))
         self.kept = self._flags_to_keep()
         # Expressions are immutable, and building one costs a round trip to the JVM.
         self.came_with = cache(lambda tag: has_tag(F.col("tags"), tag))
@@ -243,91 +272,136 @@ class _Program:
                 case AddTag(tag):
                     if (i, tag) not in self.additions:
                         self.additions.append((i, tag))
-                        self.adders.setdefault(tag, []).append(i)
+                        self._note_write(_Cell("tag", tag), i, None)
                 case SetAttribute(attribute, value):
-                    self.setters.setdefault(attribute, []).append((i, value))
+                    self._note_write(_Cell("attribute", attribute), i, value)
                 case RedactProcess():
-                    self.setters.setdefault("processPath", []).append((i, None))
-                    self.setters.setdefault("processName", []).append((i, None))
+                    self._note_write(_Cell("attribute", "processPath"), i, None)
+                    self._note_write(_Cell("attribute", "processName"), i, None)
                 case Ignore():
                     self.flaggers.append(i)
                 case _:
                     raise TypeError(f"not an action: {action!r}")
 
-    def _needs(self, i: int) -> set[int]:
-        needed: set[int] = set()
+    def _note_write(self, cell: _Cell, i: int, value: str | None) -> None:
+        self.writers.setdefault(cell, []).append((i, value))
+
+    def _note_reads(self, i: int) -> int:
+        """Register the states a rule reads; the result is the depth of its flag."""
+        depth = 0
         for leaf in _leaves(self.rules[i].predicate):
             match leaf:
                 case AttributeValue(name, _) | AttributeRegex(name, _):
-                    needed.update(j for j, _ in self.setters.get(name, ()) if j < i)
+                    cell = _Cell("attribute", name)
                 case HasTag(tag):
-                    needed.update(j for j in self.adders.get(tag, ()) if j < i)
-        return needed
+                    cell = _Cell("tag", tag)
+                case _:
+                    continue
+            version = self._version(cell, i)
+            if version:
+                below = (self.depth[j] for j, _ in self.writers[cell][:version])
+                self.states[cell, version] = 1 + max(below)
+                depth = max(depth, self.states[cell, version])
+        return depth
+
+    def _version(self, cell: _Cell, i: int) -> int:
+        """How many writes of a cell precede rule ``i``."""
+        return sum(j < i for j, _ in self.writers.get(cell, ()))
+
+    def _version_below(self, cell: _Cell, version: int) -> int:
+        """The latest earlier state of a cell that has a column, or 0 for what the event came with."""
+        return max((v for c, v in self.states if c == cell and v < version), default=0)
 
     def _flags_to_keep(self) -> set[int]:
-        """Flags with a column of their own: those that more than one expression uses."""
+        read = {j for cell, version in self.states for j, _ in self.writers[cell][:version]}
         uses = Counter(self.flaggers)
-        uses.update(j for setters in self.setters.values() for j, _ in setters)
-        for i, tag in self.additions:
-            uses.update([i, *self._earlier_adders(i, tag)])
-        read = set().union(*self.needs)
-        return {j for j, count in uses.items() if count > 1 or j in read}
+        uses.update(i for i, _ in self.additions)
+        for cell, writers in self.writers.items():
+            if cell.kind == "attribute":
+                uses.update(j for j, _ in writers[self._version_below(cell, len(writers) + 1) :])
+        return read | {j for j, count in uses.items() if count > 1}
 
-    def _earlier_adders(self, i: int, tag: str) -> list[int]:
-        return [j for j in self.adders.get(tag, ()) if j < i]
+    # -- expressions -----------------------------------------------------------------
 
     def _fires(self, i: int) -> Column:
         """Whether a rule fires: its column if it has one, else its predicate (maybe null)."""
         return F.col(f"_fires_{i}") if i in self.kept else self.predicate(i)
 
     def predicate(self, i: int) -> Column:
+        def seen(kind: str, name: str) -> Column:
+            cell = _Cell(kind, name)
+            return self.state(cell, self._version(cell, i))
+
         return predicate_column(
-            self.rules[i].predicate,
-            self.dialect,
-            attribute=lambda name: self.attribute(name, [(j, v) for j, v in self.setters.get(name, ()) if j < i]),
-            tagged=lambda tag: self.tagged(tag, i),
+            self.rules[i].predicate, self.dialect, lambda name: seen("attribute", name), lambda tag: seen("tag", tag)
         )
 
-    def attribute(self, name: str, setters: list[tuple[int, str | None]]) -> Column:
-        """The value after the given setters, the last that fired winning."""
-        choices = [(self.fires(j), F.lit(value).cast("string")) for j, value in reversed(setters)]
-        return _first_match(choices, F.col(name))
-
-    def tagged(self, tag: str, i: int) -> Column:
-        """Whether the row has a tag by the time rule ``i`` looks."""
-        # Such adders have a flag column, which is never null.
-        added = [self.fires(j) for j in self._earlier_adders(i, tag)]
-        return reduce(Column.__or__, added, self.came_with(tag))
+    def state(self, cell: _Cell, version: int) -> Column:
+        if version:
+            return F.col(self.state_column(cell, version))
+        return F.col(cell.name) if cell.kind == "attribute" else self.came_with(cell.name)
+
+    def state_column(self, cell: _Cell, version: int) -> str:
+        return f"_state_{list(self.states).index((cell, version))}"
+
+    def definition(self, cell: _Cell, version: int) -> Column:
+        """A state in terms of the state before it and the flags of the writers in between."""
+        below = self._version_below(cell, version)
+        writers = self.writers[cell][below:version]
+        before = self.state(cell, below)
+        if cell.kind == "tag":
+            return _joined(Column.__or__, [before, *(self.fires(j) for j, _ in writers)])
+        return _first_match([(self.fires(j), F.lit(value).cast("string")) for j, value in reversed(writers)], before)
+
+    def first_adder(self, tag: str) -> Column:
+        """Which rule added a tag: the first that fired, or none if the event came with it."""
+        choices = [(self.came_with(tag), F.lit(-1))]
+        choices += [(self.fires(j), F.lit(j)) for j, _ in self.writers[_Cell("tag", tag)]]
+        return _first_match(choices, F.lit(-1))
 
     def run(self, df: DataFrame) -> DataFrame:
         columns = df.columns
         for depth in range(max(self.depth, default=-1) + 1):
             level = [i for i, d in enumerate(self.depth) if d == depth]
+            states = {
+                self.state_column(cell, version): self.definition(cell, version)
+                for (cell, version), d in self.states.items()
+                if d == depth
+            }
+            df = df.withColumns(states) if states else df
             gone = [self.fires(i) for i in level if i in self.deleters]
-            if gone:
-                df = df.filter(~reduce(Column.__or__, gone))
+            df = df.filter(~_joined(Column.__or__, gone)) if gone else df
             flags = {f"_fires_{i}": F.coalesce(self.predicate(i), F.lit(False)) for i in level if i in self.kept}
-            if flags:
-                df = df.withColumns(flags)
-        results = {name: self.attribute(name, setters) for name, setters in self.setters.items()}
+            df = df.withColumns(flags) if flags else df
+        shared = [cell.name for cell, writers in self.writers.items() if cell.kind == "tag" and len(writers) > 1]
+        adders = {tag: f"_adder_{n}" for n, tag in enumerate(shared)}
+        df = df.withColumns({adders[tag]: self.first_adder(tag) for tag in shared}) if shared else df
+        results = {
+            cell.name: self.definition(cell, len(writers)) if self._ends_open(cell) else self.state(cell, len(writers))
+            for cell, writers in self.writers.items()
+            if cell.kind == "attribute"
+        }
         if self.additions:
-            nothing = no_tags()
-            added = [
-                F.when(self.fires(i) & ~self.tagged(tag, i), F.array(F.lit(tag))).otherwise(nothing)
-                for i, tag in self.additions
-            ]
-            results["tags"] = F.concat(F.col("tags"), *added)
+            results["tags"] = self._with_additions(adders)
         if self.flaggers:
             results["ignore"] = _first_match([(self.fires(i), F.lit(True)) for i in self.flaggers], F.col("ignore"))
         return df.select(*[results[c].alias(c) if c in results else F.col(c) for c in columns])
 
-
-def _first_match(choices: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
-    """``CASE`` over the choices; a null condition counts as not met."""
-    if not choices:
-        return otherwise
-    (condition, value), *rest = choices
-    return reduce(lambda case, choice: case.when(*choice), rest, F.when(condition, value)).otherwise(otherwise)
+    def _ends_open(self, cell: _Cell) -> bool:
+        return (cell, len(self.writers[cell])) not in self.states
+
+    def _with_additions(self, adders: dict[str, str]) -> Column:
+        """The tags in the order of the rules; a run of additions of one tag is one piece."""
+        nothing = no_tags()
+        pieces = []
+        for tag, run in groupby(self.additions, key=lambda addition: addition[1]):
+            rules = [i for i, _ in run]
+            if tag in adders:
+                here = F.col(adders[tag]).between(rules[0], rules[-1])
+            else:
+                here = self.fires(rules[0]) & ~self.came_with(tag)
+            pieces.append(F.when(here, F.array(F.lit(tag))).otherwise(nothing))
+        return F.concat(F.col("tags"), *pieces)
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], dialect: Dialect = TABLE_RULES) -> DataFrame:

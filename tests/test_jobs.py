@@ -6,6 +6,7 @@ import glob
 import gzip
 import json
 import os
+import runpy
 import shutil
 import time
 
@@ -444,3 +445,12 @@ def test_run_errors_have_context(spark, tmp_path):
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_command_line(spark, fixture_path, tmp_path, monkeypatch, capsys):
+    _two_file_root(fixture_path, tmp_path)
+    monkeypatch.setattr("sys.argv", ["dwelltrace", _config(tmp_path), "--drop-ignored", "--split-long"])
+    runpy.run_module("dwelltrace", run_name="__main__")
+    active, unlock = capsys.readouterr().out.split()
+    assert spark.read.parquet(active).count() == 6
+    assert spark.read.parquet(unlock).count() == 1

@@ -229,7 +229,7 @@ def sample_rows(attributes, extra):
     )
 
 
-HEAVY = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+HEAVY = settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 @HEAVY
@@ -287,3 +287,13 @@ def test_redaction_does_not_disturb_its_own_rule_but_later_ones(spark):
 
 def test_live_names_drop_any_extension(spark):
     assert flat_live_events(live_event(spark, "/usr/bin/python3.11")).first().processName == "python3"
+
+
+def test_hundreds_of_rules_stay_within_the_optimizer(spark):
+    n = 300
+    match = [R.AttributeRegex("name", f"x{i}y|z{i}y") for i in range(n)]
+    rules = [R.Rule(p, (R.AddTag("t"),)) for p in match] + [R.Rule(R.Or(tuple(match)), (R.Ignore(),))]
+    (row,) = run(spark, [event(name=f"z{n - 1}y")], *rules)
+    assert (row["tags"], row["ignore"]) == (["t"], True)
+    deletes = [R.Rule(p, (R.Delete(),)) for p in match]
+    assert dwelltrace.apply_rules(table(spark, event(name="x7y"), event(name="a")), deletes, R.LIVE_RULES).count() == 1
