@@ -17,7 +17,7 @@ def main() -> None:
     parser.add_argument("--on-corrupt", choices=CORRUPT_POLICIES, default="file")
     parser.add_argument("--drop-ignored", action="store_true", help="leave out rows that a rule flagged")
     parser.add_argument("--split-long", action="store_true", help="cut long phone events into pieces")
-    parser.add_argument("--partition-bytes", type=int, help="input bytes per task, and so the size of output files")
+    parser.add_argument("--partition-bytes", type=int, default=512 << 20, help="input bytes per task, at most")
     parser.add_argument("--max-records-per-file", type=int, default=0)
     options = vars(parser.parse_args())
     # Long rule lists are thousands of small expressions; do not record a call site for each.

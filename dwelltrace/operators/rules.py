@@ -363,12 +363,12 @@ class _Program:
         columns = df.columns
         for depth in range(max(self.depth, default=-1) + 1):
             level = [i for i, d in enumerate(self.depth) if d == depth]
-            states = {
-                self.state_column(cell, version): self.definition(cell, version)
-                for (cell, version), d in self.states.items()
-                if d == depth
-            }
-            df = df.withColumns(states) if states else df
+            due = [state for state, d in self.states.items() if d == depth]
+            while due:
+                # A state may build on another of the same depth, which then comes first.
+                ready = [(cell, version) for cell, version in due if (cell, self._version_below(cell, version)) not in due]
+                df = df.withColumns({self.state_column(*state): self.definition(*state) for state in ready})
+                due = [state for state in due if state not in ready]
             gone = [self.fires(i) for i in level if i in self.deleters]
             df = df.filter(~_joined(Column.__or__, gone)) if gone else df
             flags = {f"_fires_{i}": F.coalesce(self.predicate(i), F.lit(False)) for i in level if i in self.kept}

@@ -75,7 +75,7 @@ def run_pipeline(
     on_corrupt: str = "file",
     drop_ignored: bool = False,
     split_long: bool = False,
-    partition_bytes: int | None = None,
+    partition_bytes: int | None = 512 * 1024 * 1024,
     max_records_per_file: int = 0,
 ) -> Outputs:
     """Read the configuration, a loaded one or the path of its main file, and all logs, and
@@ -92,7 +92,9 @@ def run_pipeline(
     pays where reading the logs is the bottleneck.
 
     ``drop_ignored`` leaves out flagged rows and ``split_long`` cuts phone events to the
-    configured maximum duration; both are off by default.
+    configured maximum duration; both are off by default. ``partition_bytes`` is the most
+    input one task gets, and so decides the size of output files; small inputs are still
+    spread over all cores.
     """
     if scan not in SCANS:
         raise ValueError(f"unknown scan {scan!r}, expected one of {SCANS}")

@@ -289,6 +289,24 @@ def test_live_names_drop_any_extension(spark):
     assert flat_live_events(live_event(spark, "/usr/bin/python3.11")).first().processName == "python3"
 
 
+def test_states_of_one_depth_build_on_each_other(spark):
+    key = "spark.sql.lateralColumnAlias.enableImplicitResolution"
+    rules = [
+        R.Rule(R.AttributeValue("hostname", "h"), (R.SetAttribute("name", "x"),)),
+        R.Rule(R.AttributeValue("name", "x"), (R.AddTag("saw x"),)),
+        R.Rule(R.AttributeValue("username", "u"), (R.SetAttribute("name", "y"),)),
+        R.Rule(R.AttributeRegex("name", "x|y"), (R.AddTag("saw either"),)),
+        R.Rule(R.AttributeValue("name", "y"), (R.AddTag("saw y"),)),
+    ]
+    events = [event(hostname=h, username=u) for h in ("h", "i") for u in ("u", "v")]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert run(spark, events, *rules) == [follow(rules, e, False) for e in events]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_hundreds_of_rules_stay_within_the_optimizer(spark):
     n = 300
     match = [R.AttributeRegex("name", f"x{i}y|z{i}y") for i in range(n)]
