@@ -1,0 +1,125 @@
+"""Plain, quadratic or row-by-row versions of what the operators compute."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import tiktoken
+import xxhash
+from tokenizers import Tokenizer
+
+from dwelltrace.llm.bpe_codec import read_ranks
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ASSIGN = re.compile(
+    r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
+)
+
+
+def sha(data: bytes | str) -> str:
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def repeats(docs: dict[int, str], length: int) -> dict[int, tuple]:
+    """By id: bytes, removed bytes, removed runs, hash of the rest."""
+    first: set[bytes] = set()
+    out = {}
+    for doc in sorted(docs):
+        text = docs[doc].encode()
+        gone = bytearray(len(text))
+        for i in range(len(text) - length + 1):
+            window = text[i : i + length]
+            if window in first:
+                gone[i : i + length] = b"\x01" * length
+            else:
+                first.add(window)
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        rest = bytes(c for c, g in zip(text, gone) if not g)
+        out[doc] = (len(text), sum(gone), runs, sha(rest))
+    return out
+
+
+def token_file(docs: dict[int, str], end: int = 2) -> dict[int, tuple]:
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    out, start = {}, 0
+    for doc in sorted(docs):
+        ids = [*tokenizer.encode(docs[doc], add_special_tokens=False).ids, end]
+        out[doc] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    return out
+
+
+def statistics(text: str) -> tuple[int, ...]:
+    """Words, characters in words, symbols, repeated lines, repeated words."""
+    words = WORD.findall(text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    hit = set()
+    for i in range(len(words) - 2):
+        if windows[tuple(words[i : i + 3])] > 1:
+            hit |= {i, i + 1, i + 2}
+    seen, copies = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            copies += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), copies, len(hit)
+
+
+def exact_groups(docs: list[tuple[int | None, str | None]]) -> dict[str, list]:
+    groups = defaultdict(list)
+    for doc, text in docs:
+        groups[SPACE.sub(" ", text or "")].append(doc)
+    return groups
+
+
+def fingerprint(text: str) -> int:
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words = WORD.findall(lower)
+    if not words:
+        return 0
+    shingles = [words] if len(words) < 4 else [words[i : i + 4] for i in range(len(words) - 3)]
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints: dict[int, int], radius: int = 4) -> dict[int, int]:
+    parent = {d: d for d in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(prints)
+    values = np.array([prints[d] for d in ids], np.uint64)
+    for i, doc in enumerate(ids):
+        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius)
+        for j in near:
+            a, b = find(doc), find(ids[i + 1 + j])
+            parent[max(a, b)] = min(a, b)
+    return {d: find(d) for d in ids}
+
+
+def secrets(text: str) -> list[tuple[int, int, str, int]]:
+    """(start, place, kind, end) of the base kinds."""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m.group(1)) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(found)
+
+
+def bpe(docs: dict[int, str]) -> dict[int, tuple]:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = {}
+    for doc, text in docs.items():
+        ids = encoding.encode_ordinary(text)
+        out[doc] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text))
+    return out
