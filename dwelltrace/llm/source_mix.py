@@ -8,9 +8,10 @@ three are the fewest whose null space is not empty; so at most two units of a bl
 
 Blocks of a few thousand units of one source fly in parallel, a large source in many of them.
 Open units meet in the next level's blocks, and after about log(units) / log(2000) levels a
-single block per source is left. Its last two units are the landing problem: the number of
-documents is given up first, then the words, which leaves one unit to chance. All that moves is
-an id and three numbers per document; the driver sees one row per source.
+single block per source is left. A dozen of its units, spread over the sizes, do not fly: with
+those that stay open they are the landing problem, small enough to try every outcome and take
+the one nearest to the expected words, then documents. All that moves is an id and three numbers
+per document; the driver sees one row per source.
 
 Random numbers come from the source, level and block, and blocks from a hash of the id: reruns
 agree.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from dwelltrace.llm.common import n_words, staged, whole_text
 
 _NEAR = 1e-9
+_LANDING = 12  # units that are kept for the landing
 _UNIT = "place long, doc_id long, size long, p double"
 
 
@@ -71,10 +73,15 @@ def _move(p: list[float], units: list[int], u: tuple[float, ...], coin: float) -
 def fly(p: list[float], sizes: list[int], rng: np.random.Generator, land: bool) -> None:
     """Move ``p`` in place, keeping its sum and its sum weighted by size, until at most two
     entries lie strictly between 0 and 1; with ``land`` none do."""
+    waiting = [k for k in range(len(p)) if 0 < p[k] < 1]
+    landing: list[int] = []
+    if land:
+        by_size = sorted(waiting, key=lambda k: sizes[k])
+        landing = by_size[:: max(1, len(by_size) // _LANDING)][:_LANDING]
+        waiting = [k for k in waiting if k not in set(landing)]
     units: list[int] = []
-    coins = rng.random(len(p) + 4)
-    moves = 0
-    for k in [k for k in range(len(p)) if 0 < p[k] < 1]:
+    coins = rng.random(len(waiting) + 1)
+    for move, k in enumerate(waiting):
         units.append(k)
         if len(units) == 3:
             a, b, c = (float(sizes[x]) for x in units)
@@ -82,18 +89,16 @@ def fly(p: list[float], sizes: list[int], rng: np.random.Generator, land: bool)
             if not any(u):
                 u = (1.0, -1.0, 0.0)
             scale = max(map(abs, u))
-            units = _move(p, units, tuple(v / scale for v in u), coins[moves])
-            moves += 1
-    if not land:
-        return
-    while len(units) > 1:
-        a, b = (float(sizes[x]) for x in units[:2])
-        u = (b, -a) if a and b else (1.0, 0.0) if b else (0.0, 1.0) if a else (1.0, -1.0)
-        scale = max(map(abs, u))
-        units = _move(p, units[:2], tuple(v / scale for v in u), coins[moves]) + units[2:]
-        moves += 1
-    for k in units:
-        p[k] = float(coins[moves] < p[k])
+            units = _move(p, units, tuple(v / scale for v in u), coins[move])
+    if land:
+        landing += units
+        outcomes = (np.arange(1 << len(landing))[:, None] >> np.arange(len(landing))) & 1
+        chances = np.array([p[k] for k in landing])
+        words = np.abs((outcomes - chances) @ np.array([float(sizes[k]) for k in landing]))
+        documents = np.abs((outcomes - chances).sum(axis=1))
+        best = np.lexsort((rng.random(len(outcomes)), documents, words.round(6)))[0]
+        for k, taken in zip(landing, outcomes[best].tolist()):
+            p[k] = float(taken)
 
 
 def _flight(level: int, land: bool):

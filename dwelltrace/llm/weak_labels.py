@@ -10,8 +10,7 @@ The probabilities then train a linear scorer on hashed words and word shapes, wh
 heuristics do not and scores every document. Only this training is on a sample, at most
 ``max_trained`` documents, those with the smallest hashes of their ids.
 
-Odd cases: a null or empty text has no features, every heuristic that tests length votes bad, and
-its score is that of the bias and the empty-text feature; ids may be null or repeat; an empty
+Odd cases: a null or empty text gets bad votes only and has one feature, that of being empty; ids may be null or repeat; an empty
 table gives an empty result; further columns are ignored; texts are read whole.
 """
 
@@ -28,18 +27,20 @@ from pyspark.sql import functions as F
 from dwelltrace.llm.common import staged
 from dwelltrace.llm.text_stats import document_statistics
 
-# Each heuristic: SQL for a bad vote, SQL for a good vote; otherwise it abstains.
+# Each heuristic: SQL for a bad vote, SQL for a good vote; otherwise it abstains. They overlap on
+# purpose: what one sees, another mostly sees too. Length alone is no vice.
 LABELLERS = {
-    "length": ("n_words < 20", "n_words >= 60"),
-    "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words < 0.1 * n_words AND n_words >= 30"),
-    "stutter": ("n_adjacent > 0.1 * n_words", "n_adjacent <= 0.02 * n_words AND n_words >= 30"),
-    "symbols": ("n_symbols > 0.2 * n_words", "n_symbols < 0.02 * n_words AND n_words >= 30"),
-    "shouting": ("n_upper > 0.5 * (n_upper + n_lower)", "n_upper < 0.15 * (n_upper + n_lower) AND n_words >= 30"),
-    "bangs": ("n_bangs > 0.2 * n_words", "n_bangs < 0.02 * n_words AND n_words >= 30"),
-    "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
-    "letters": (
-        "n_upper + n_lower < 0.7 * word_chars",
-        "n_upper + n_lower > 0.9 * word_chars AND n_words >= 30",
+    "repeats": ("n_repeat_words > 0.2 * n_words", "n_repeat_words = 0 AND n_words > 0"),
+    "stutter": ("n_adjacent > 0.03 * n_words", "false"),
+    "symbols": ("n_symbols > 0.05 * n_words", "false"),
+    "shouting": ("n_upper > 0.2 * (n_upper + n_lower)", "false"),
+    "bangs": ("n_bangs > 0.05 * n_words", "false"),
+    "lines": ("n_dup_lines > 0.3 * n_lines OR n_lines = 0", "false"),
+    "letters": ("n_upper + n_lower < 0.9 * word_chars", "n_upper + n_lower > 0.94 * word_chars"),
+    "prose": (
+        "n_words = 0",
+        "n_symbols < 0.02 * n_words AND n_bangs < 0.02 * n_words AND n_upper < 0.12 * (n_upper + n_lower) "
+        "AND n_adjacent <= 0.02 * n_words",
     ),
 }
 _BITS = 15
