@@ -7,7 +7,7 @@ from dwelltrace.operators.unify import active_events_from, unlock_events_from
 from dwelltrace.operators.upgrade import upgrade_legacy, upgrade_lines
 from dwelltrace.plans.etl import JobError, active_events, run_pipeline, unlock_events, write_outputs
 from dwelltrace.plans.maintenance import compact_logs
-from dwelltrace.plans.workspace import recommended_settings
+from dwelltrace.plans.workspace import cluster_settings, recommended_settings
 from dwelltrace.sinks.tables import flatten, write_table
 from dwelltrace.sources.config import (
     ConfigError,
@@ -28,6 +28,47 @@ from dwelltrace.sources.logs import (
 )
 from dwelltrace.streaming.batches import flush_and_stop
 from dwelltrace.streaming.live_tables import start_live_tables
-from dwelltrace.streaming.recorder import start_recorder
+from dwelltrace.streaming.recorder import start_configured_recorder, start_recorder
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "ConfigError",
+    "JobError",
+    "LIVE_RULES",
+    "NotALogError",
+    "TABLE_RULES",
+    "active_events",
+    "active_events_from",
+    "apply_rules",
+    "cluster_settings",
+    "compact_logs",
+    "drop_ignored",
+    "flatten",
+    "flush_and_stop",
+    "load_job_config",
+    "load_recorder_config",
+    "load_transform_config",
+    "parse_recorder_config",
+    "parse_transform_config",
+    "read_log_root",
+    "read_logs",
+    "read_runtime_events",
+    "recommended_settings",
+    "record",
+    "run_pipeline",
+    "runtime_events_from_text",
+    "samples_to_events",
+    "split_long_events",
+    "start_configured_recorder",
+    "start_live_tables",
+    "start_recorder",
+    "stream_logs",
+    "stream_runtime_events",
+    "to_logged",
+    "transform_live_events",
+    "unlock_events",
+    "unlock_events_from",
+    "upgrade_legacy",
+    "upgrade_lines",
+    "write_outputs",
+    "write_table",
+]

@@ -8,7 +8,12 @@ dialect it was written for. Spark matches with ``java.util.regex``, which differ
 * ``(?U)`` swaps greediness in rule files and selects Unicode classes there;
 * ``a*+`` repeats a repetition in rule files and is possessive there;
 * look-around and back-references exist there only, and so are refused here;
-* ``--``, ``~~`` and ``[:alpha:]`` inside brackets exist in rule files only.
+* ``--``, ``~~`` and ``[:alpha:]`` inside brackets exist in rule files only;
+* a loop over alternatives recurses once per round there, and a long value ends the JVM.
+  Alternatives of one character each become a bracketed class, and a loop whose rounds are told
+  apart by their first character, which is also not that of what follows, becomes possessive:
+  both run as plain loops and find the same. Other loops over alternatives stay recursive and
+  need a thread stack that fits the longest value (``cluster_settings``).
 
 ``to_java`` rewrites one pattern, once, on the driver when a rule file is loaded. What it
 returns is a literal inside a built-in ``rlike``; no Python runs per row.
@@ -90,6 +95,48 @@ def _quoted(char: str) -> str:
     return char
 
 
+@dataclass
+class _Piece:
+    """Java text of one part of a pattern, and what is known of it."""
+
+    text: str
+    member: str | None = None  # the same inside brackets, if it is one character
+    first: frozenset[str] | None = None  # characters it can start with, if known; empty at the end
+    rounds: frozenset[str] | None = None  # first characters that tell its alternatives apart
+    repetition: str = ""
+    optional: bool = False
+
+    def repeat(self, repetition: str) -> None:
+        if self.repetition:
+            # A second repetition applies to the first; bare, Java would read it as a
+            # possessive or lazy suffix.
+            self.text = f"(?:{self.text}{self.repetition})"
+            self.rounds = None
+        self.member = None
+        self.repetition = repetition
+        self.optional |= repetition[0] in "*?" or repetition.startswith("{0")
+
+    def java(self, follows: "frozenset[str] | None") -> str:
+        """The text with its repetition; ``follows`` is what the next piece can start with."""
+        if not self.repetition or self.rounds is None or follows is None or self.rounds & follows:
+            return self.text + self.repetition
+        # Only whether a match exists counts, so a lazy loop is the same as a greedy one.
+        greedy = self.repetition[:-1] if len(self.repetition) > 1 and self.repetition[-1] == "?" else self.repetition
+        return self.text + greedy + "+"
+
+
+def _java(pieces: list[_Piece], at_end: bool) -> str:
+    """A sequence; ``at_end`` if nothing of the pattern comes after it."""
+    texts = []
+    for piece, following in zip(pieces, [*pieces[1:], None]):
+        if following is None:
+            follows = frozenset() if at_end else None
+        else:
+            follows = None if following.optional else following.first
+        texts.append(piece.java(follows))
+    return "".join(texts)
+
+
 class _Rewriter:
     def __init__(self, pattern: str):
         self.pattern = pattern
@@ -131,43 +178,56 @@ class _Rewriter:
     # -- outside brackets ------------------------------------------------------------
 
     def rewrite(self) -> str:
-        body = self.alternatives(_Flags(), depth=0)
+        body = self.alternatives(_Flags(), depth=0).text
         if self.unicode_classes:
             return "(?U)" + body
         return "(?u)" + body if self.unicode_case else body
 
-    def alternatives(self, flags: _Flags, depth: int) -> str:
+    def alternatives(self, flags: _Flags, depth: int) -> _Piece:
         """Everything up to the end of the pattern or of the group that was just opened."""
-        pieces: list[str] = []
-        repeatable = repeated = False
+        choices: list[list[_Piece]] = [[]]
+        repeatable = False
         while True:
             self.skip_layout(flags)
             if self.pos == len(self.pattern) or (depth and self.looking_at(")")):
-                return "".join(pieces)
+                return self.body(choices, depth)
             if self.looking_at(")"):
                 raise self.fail("unopened group")
             if self.accept("|"):
-                pieces.append("|")
-                repeatable = repeated = False
+                choices.append([])
+                repeatable = False
                 continue
             repetition = self.repetition(flags)
             if repetition:
                 if not repeatable:
                     raise self.fail("repetition of nothing")
-                # A second repetition applies to the first; bare, Java would read it as
-                # a possessive or lazy suffix.
-                body = f"(?:{pieces[-1]})" if repeated else pieces[-1]
-                pieces[-1] = body + repetition
-                repeated = True
+                choices[-1][-1].repeat(repetition)
                 continue
             switched = self.flag_switch(flags)
             if switched:
                 flags, text = switched
-                pieces.append(text)
-                repeatable = repeated = False
+                choices[-1].append(_Piece(text))
+                repeatable = False
                 continue
-            pieces.append(self.atom(flags, depth))
-            repeatable, repeated = True, False
+            choices[-1].append(self.atom(flags, depth))
+            repeatable = True
+
+    @staticmethod
+    def body(choices: list[list[_Piece]], depth: int) -> _Piece:
+        if all(len(choice) == 1 and choice[0].member for choice in choices):
+            members = [choice[0].member for choice in choices]
+            firsts = [choice[0].first for choice in choices]
+            first = None if None in firsts else frozenset().union(*firsts)
+            member = members[0] if len(members) == 1 else f"[{''.join(members)}]"
+            return _Piece(choices[0][0].text if len(members) == 1 else member, member, first)
+        text = "|".join(_java(choice, depth == 0) for choice in choices)
+        firsts = [None if not choice or choice[0].optional else choice[0].first for choice in choices]
+        if None in firsts:
+            return _Piece(text)
+        first = frozenset().union(*firsts)
+        plain = all(piece.member for choice in choices for piece in choice)
+        apart = sum(map(len, firsts)) == len(first)
+        return _Piece(text, first=first, rounds=first if plain and apart else None)
 
     def repetition(self, flags: _Flags) -> str | None:
         found = self.match(r"[*+?]")
@@ -219,23 +279,30 @@ class _Rewriter:
             on, off = (on + "uU", off) if after.unicode else (on, off + "uU")
         return on + (f"-{off}" if off else "")
 
-    def atom(self, flags: _Flags, depth: int) -> str:
+    @staticmethod
+    def literal(char: str, flags: _Flags) -> _Piece:
+        return _Piece(_quoted(char), _quoted(char), None if flags.ignore_case else frozenset(char))
+
+    def atom(self, flags: _Flags, depth: int) -> _Piece:
         char = self.take()
         if char == "(":
             return self.group(flags, depth)
         if char == "[":
-            return "[" + self.brackets(flags) + "]"
+            text = "[" + self.brackets(flags) + "]"
+            return _Piece(text, text)
         if char == ".":
-            return "(?s:.)" if flags.dot_all else r"[^\n]"
+            return _Piece("(?s:.)") if flags.dot_all else _Piece(r"[^\n]", r"[^\n]")
         if char == "^":
-            return r"(?:\A|(?<=\n))" if flags.multi_line else r"(?:\A)"
+            return _Piece(r"(?:\A|(?<=\n))" if flags.multi_line else r"(?:\A)")
         if char == "$":
-            return r"(?=\n|\z)" if flags.multi_line else r"(?:\z)"
+            if flags.multi_line:
+                return _Piece(r"(?=\n|\z)")
+            return _Piece(r"(?:\z)", first=frozenset())
         if char == "\\":
             return self.escape(flags)
-        return _quoted(char)
+        return self.literal(char, flags)
 
-    def group(self, flags: _Flags, depth: int) -> str:
+    def group(self, flags: _Flags, depth: int) -> _Piece:
         opening = "("
         named = self.match(r"\?P?<([A-Za-z_][A-Za-z0-9_.\[\]]*)>")
         if named:
@@ -253,27 +320,33 @@ class _Rewriter:
         body = self.alternatives(flags, depth + 1)
         if not self.accept(")"):
             raise self.fail("unclosed group")
-        return f"{opening}{body})"
+        body.text = f"{opening}{body.text})"
+        if opening not in ("(", "(?:"):
+            body.member = None  # its flags hold inside the group only
+        return body
 
-    def escape(self, flags: _Flags) -> str:
+    def escape(self, flags: _Flags) -> _Piece:
         char = self.take()
         if char in "Az":
-            return rf"(?:\{char})"
+            return _Piece(rf"(?:\{char})", first=frozenset() if char == "z" else None)
         if char in "<>":
             self.unicode_classes = True
-            return f"(?:{_WORD_EDGES['start' if char == '<' else 'end']})"
+            return _Piece(f"(?:{_WORD_EDGES['start' if char == '<' else 'end']})")
         if char in "bB":
             edge = self.match(r"\{(start|end|start-half|end-half)\}") if char == "b" else None
             self.unicode_classes = True
             if edge:
-                return f"(?:{_WORD_EDGES[edge.group(1)]})"
+                return _Piece(f"(?:{_WORD_EDGES[edge.group(1)]})")
             if flags.unicode:
-                return rf"(?:\{char})"
+                return _Piece(rf"(?:\{char})")
             word = _ASCII_WORD
             same = (f"(?<={word})(?={word})", f"(?<!{word})(?!{word})")
             differ = (f"(?<={word})(?!{word})", f"(?<!{word})(?={word})")
-            return "(?:" + "|".join(differ if char == "b" else same) + ")"
-        return self.character_set(char) or _quoted(self.escaped_literal(char))
+            return _Piece("(?:" + "|".join(differ if char == "b" else same) + ")")
+        chars = self.character_set(char)
+        if chars:
+            return _Piece(chars, chars)
+        return self.literal(self.escaped_literal(char), flags)
 
     # -- escapes that are valid in and outside brackets ------------------------------
 

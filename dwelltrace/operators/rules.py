@@ -370,7 +370,7 @@ class _Program:
                 df = df.withColumns({self.state_column(*state): self.definition(*state) for state in ready})
                 due = [state for state in due if state not in ready]
             gone = [self.fires(i) for i in level if i in self.deleters]
-            df = df.filter(~_joined(Column.__or__, gone)) if gone else df
+            df = _keep(df, ~_joined(Column.__or__, gone)) if gone else df
             flags = {f"_fires_{i}": F.coalesce(self.predicate(i), F.lit(False)) for i in level if i in self.kept}
             df = df.withColumns(flags) if flags else df
         shared = [cell.name for cell, writers in self.writers.items() if cell.kind == "tag" and len(writers) > 1]
@@ -404,6 +404,18 @@ class _Program:
         return F.concat(F.col("tags"), *pieces)
 
 
+_BARRIER = "_barrier"
+
+
+def _keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on values computed below, without copying their expressions into the filter.
+
+    The optimizer would push the filter through the projections below and repeat in it every
+    expression they define. It cannot move a filter across a random number.
+    """
+    return df.withColumn(_BARRIER, F.rand(0)).filter(condition & (F.col(_BARRIER) >= 0)).drop(_BARRIER)
+
+
 def apply_rules(df: DataFrame, rules: Sequence[Rule], dialect: Dialect = TABLE_RULES) -> DataFrame:
     """Run a rule list over a flat event table."""
     return _Program(rules, dialect).run(df)
@@ -411,4 +423,4 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], dialect: Dialect = TABLE_R
 
 def drop_ignored(df: DataFrame) -> DataFrame:
     """Leave out the rows that a rule flagged."""
-    return df.filter(~F.col("ignore"))
+    return _keep(df, ~F.col("ignore"))

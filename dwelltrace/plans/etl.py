@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,9 +12,10 @@ from dwelltrace.functions.regex import check_patterns
 from dwelltrace.operators.rules import Rule, apply_rules, drop_ignored as without_ignored, patterns_of
 from dwelltrace.operators.split import split_long_events
 from dwelltrace.operators.unify import active_events_from, unlock_events_from
-from dwelltrace.plans.workspace import discard, materialize, job_settings
+from dwelltrace.files import remove, replace
+from dwelltrace.plans.workspace import discard, job_session, materialize
 from dwelltrace.schemas import ACTIVE_EVENTS, SOURCE_FILE_COLUMN, UNLOCK_EVENT, UNLOCK_LOG_SCHEMA
-from dwelltrace.sinks.tables import write_table
+from dwelltrace.sinks.tables import write_beside, write_table
 from dwelltrace.sources.config import JobConfig, load_job_config
 from dwelltrace.sources.logs import (
     CORRUPT_POLICIES,
@@ -77,24 +78,26 @@ def run_pipeline(
     split_long: bool = False,
     partition_bytes: int | None = 512 * 1024 * 1024,
     max_records_per_file: int = 0,
+    partition_by_date: bool = False,
 ) -> Outputs:
     """Read the configuration, a loaded one or the path of its main file, and all logs, and
     replace both output tables.
 
+    Both tables are written next to their places and take them only when both are complete and
+    the verdict on the logs is passed; a run that fails leaves the previous tables as they were.
+
     ``scan="direct"`` reads the logs once per table. The second scan is cheap: the reader
     skips all lines but unlocks once it has seen their type. Under the policy ``"file"``
-    unreadable lines are counted while the first table is written, and only if there are any
-    does a further pass find out whether a file is to blame; if so the run fails, as it also
-    would half way through, and its outputs are not to be used.
+    unreadable lines are counted while the tables are written, and only if there are any
+    does a further pass find out whether a file is to blame.
 
     ``scan="staged"`` parses the logs once into a columnar copy in the shared folder and makes
-    everything from that, so no output is replaced before the verdict. It costs the copy, and
-    pays where reading the logs is the bottleneck.
+    everything from that. It costs the copy, and pays where reading the logs is the bottleneck.
 
     ``drop_ignored`` leaves out flagged rows and ``split_long`` cuts phone events to the
     configured maximum duration; both are off by default. ``partition_bytes`` is the most
     input one task gets, and so decides the size of output files; small inputs are still
-    spread over all cores.
+    spread over all cores. ``partition_by_date`` lays both tables out in a folder per day.
     """
     if scan not in SCANS:
         raise ValueError(f"unknown scan {scan!r}, expected one of {SCANS}")
@@ -113,41 +116,54 @@ def run_pipeline(
             table = without_ignored(table)
         return split_long_events(table, config.transform.max_duration_sec) if split_long else table
 
-    def write(df: DataFrame, path: str) -> None:
-        write_table(df, path, config.output_format, max_records_per_file=max_records_per_file)
+    def write(df: DataFrame, path: str) -> str:
+        return write_beside(
+            df,
+            path,
+            config.output_format,
+            max_records_per_file=max_records_per_file,
+            partition_by_date=partition_by_date,
+        )
 
     outputs = output_paths(config.output_directory, config.output_format)
+    own = job_session(spark, partition_bytes)
+    new: dict[str, str] = {}
     try:
-        with job_settings(spark, partition_bytes):
-            run = _run_staged if scan == "staged" else _run_direct
-            run(spark, config.log_directory, on_corrupt, active_table, outputs, write)
+        run = _run_staged if scan == "staged" else _run_direct
+        for path, folder in run(own, config.log_directory, on_corrupt, active_table, outputs, write):
+            new[path] = folder
+        for path, folder in new.items():
+            replace(own, folder, path)
     except Exception as error:
+        for folder in new.values():
+            remove(own, folder)
         raise JobError(f"the run over {config.log_directory} failed: {error}") from error
     return outputs
 
 
-def _run_direct(spark, root, on_corrupt, active_table, outputs, write) -> None:
+def _run_direct(spark, root, on_corrupt, active_table, outputs, write) -> Iterator[tuple[str, str]]:
     by_line = "line" if on_corrupt == "line" else "drop"
-    unreadable = Observation() if on_corrupt == "file" else None
-    write(
-        active_table(read_log_root(spark, root, types=ACTIVE_EVENTS, on_corrupt=by_line, dropped=unreadable)),
-        outputs.active_events,
+    seen = [Observation(), Observation()] if on_corrupt == "file" else [None, None]
+    active = read_log_root(spark, root, types=ACTIVE_EVENTS, on_corrupt=by_line, dropped=seen[0])
+    yield outputs.active_events, write(active_table(active), outputs.active_events)
+    unlocks = read_log_root(
+        spark, root, schema=UNLOCK_LOG_SCHEMA, types=[UNLOCK_EVENT], on_corrupt=by_line, dropped=seen[1]
     )
-    if unreadable is not None and unreadable.get["unreadable_lines"]:
+    # A few rows of every task: gathered, or there would be as many tiny files.
+    yield outputs.unlock_events, write(unlock_events_from(unlocks).hint("rebalance"), outputs.unlock_events)
+    if any(count is not None and count.get["unreadable_lines"] for count in seen):
         refuse_foreign_files(scan_marked(spark, root))
-    unlocks = read_log_root(spark, root, schema=UNLOCK_LOG_SCHEMA, types=[UNLOCK_EVENT], on_corrupt=by_line)
-    write(unlock_events_from(unlocks), outputs.unlock_events)
 
 
-def _run_staged(spark, root, on_corrupt, active_table, outputs, write) -> None:
+def _run_staged(spark, root, on_corrupt, active_table, outputs, write) -> Iterator[tuple[str, str]]:
     staged, path = materialize(scan_marked(spark, root), "logs")
     try:
         if on_corrupt == "file":
             refuse_foreign_files(staged)
         elif on_corrupt == "line" and not staged.filter(F.col(UNREADABLE_COLUMN)).isEmpty():
             raise NotALogError("a log holds a line that is not a JSON object")
-        logs = staged.drop(UNREADABLE_COLUMN, SOURCE_FILE_COLUMN)
-        write(active_table(logs), outputs.active_events)
-        write(unlock_events_from(logs), outputs.unlock_events)
+        logs = staged.filter(~F.col(UNREADABLE_COLUMN)).drop(UNREADABLE_COLUMN, SOURCE_FILE_COLUMN)
+        yield outputs.active_events, write(active_table(logs), outputs.active_events)
+        yield outputs.unlock_events, write(unlock_events_from(logs).hint("rebalance"), outputs.unlock_events)
     finally:
-        discard(spark, path, staged.schema)
+        discard(spark, path)

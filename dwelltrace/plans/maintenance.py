@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from dwelltrace.operators.upgrade import upgrade_lines
-from dwelltrace.plans.workspace import job_settings
-from dwelltrace.sinks.lines import write_lines
-from dwelltrace.sources.logs import LOG_FILE_PATTERN
+from dwelltrace.plans.workspace import job_session
+from dwelltrace.sinks.lines import write_raw_lines
+from dwelltrace.sources.logs import LOG_FILE_PATTERN, refuse_hidden_logs
 
 # Opening a file costs about as much as reading this much of it. Spark assumes 4 MB, which
 # would end a compacted file after a few dozen hourly logs.
@@ -26,8 +26,10 @@ def compact_logs(
 ) -> None:
     """Copy all logs under one root into few ``.jsonl.gz`` files under another.
 
-    Lines are copied as text, so unknown events and malformed lines survive untouched; with
-    ``upgrade`` legacy events are rewritten on the way. There is no shuffle: files are packed
+    Lines are copied as bytes, so unknown events and malformed lines survive untouched, control
+    characters, carriage returns and broken UTF-8 included; blank lines go, and a last line gets
+    its end. With ``upgrade`` legacy events are rewritten on the way. Logs that Spark would pass
+    over because of their names fail the call. There is no shuffle: files are packed
     into tasks of ``partition_bytes`` and each task writes its own output. A gzip file is
     read by one task when it is used again, hence the bound on its lines.
 
@@ -37,9 +39,10 @@ def compact_logs(
     source, target = source_root.rstrip("/") + "/", target_root.rstrip("/") + "/"
     if target.startswith(source) or source.startswith(target):
         raise ValueError("compacted logs must not be written inside the folder they come from, or above it")
-    with job_settings(spark, partition_bytes, _SMALL_FILE_COST):
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", LOG_FILE_PATTERN)
-        lines = reader.text(source_root)
-        if upgrade:
-            lines = upgrade_lines(lines)
-        write_lines(lines, target_root, compression=compression, max_lines_per_file=max_lines_per_file)
+    refuse_hidden_logs(spark, [source_root])
+    own = job_session(spark, partition_bytes, _SMALL_FILE_COST)
+    reader = own.read.option("recursiveFileLookup", True).option("pathGlobFilter", LOG_FILE_PATTERN)
+    lines = reader.option("lineSep", "\n").text(source_root)
+    if upgrade:
+        lines = upgrade_lines(lines)
+    write_raw_lines(lines, target_root, compression=compression, max_lines_per_file=max_lines_per_file)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwelltrace.files import beside, remove, rename_parts, replace
+
 # The delimited-text writer is the one that lets the caller choose the file extension, and
 # with it log folders hold the names their readers look for. Its separator and quote are
-# control characters, which JSON never contains, so a line is written byte for byte.
+# control characters, which JSON text never contains, so JSON is written byte for byte. Text
+# that may hold anything goes through write_raw_lines.
 _LINE_OPTIONS = {
     "extension": "jsonl",
     "sep": "\x01",
@@ -32,6 +35,30 @@ def write_lines(
     writer.option("compression", compression).csv(path)
 
 
+def write_raw_lines(
+    lines: DataFrame, path: str, *, compression: str = "none", max_lines_per_file: int = 0
+) -> None:
+    """Write a single text column as log files, the bytes of each line as they are, and replace
+    what was there. Blank lines are left out.
+
+    The text writer does not touch bytes but names its files itself; they get their log names
+    before the folder takes its place.
+    """
+    (column,) = lines.columns
+    writer = lines.filter(F.trim(F.col(column)) != "").write.option("lineSep", "\n").option("compression", compression)
+    if max_lines_per_file:
+        writer = writer.option("maxRecordsPerFile", max_lines_per_file)
+    spark, folder = lines.sparkSession, beside(path)
+    try:
+        writer.text(folder)
+        rename_parts(spark, folder, ".txt", ".jsonl")
+        rename_parts(spark, folder, ".txt.gz", ".jsonl.gz")
+    except Exception:
+        remove(spark, folder)
+        raise
+    replace(spark, folder, path)
+
+
 def utc_text(time: Column) -> Column:
     """A UTC wall clock as RFC 3339 text with 0, 3 or 6 fraction digits."""
     text = time.cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dwelltrace.functions.durations import duration_to_seconds
+from dwelltrace.files import beside, remove, replace
 from dwelltrace.functions.tags import join_list
 
 # Spark's CSV writer trims blanks, escapes quotes with a backslash and cuts fractions of a
@@ -35,17 +36,48 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.withColumns(flat) if flat else df
 
 
-def write_table(df: DataFrame, path: str, output_format: str, *, max_records_per_file: int = 0) -> None:
-    """Write a table, replacing what is there. Parent folders are created.
+def write_table(
+    df: DataFrame,
+    path: str,
+    output_format: str,
+    *,
+    max_records_per_file: int = 0,
+    partition_by_date: bool = False,
+) -> None:
+    """Write a table, replacing what is there once the new one is complete. Parent folders are
+    created; a failed write leaves the old table as it was.
 
     One file per task: no shuffle is spent on file sizes, which follow the size of the scan
     partitions. ``max_records_per_file`` bounds the file of a task that has very many rows,
-    such as one that read a large gzip file.
+    such as one that read a large gzip file. ``partition_by_date`` lays the table out in a folder
+    per UTC day of its ``time``, which readers see as the column ``date``; rows then move once,
+    so that a day is a few files and not one from every task.
     """
+    new = write_beside(
+        df, path, output_format, max_records_per_file=max_records_per_file, partition_by_date=partition_by_date
+    )
+    replace(df.sparkSession, new, path)
+
+
+def write_beside(
+    df: DataFrame, path: str, output_format: str, *, max_records_per_file: int = 0, partition_by_date: bool = False
+) -> str:
+    """Write a table next to where it belongs, and return that folder. Nothing is replaced yet."""
     if output_format not in _WRITER_OPTIONS:
         raise ValueError(f"unknown output format {output_format!r}, expected one of {tuple(_WRITER_OPTIONS)}")
     table = flatten(df) if output_format == "csv" else df
+    if partition_by_date:
+        # A large day is split over several tasks again.
+        table = table.withColumn("date", F.to_date("time")).hint("rebalance", "date")
     writer = table.write.mode("overwrite").options(**_WRITER_OPTIONS[output_format])
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    writer.format(output_format).save(path)
+    if partition_by_date:
+        writer = writer.partitionBy("date")
+    folder = beside(path)
+    try:
+        writer.format(output_format).save(folder)
+    except Exception:
+        remove(df.sparkSession, folder)
+        raise
+    return folder

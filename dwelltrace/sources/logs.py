@@ -12,7 +12,12 @@ What happens to a line that is no JSON object at all is a policy:
     Such lines are skipped; pass an ``Observation`` to learn how many there were.
 
 A line that *is* an object but holds a malformed value is never an error: only that value
-becomes null.
+becomes null. A line that was torn anywhere is no object, also if the reader could make out its
+first values. When only some event types are asked for, a torn line whose type is known and not
+among them is skipped like its kind.
+
+Spark passes over files and folders whose names begin with ``_`` or ``.``. Logs under such names
+are not left out in silence: the call fails and names them.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dwelltrace.files import hidden_files
 from dwelltrace.schemas import (
     CORRUPT_COLUMN,
     LOG_SCHEMA,
@@ -33,6 +39,7 @@ from dwelltrace.schemas import (
 )
 
 LOG_FILE_PATTERN = "{*.jsonl,*.jsonl.gz}"
+LOG_SUFFIXES = (".jsonl", ".jsonl.gz")
 UNREADABLE_COLUMN = "unreadable"
 CORRUPT_POLICIES = ("line", "file", "drop")
 
@@ -95,7 +102,22 @@ def _read(spark, paths, under_root, schema, types, on_corrupt, with_source, drop
     return _typed(lines, schema, types, on_corrupt, with_source, dropped)
 
 
+def refuse_hidden_logs(spark: SparkSession, paths: Sequence[str], under_root: bool = True) -> None:
+    """Raise if Spark would leave out logs because of their names."""
+    if under_root:
+        hidden = [name for path in paths for name in hidden_files(spark, path, LOG_SUFFIXES)]
+    else:
+        hidden = [path for path in paths if path.rstrip("/").rpartition("/")[2][:1] in ("_", ".")]
+    if hidden:
+        raise NotALogError("names that begin with _ or . are passed over, rename: " + _some(hidden))
+
+
+def _some(names: Sequence[str], at_most: int = 5) -> str:
+    return ", ".join(names[:at_most]) + (" and more" if len(names) > at_most else "")
+
+
 def _scan(spark, paths, under_root, schema) -> DataFrame:
+    refuse_hidden_logs(spark, paths, under_root)
     return spark.read.options(**_scan_options(under_root)).schema(with_corrupt_column(schema)).json(paths)
 
 
@@ -108,7 +130,10 @@ def scan_marked(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _unreadable() -> Column:
-    return F.col("type").isNull() & F.col(CORRUPT_COLUMN).isNotNull()
+    """Whether a line is no JSON object. The reader fills the corrupt column for any trouble,
+    and a torn line may have given some values before it broke; only a whole object has keys."""
+    text = F.col(CORRUPT_COLUMN)
+    return text.isNotNull() & (F.col("type").isNull() | F.json_object_keys(text).isNull())
 
 
 def _marked(lines: DataFrame) -> DataFrame:
@@ -129,6 +154,7 @@ def stream_logs(
     """Follow a log folder: every file that appears under it is read once."""
     if on_corrupt not in ("line", "drop"):
         raise ValueError("a stream judges line by line: use the policy 'line' or 'drop'")
+    refuse_hidden_logs(spark, [root])
     reader = spark.readStream.options(**_scan_options(under_root=True)).schema(with_corrupt_column(schema))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -138,16 +164,19 @@ def stream_logs(
 def _typed(lines, schema, types, on_corrupt, with_source, dropped) -> DataFrame:
     """Raw scan to log table: corrupt lines judged, time as a UTC wall clock."""
     kind = F.col("type")
-    if dropped is not None:
-        lines = lines.observe(dropped, F.count_if(_unreadable()).alias("unreadable_lines"))
     if types:
         # Rows without a type must get past the reader, for unreadable lines are among them.
+        # The filter comes before the observation, which nothing is pushed through.
         lines = lines.filter(kind.isNull() | kind.isin(*types))
+    if dropped is not None:
+        lines = lines.observe(dropped, F.count_if(_unreadable()).alias("unreadable_lines"))
     if on_corrupt == "line":
         # Part of the value of "type" rather than a filter of its own, so that no optimizer
         # rule can order another test before it. The message never quotes the line.
         complaint = F.lit("a log holds a line that is not a JSON object")
         kind = F.when(_unreadable(), F.raise_error(complaint)).otherwise(kind)
+    else:
+        lines = lines.filter(~_unreadable())
     columns = {f.name: F.col(f.name) for f in schema.fields}
     columns |= {"type": kind, "time": utc_wall_clock(F.col("time"))}
     if with_source:
@@ -159,41 +188,72 @@ def refuse_foreign_files(marked: DataFrame) -> None:
     """Raise if some file has unreadable lines and not one readable event.
 
     One row per file leaves each task (partial aggregation), and only offenders reach the
-    driver, five at most.
+    driver, a handful at most.
     """
     foreign = (
         marked.groupBy(SOURCE_FILE_COLUMN)
-        .agg(F.bool_or(UNREADABLE_COLUMN).alias("bad"), F.count("type").alias("events"))
+        .agg(
+            F.bool_or(UNREADABLE_COLUMN).alias("bad"),
+            F.count_if(F.col("type").isNotNull() & ~F.col(UNREADABLE_COLUMN)).alias("events"),
+        )
         .filter(F.col("bad") & (F.col("events") == 0))
         .select(SOURCE_FILE_COLUMN)
-        .take(5)
+        .take(6)
     )
     if foreign:
-        raise NotALogError("not an activity log: " + ", ".join(row[0] for row in foreign))
+        raise NotALogError("not an activity log: " + _some([row[0] for row in foreign]))
 
 
-def read_runtime_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Live events kept as JSON lines: columns ``time``, ``data`` and ``windowTitle``."""
-    return spark.read.option("timeZone", "UTC").schema(RUNTIME_LINE_SCHEMA).json(paths).transform(_runtime_columns)
+def read_runtime_events(
+    spark: SparkSession, paths: str | Sequence[str], *, on_corrupt: str = "line", dropped: Observation | None = None
+) -> DataFrame:
+    """Live events kept as JSON lines: columns ``time``, ``data`` and ``windowTitle``.
 
+    ``on_corrupt`` is ``"line"`` or ``"drop"``, as for logs; a whole object that is no window
+    event is skipped.
+    """
+    lines = spark.read.options(**_scan_options(False)).schema(with_corrupt_column(RUNTIME_LINE_SCHEMA)).json(paths)
+    return _runtime_columns(lines, on_corrupt, dropped)
 
-def stream_runtime_events(spark: SparkSession, folder: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.option("timeZone", "UTC").schema(RUNTIME_LINE_SCHEMA)
+
+def stream_runtime_events(
+    spark: SparkSession, folder: str, *, on_corrupt: str = "line", max_files_per_trigger: int | None = None
+) -> DataFrame:
+    reader = spark.readStream.options(**_scan_options(False)).schema(with_corrupt_column(RUNTIME_LINE_SCHEMA))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(folder).transform(_runtime_columns)
+    return _runtime_columns(reader.json(folder), on_corrupt, None)
 
 
-def runtime_events_from_text(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The same table out of a text column, as a message queue delivers it."""
-    parsed = F.from_json(F.col(column).cast("string"), RUNTIME_LINE_SCHEMA, {"timeZone": "UTC"})
-    return lines.select(parsed.alias("line")).select("line.*").transform(_runtime_columns)
+def runtime_events_from_text(
+    lines: DataFrame, column: str = "value", *, on_corrupt: str = "line", dropped: Observation | None = None
+) -> DataFrame:
+    """The same table out of a text column, as a message queue delivers it. Blank texts are skipped."""
+    text = F.col(column).cast("string")
+    options = {"timeZone": "UTC", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COLUMN}
+    parsed = F.from_json(text, with_corrupt_column(RUNTIME_LINE_SCHEMA), options)
+    whole = lines.filter(F.trim(text) != "").select(parsed.alias("line")).select("line.*")
+    return _runtime_columns(whole, on_corrupt, dropped)
 
 
-def _runtime_columns(lines: DataFrame) -> DataFrame:
-    event = "activeWindowEvent"
-    return lines.filter(F.col(event).isNotNull()).select(
-        utc_wall_clock(F.col(f"{event}.time")).alias("time"),
-        F.col(f"{event}.data").alias("data"),
-        F.col(f"{event}.windowTitle").alias("windowTitle"),
+def _runtime_columns(lines: DataFrame, on_corrupt: str, dropped: Observation | None) -> DataFrame:
+    if on_corrupt not in ("line", "drop"):
+        raise ValueError("live events are judged line by line: use the policy 'line' or 'drop'")
+    event, text = F.col("activeWindowEvent"), F.col(CORRUPT_COLUMN)
+    unreadable = text.isNotNull() & F.json_object_keys(text).isNull()
+    if dropped is not None:
+        lines = lines.observe(dropped, F.count_if(unreadable).alias("unreadable_lines"))
+    if on_corrupt == "line":
+        complaint = F.lit("a live event is not a JSON object")
+        event = F.when(unreadable, F.raise_error(complaint).cast(lines.schema["activeWindowEvent"].dataType)).otherwise(event)
+    else:
+        lines = lines.filter(~unreadable)
+    return (
+        lines.select(event.alias("event"))
+        .filter(F.col("event").isNotNull())
+        .select(
+            utc_wall_clock(F.col("event.time")).alias("time"),
+            F.col("event.data").alias("data"),
+            F.col("event.windowTitle").alias("windowTitle"),
+        )
     )

@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from dwelltrace.plans.workspace import job_settings
+from dwelltrace.plans.workspace import stream_settings
+
 
 def batch_folder(batch: DataFrame, batch_id: int, root: str) -> str:
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -27,8 +28,7 @@ def start(
 ) -> StreamingQuery:
     """Run ``write`` per micro-batch: every ``every_sec`` seconds, or once over what is there."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    # A query keeps the settings it was started with.
-    with job_settings(stream.sparkSession):
+    with stream_settings(stream.sparkSession):
         if every_sec is None:
             return writer.trigger(availableNow=True).start()
         return writer.trigger(processingTime=f"{every_sec} seconds").start()

@@ -13,6 +13,7 @@ import time
 import pyarrow.parquet
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import dwelltrace
@@ -23,7 +24,7 @@ from dwelltrace.plans.workspace import shared_folder
 from dwelltrace.schemas import SAMPLE_SCHEMA, WINDOW_DATA_SCHEMA
 from dwelltrace.sinks.lines import event_lines, utc_text, write_lines
 
-WEB = [R.Rule(R.HasTag("browser"), (R.AddTag("web"),))]
+MADE = [R.Rule(R.HasTag("art"), (R.AddTag("made"),))]
 
 
 @pytest.fixture
@@ -48,7 +49,7 @@ def multiset(df):
 
 def test_csv_is_flat(spark, two_logs, tmp_path):
     outputs = write_outputs(
-        dwelltrace.active_events(spark, two_logs, WEB).coalesce(1), dwelltrace.unlock_events(spark, two_logs), str(tmp_path), "csv"
+        dwelltrace.active_events(spark, two_logs, MADE).coalesce(1), dwelltrace.unlock_events(spark, two_logs), str(tmp_path), "csv"
     )
     assert outputs.active_events == f"{tmp_path}/active_events.csv"
     (path,) = files(outputs.active_events, ".csv")
@@ -56,15 +57,15 @@ def test_csv_is_flat(spark, two_logs, tmp_path):
     assert text.startswith("time,duration,hostname,")
     assert "[" not in text and "]" not in text
     rows = sorted(csv.DictReader(open(path)), key=lambda r: r["time"])
-    assert [r["tags"] for r in rows] == ["browser|web", "", "redacted", "", ""]
-    assert [r["duration"] for r in rows] == ["15", "15", "15", "137", "60"]
-    assert [r["idleFor"] for r in rows] == ["0", "300", "0", "", ""]
-    assert rows[0]["time"] == "2026-08-17T09:00:00.000000"
-    assert rows[0]["processPath"] == "C:\\Program Files\\Mozilla Firefox\\firefox.exe"
+    assert [r["tags"] for r in rows] == ["art|made", "", "hidden", "", ""]
+    assert [r["duration"] for r in rows] == ["20", "20", "20", "200", "45"]
+    assert [r["idleFor"] for r in rows] == ["0", "420", "7", "", ""]
+    assert rows[0]["time"] == "2031-04-02T06:10:00.000000"
+    assert rows[0]["processPath"] == "D:\\Tools\\Krita\\krita.exe"
     # An empty list is an empty string, which CSV tells apart from null by its quotes.
     assert any(line.endswith(',false,false,""') for line in text.splitlines())
     (unlock,) = [row for p in files(outputs.unlock_events, ".csv") for row in csv.DictReader(open(p))]
-    assert unlock == {"time": "2026-08-17T11:05:00.000000", "hostname": "pixel"}
+    assert unlock == {"time": "2031-04-02T07:04:00.000000", "hostname": "handset"}
 
 
 def test_csv_keeps_awkward_text(spark, tmp_path):
@@ -131,7 +132,7 @@ def test_live_events_golden(spark, fixture_path):
     events = dwelltrace.read_runtime_events(spark, fixture_path("live", "runtime_input.jsonl"))
     expected = dwelltrace.read_runtime_events(spark, fixture_path("live", "runtime_expected.jsonl"))
     out = dwelltrace.transform_live_events(events, live_rules(fixture_path))
-    assert out.count() == 4
+    assert out.count() == 5
     assert multiset(out) == multiset(expected)
 
 
@@ -149,8 +150,8 @@ def test_title_never_reaches_the_log(spark, fixture_path, tmp_path):
     everything = "".join(
         open(p, "rb").read().decode("utf-8", "replace") for root in (folder, state) for p in files(root, "") if os.path.isfile(p)
     )
-    assert "firefox" in everything
-    assert "YouTube" not in everything and "windowTitle" not in everything
+    assert "krita" in everything
+    assert "Draft" not in everything and "windowTitle" not in everything
 
 
 # -- samples -----------------------------------------------------------------------------
@@ -192,10 +193,10 @@ def test_recorder_stream_goes_on_after_a_restart(spark, fixture_path, tmp_path):
         dwelltrace.start_recorder(dwelltrace.stream_runtime_events(spark, feed), rules, folder, checkpoint=state).awaitTermination()
         return dwelltrace.read_log_root(spark, folder).count()
 
-    assert run() == 4
-    assert run() == 4
+    assert run() == 5
+    assert run() == 5
     shutil.copy(fixture_path("live", "runtime_input.jsonl"), f"{feed}/b.jsonl")
-    assert run() == 8
+    assert run() == 10
     assert all(p.endswith(".jsonl") for p in files(folder, "") if os.path.isfile(p) and "/part-" in p)
 
 
@@ -209,13 +210,13 @@ def test_a_replayed_batch_replaces_itself_and_a_new_query_does_not(spark, fixtur
         return dwelltrace.read_log_root(spark, folder).count()
 
     state = str(tmp_path / "state")
-    assert run(state) == 4
+    assert run(state) == 5
     # A crash between the write and its confirmation: the batch is not marked as done.
     for name in ("0", ".0.crc"):
         if os.path.exists(f"{state}/commits/{name}"):
             os.remove(f"{state}/commits/{name}")
-    assert run(state) == 4
-    assert run(str(tmp_path / "other-state")) == 8
+    assert run(state) == 5
+    assert run(str(tmp_path / "other-state")) == 10
 
 
 def test_no_events_no_file(spark, fixture_path, tmp_path):
@@ -240,7 +241,7 @@ def test_periodic_flush_and_stop(spark, fixture_path, tmp_path):
     shutil.copy(fixture_path("live", "runtime_input.jsonl"), f"{feed}/b.jsonl")
     dwelltrace.flush_and_stop(query, record)
     assert not query.isActive
-    assert dwelltrace.read_log_root(spark, folder).count() == 8
+    assert dwelltrace.read_log_root(spark, folder).count() == 10
 
 
 def test_live_tables_equal_the_batch(spark, fixture_path, tmp_path):
@@ -251,10 +252,10 @@ def test_live_tables_equal_the_batch(spark, fixture_path, tmp_path):
     for half in (names[:2], names[2:]):
         for name in half:
             shutil.copy(fixture_path("logs", f"{name}.jsonl"), logs)
-        dwelltrace.start_live_tables(spark, str(logs), WEB, *outputs, checkpoint=state, max_files_per_trigger=1).awaitTermination()
+        dwelltrace.start_live_tables(spark, str(logs), MADE, *outputs, checkpoint=state, max_files_per_trigger=1).awaitTermination()
     paths = [fixture_path("logs", f"{name}.jsonl") for name in names]
     read = spark.read.option("recursiveFileLookup", True)
-    assert multiset(read.parquet(outputs[0])) == multiset(dwelltrace.active_events(spark, paths, WEB))
+    assert multiset(read.parquet(outputs[0])) == multiset(dwelltrace.active_events(spark, paths, MADE))
     assert multiset(read.parquet(outputs[1])) == multiset(dwelltrace.unlock_events(spark, paths))
 
 
@@ -302,10 +303,10 @@ def test_compaction_with_upgrade(spark, fixture_path, tmp_path):
     legacy = [line for line in lines if '"ActiveWindowEvent"' in line]
     assert legacy == ['{"type":"ActiveWindowEvent","duration":"bad"}']
     assert set(_raw_lines(root)) - set(lines) == {x for x in _raw_lines(root) if '"ActiveWindowEvent"' in x} - set(legacy)
-    vim = json.loads(next(line for line in lines if "vim" in line))
-    assert vim == {
-        "type": "ActiveWindowEventV1", "time": "2026-08-17T10:00:00+00:00",
-        "data": {"duration": 15, "hostname": "laptop", "username": "ada", "idleFor": 3, "processPath": "/bin/vim", "tags": ["editor"]},
+    nano = json.loads(next(line for line in lines if "nano" in line))
+    assert nano == {
+        "type": "ActiveWindowEventV1", "time": "2031-04-02T09:30:00+00:00",
+        "data": {"duration": 25, "hostname": "notebook", "username": "sam", "idleFor": 5, "processPath": "/bin/nano", "tags": ["notes"]},
     }
 
 
@@ -328,14 +329,14 @@ def test_upgrade_gives_the_same_table(spark, fixture_path):
 def _split(spark, fixture_path, seconds, **options):
     df = dwelltrace.split_long_events(dwelltrace.active_events(spark, fixture_path("logs", "mobile.jsonl")), seconds, **options)
     rows = df.select("time", duration_to_millis(F.col("duration"))).orderBy("time").collect()
-    return [((r[0] - dt.datetime(2026, 8, 17, 11)).total_seconds(), r[1] / 1000) for r in rows]
+    return [((r[0] - dt.datetime(2031, 4, 2, 7)).total_seconds(), r[1] / 1000) for r in rows]
 
 
 def test_split_long_events(spark, fixture_path):
-    assert _split(spark, fixture_path, 60) == [(0, 60), (60, 60), (120, 17), (301, 60)]
-    assert _split(spark, fixture_path, 60, anchor="end") == [(-77, 60), (-17, 60), (0, 17), (301, 60)]
-    assert _split(spark, fixture_path, 137) == _split(spark, fixture_path, 0) == [(0, 137), (301, 60)]
-    assert len(_split(spark, fixture_path, 1)) == 197
+    assert _split(spark, fixture_path, 60) == [(0, 60), (60, 60), (120, 60), (180, 20), (242, 45)]
+    assert _split(spark, fixture_path, 60, anchor="end") == [(-140, 60), (-80, 60), (-20, 60), (0, 20), (242, 45)]
+    assert _split(spark, fixture_path, 200) == _split(spark, fixture_path, 0) == [(0, 200), (242, 45)]
+    assert len(_split(spark, fixture_path, 1)) == 245
 
 
 def test_split_leaves_other_rows_alone(spark, write_log):
@@ -367,7 +368,7 @@ def _config(tmp_path, **changes):
         "activeEventRules": [
             {"predicate": {"idleForGreaterThanSec": 60}, "actions": ["ignore"]},
             {"predicate": "isMobile", "actions": [{"addTag": "mobile"}]},
-            {"predicate": {"hasTag": "browser"}, "actions": [{"setAttribute": {"name": "category", "value": "web"}}]},
+            {"predicate": {"hasTag": "art"}, "actions": [{"setAttribute": {"name": "category", "value": "studio"}}]},
         ],
         "activeEventMaxDuration": 60,
     }
@@ -390,39 +391,38 @@ def test_run(spark, fixture_path, tmp_path, scan):
     assert outputs.active_events == f"{tmp_path}/out/active_events.parquet"
     rows = spark.read.parquet(outputs.active_events).orderBy("time").collect()
     assert [r.ignore for r in rows] == [False, True, False, False, False]
-    assert [r.tags for r in rows] == [["browser"], [], ["redacted"], ["mobile"], ["mobile"]]
-    assert [r.category for r in rows] == ["web", None, None, None, None]
-    assert [r.hostname for r in spark.read.parquet(outputs.unlock_events).collect()] == ["pixel"]
+    assert [r.tags for r in rows] == [["art"], [], ["hidden"], ["mobile"], ["mobile"]]
+    assert [r.category for r in rows] == ["studio", None, None, None, None]
+    assert [r.hostname for r in spark.read.parquet(outputs.unlock_events).collect()] == ["handset"]
 
 
 def test_run_options(spark, fixture_path, tmp_path):
     _two_file_root(fixture_path, tmp_path)
     outputs = run_pipeline(spark, _config(tmp_path), drop_ignored=True, split_long=True, partition_bytes=1 << 20)
-    assert spark.read.parquet(outputs.active_events).count() == 4 + 2
+    assert spark.read.parquet(outputs.active_events).count() == 3 + 4
 
 
 def test_run_leaves_no_staged_rows(spark, fixture_path, tmp_path):
     _two_file_root(fixture_path, tmp_path)
     run_pipeline(spark, _config(tmp_path), scan="staged")
     shared = spark.conf.get("spark.checkpoint.dir")
-    for staged in glob.glob(f"{shared}/dwelltrace/logs-*"):
-        assert spark.read.parquet(staged).count() == 0
+    assert glob.glob(f"{shared}/dwelltrace/logs-*") == []
 
 
-def test_a_refused_run_keeps_the_previous_output(spark, fixture_path, tmp_path):
+@pytest.mark.parametrize("policy", ["file", "line"])
+@pytest.mark.parametrize("scan", ["direct", "staged"])
+def test_a_refused_run_keeps_the_previous_output(spark, fixture_path, tmp_path, scan, policy):
     _two_file_root(fixture_path, tmp_path)
     outputs = run_pipeline(spark, _config(tmp_path))
+    before = [multiset(spark.read.parquet(path)) for path in (outputs.active_events, outputs.unlock_events)]
+    shutil.copy(fixture_path("logs", "mixed.jsonl"), tmp_path / "root")  # a good file more
     shutil.copy(fixture_path("live", "main_config.json"), tmp_path / "root" / "foreign.jsonl")
-    for policy in ("file", "line"):
-        with pytest.raises(dwelltrace.JobError):
-            run_pipeline(spark, _config(tmp_path), on_corrupt=policy, scan="staged")
-    assert spark.read.parquet(outputs.active_events).count() == 5
-    for policy in ("file", "line"):
-        with pytest.raises(dwelltrace.JobError):
-            run_pipeline(spark, _config(tmp_path), on_corrupt=policy)
-    for scan in ("direct", "staged"):
-        run_pipeline(spark, _config(tmp_path), on_corrupt="drop", scan=scan)
-        assert spark.read.parquet(outputs.active_events).count() == 5
+    with pytest.raises(dwelltrace.JobError):
+        run_pipeline(spark, _config(tmp_path), on_corrupt=policy, scan=scan)
+    assert before == [multiset(spark.read.parquet(path)) for path in (outputs.active_events, outputs.unlock_events)]
+    assert sorted(os.listdir(tmp_path / "out")) == ["active_events.parquet", "unlock_events.parquet"]
+    run_pipeline(spark, _config(tmp_path), on_corrupt="drop", scan=scan)
+    assert spark.read.parquet(outputs.active_events).count() == 7
 
 
 @pytest.mark.parametrize("scan", ["direct", "staged"])
@@ -452,5 +452,158 @@ def test_command_line(spark, fixture_path, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr("sys.argv", ["dwelltrace", _config(tmp_path), "--drop-ignored", "--split-long"])
     runpy.run_module("dwelltrace", run_name="__main__")
     active, unlock = capsys.readouterr().out.split()
-    assert spark.read.parquet(active).count() == 6
+    assert spark.read.parquet(active).count() == 7
     assert spark.read.parquet(unlock).count() == 1
+
+
+# -- what a run costs --------------------------------------------------------------------
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_type_filter_reaches_the_reader_below_an_observation(spark, fixture_path, tmp_path):
+    _two_file_root(fixture_path, tmp_path)
+    logs = dwelltrace.read_log_root(
+        spark, str(tmp_path / "root"), types=["DeviceUnlockEventV1"], on_corrupt="drop", dropped=Observation()
+    )
+    assert "PushedFilters: [Or(IsNull(type)," in _plan(dwelltrace.unlock_events_from(logs))
+
+
+def test_filters_do_not_copy_rule_expressions(spark, fixture_path):
+    path = fixture_path("logs", "desktop_v1.jsonl")
+    rules = [R.Rule(R.AttributeRegex("name", f"[abc]{k}+"), (R.SetAttribute("category", "x"), R.Ignore())) for k in range(5)]
+    plain = dwelltrace.active_events(spark, path, rules)
+    optimized = [df._jdf.queryExecution().optimizedPlan().toString() for df in (plain, dwelltrace.drop_ignored(plain))]
+    assert optimized[0].count("RLIKE") == optimized[1].count("RLIKE")
+    events = dwelltrace.read_runtime_events(spark, fixture_path("live", "runtime_input.jsonl"))
+    gone = [R.Rule(R.AttributeValue("processName", "konsole"), (R.Delete(),))]
+    kept = [R.Rule(R.AttributeValue("processName", "konsole"), (R.AddTag("x"),))]
+    counts = [
+        dwelltrace.record(events, rules)._jdf.queryExecution().optimizedPlan().toString().count("regexp_") for rules in (kept, gone)
+    ]
+    assert counts[0] >= counts[1]
+
+
+def test_unlocks_are_gathered_into_few_files(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    for k in range(12):
+        line = '{"type":"DeviceUnlockEventV1","time":"2031-01-01T00:00:%02dZ","data":{"hostname":"h"}}\n'
+        (root / f"{k}.jsonl").write_text(line % k)
+    outputs = run_pipeline(spark, _config(tmp_path), partition_bytes=1)
+    assert spark.read.parquet(outputs.unlock_events).count() == 12
+    assert len(files(outputs.unlock_events, ".parquet")) == 1
+
+
+def test_jobs_leave_the_session_alone(spark, fixture_path, tmp_path):
+    _two_file_root(fixture_path, tmp_path)
+    before = spark.conf.getAll
+    run_pipeline(spark, _config(tmp_path))
+    dwelltrace.compact_logs(spark, str(tmp_path / "root"), str(tmp_path / "compact"))
+    assert spark.conf.getAll == before
+
+
+# -- names and bytes ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["_b.jsonl", "_archive/c.jsonl", ".hidden/d.jsonl.gz", "a/b/_c.jsonl"])
+def test_logs_with_hidden_names_are_not_left_out_in_silence(spark, fixture_path, tmp_path, name):
+    root = tmp_path / "root"
+    (root / name).parent.mkdir(parents=True)
+    shutil.copy(fixture_path("logs", "mobile.jsonl"), root / "plain.jsonl")
+    shutil.copy(fixture_path("logs", "mobile.jsonl"), root / name)
+    for call in (
+        lambda: dwelltrace.read_log_root(spark, str(root)),
+        lambda: dwelltrace.stream_logs(spark, str(root)),
+        lambda: dwelltrace.compact_logs(spark, str(root), str(tmp_path / "target")),
+    ):
+        with pytest.raises(dwelltrace.NotALogError, match=name.rpartition("/")[2]):
+            call()
+    if not name.endswith("gz"):
+        with pytest.raises(dwelltrace.NotALogError, match="passed over"):
+            dwelltrace.read_logs(spark, [str(root / "_b.jsonl")])
+
+
+def test_bookkeeping_folders_are_no_logs(spark, fixture_path, tmp_path):
+    shutil.copy(fixture_path("logs", "mobile.jsonl"), tmp_path / "plain.jsonl")
+    (tmp_path / "_temporary" / "0").mkdir(parents=True)
+    shutil.copy(fixture_path("logs", "mobile.jsonl"), tmp_path / "_temporary" / "0" / "part.jsonl")
+    (tmp_path / "_SUCCESS").write_text("")
+    assert dwelltrace.read_log_root(spark, str(tmp_path)).count() == 3
+
+
+def test_compaction_keeps_bytes(spark, tmp_path):
+    lines = [b"bad\x01line", b"\x02quoted\x02", b"broken \xff\xfe utf-8", b"a bare \r return", b'{"type":"X"}\r', b"  pad  "]
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "x.jsonl").write_bytes(b"\n".join(lines) + b"\n\n")
+    dwelltrace.compact_logs(spark, str(tmp_path / "root"), str(tmp_path / "target"))
+    got = b"".join(gzip.open(p, "rb").read() for p in files(tmp_path / "target", ".jsonl.gz"))
+    assert got == b"".join(line + b"\n" for line in lines)
+
+
+# -- layout by date ----------------------------------------------------------------------
+
+
+def test_outputs_by_date(spark, fixture_path, tmp_path):
+    _two_file_root(fixture_path, tmp_path)
+    plain = multiset(spark.read.parquet(run_pipeline(spark, _config(tmp_path)).active_events))
+    outputs = run_pipeline(spark, _config(tmp_path), partition_by_date=True)
+    assert os.path.isdir(f"{outputs.active_events}/date=2031-04-02")
+    assert multiset(spark.read.parquet(outputs.active_events).drop("date")) == plain
+
+
+# -- configured jobs ---------------------------------------------------------------------
+
+
+def test_recorder_from_its_configuration(spark, fixture_path, tmp_path):
+    shutil.copytree(fixture_path("live"), tmp_path / "conf")
+    feed = _feed(fixture_path, tmp_path)
+    config = dwelltrace.load_job_config(str(tmp_path / "conf" / "main_config.json"), spark)
+
+    def record(once=True):
+        stream = dwelltrace.stream_runtime_events(spark, feed)
+        return dwelltrace.start_configured_recorder(stream, config, checkpoint=str(tmp_path / "state"), once=once)
+
+    dwelltrace.flush_and_stop(record(once=False), record)
+    expected = sorted(open(fixture_path("live", "logged_expected.jsonl")).read().splitlines())
+    assert sorted(text_of(tmp_path / "conf" / "recorded", ".jsonl").splitlines()) == expected
+
+
+def test_bad_patterns_stop_a_stream_before_it_starts(spark, fixture_path, tmp_path):
+    bad = [R.Rule(R.AttributeRegex("processName", r"\p{Script=Nowhere}"), (R.AddTag("x"),))]
+    stream = dwelltrace.stream_runtime_events(spark, _feed(fixture_path, tmp_path))
+    with pytest.raises(ValueError):
+        dwelltrace.start_recorder(stream, bad, str(tmp_path / "l"), checkpoint=str(tmp_path / "s"))
+
+
+def test_commands(spark, fixture_path, tmp_path, monkeypatch, capsys):
+    _two_file_root(fixture_path, tmp_path)
+    shutil.copytree(fixture_path("live"), tmp_path / "conf")
+    feed, root = _feed(fixture_path, tmp_path), str(tmp_path / "root")
+
+    def command(*words):
+        monkeypatch.setattr("sys.argv", ["dwelltrace", *map(str, words)])
+        runpy.run_module("dwelltrace", run_name="__main__")
+
+    command("compact", root, tmp_path / "compact", "--upgrade")
+    assert dwelltrace.read_log_root(spark, str(tmp_path / "compact")).count() == 6
+    command("tables", _config(tmp_path), tmp_path / "a", tmp_path / "u", tmp_path / "state-t", "--once")
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "a")).count() == 5
+    command("record", tmp_path / "conf" / "main_config.json", feed, tmp_path / "state-r", "--once")
+    assert dwelltrace.read_log_root(spark, str(tmp_path / "conf" / "recorded")).count() == 5
+
+
+def test_live_events_that_cannot_be_read(spark, write_log):
+    whole = '{"activeWindowEvent":{"time":"2031-01-01T00:00:00Z","data":{"duration":1},"windowTitle":"x"}}'
+    path = write_log(whole, whole[:60], '{"other":1}')
+    with pytest.raises(PySparkException):
+        dwelltrace.read_runtime_events(spark, path).collect()
+    seen = Observation()
+    assert dwelltrace.read_runtime_events(spark, path, on_corrupt="drop", dropped=seen).count() == 1
+    assert seen.get["unreadable_lines"] == 1
+    texts = spark.createDataFrame([(whole,), (whole[:60],), ("",)], "value string")
+    assert dwelltrace.runtime_events_from_text(texts, on_corrupt="drop").count() == 1
+    with pytest.raises(PySparkException):
+        dwelltrace.runtime_events_from_text(texts).collect()

@@ -36,15 +36,15 @@ def schema_of(df):
 def test_desktop_v1(spark, fixture_path):
     df = active(spark, fixture_path("logs", "desktop_v1.jsonl"))
     assert schema_of(df) == [(f.name, f.dataType) for f in ACTIVE_SCHEMA.fields]
-    assert column(df, "time") == [dt.datetime(2026, 8, 17, 9, 0, s) for s in (0, 15, 30)]
-    assert column(df, "duration") == [15000] * 3
-    assert column(df, "idleFor") == [0, 300000, 0]
-    assert column(df, "processName") == ["firefox", "Code", None]
-    assert column(df, "name") == ["firefox", "code", None]
+    assert column(df, "time") == [dt.datetime(2031, 4, 2, 6, 10, s) for s in (0, 20, 40)]
+    assert column(df, "duration") == [20000] * 3
+    assert column(df, "idleFor") == [0, 420000, 7000]
+    assert column(df, "processName") == ["krita", "Zed", None]
+    assert column(df, "name") == ["krita", "zed", None]
     assert column(df, "processPath") == [
-        "C:\\Program Files\\Mozilla Firefox\\firefox.exe", "/usr/bin/Code", None,
+        "D:\\Tools\\Krita\\krita.exe", "/opt/zed/Zed", None,
     ]
-    assert column(df, "tags") == [["browser"], [], ["redacted"]]
+    assert column(df, "tags") == [["art"], [], ["hidden"]]
     assert column(df, "applicationLabel") == [None] * 3
     assert column(df, "isMobile") == [False] * 3
     assert column(df, "category") == [None] * 3
@@ -52,49 +52,49 @@ def test_desktop_v1(spark, fixture_path):
 
 def test_desktop_legacy(spark, fixture_path):
     df = active(spark, fixture_path("logs", "desktop_legacy.jsonl"))
-    assert column(df, "processName") == ["vim", "explorer"]
-    assert column(df, "idleFor") == [3000, 0]
-    assert column(df, "hostname") == ["laptop"] * 2
-    assert column(df, "tags") == [["editor"], []]
+    assert column(df, "processName") == ["nano", "paint"]
+    assert column(df, "idleFor") == [5000, 500]
+    assert column(df, "hostname") == ["notebook"] * 2
+    assert column(df, "tags") == [["notes"], []]
 
 
 def test_fraction_digits_are_cut_to_microseconds(spark, fixture_path):
     df = active(spark, fixture_path("logs", "desktop_v1_legacy_writer.jsonl"))
     assert column(df, "time") == [
-        dt.datetime(2026, 8, 17, 13, 0, 0, 123456),
-        dt.datetime(2026, 8, 17, 13, 0, 15, 500000),
-        dt.datetime(2026, 8, 17, 13, 0, 30),
+        dt.datetime(2031, 4, 2, 8, 0, 0, 987654),
+        dt.datetime(2031, 4, 2, 8, 0, 12, 250000),
+        dt.datetime(2031, 4, 2, 8, 0, 24),
     ]
-    assert column(df, "processName") == ["notepad", None, "gedit"]
+    assert column(df, "processName") == ["write", None, "gimp"]
 
 
 def test_mobile(spark, fixture_path):
     path = fixture_path("logs", "mobile.jsonl")
     df = active(spark, path)
-    assert column(df, "duration") == [137000, 60000]
+    assert column(df, "duration") == [200000, 45000]
     assert column(df, "username") == [None, None]
     assert column(df, "idleFor") == [None, None]
     assert column(df, "tags") == [[], []]
-    assert column(df, "name") == ["firefox", "signal"]
-    assert column(df, "applicationId") == ["org.mozilla.firefox", "org.example.signal"]
+    assert column(df, "name") == ["maps", "recipes"]
+    assert column(df, "applicationId") == ["org.sample.maps", "org.sample.recipes"]
     unlocks = dwelltrace.unlock_events(spark, path)
     assert schema_of(unlocks) == [(f.name, f.dataType) for f in UNLOCK_SCHEMA.fields]
-    assert [tuple(r) for r in unlocks.collect()] == [(dt.datetime(2026, 8, 17, 11, 5), "pixel")]
+    assert [tuple(r) for r in unlocks.collect()] == [(dt.datetime(2031, 4, 2, 7, 4), "handset")]
 
 
 def test_mixed_shapes_in_one_file(spark, fixture_path):
     path = fixture_path("logs", "mixed.jsonl")
-    assert column(active(spark, path), "processName") == ["bash", "htop"]
-    assert [r.hostname for r in dwelltrace.unlock_events(spark, path).collect()] == ["box"]
+    assert column(active(spark, path), "processName") == ["zsh", "btop"]
+    assert [r.hostname for r in dwelltrace.unlock_events(spark, path).collect()] == ["attic"]
 
 
 def test_desktop_and_mobile_unified(spark, fixture_path):
     df = active(spark, fixture_path("logs", "desktop_v1.jsonl"), fixture_path("logs", "mobile.jsonl"))
     assert column(df, "isMobile") == [False, False, False, True, True]
     assert column(df, "ignore") == [False] * 5
-    assert column(df, "name") == ["firefox", "code", None, "firefox", "signal"]
-    assert column(df, "applicationLabel") == [None, None, None, "Firefox", "Signal"]
-    assert column(df, "tags") == [["browser"], [], ["redacted"], [], []]
+    assert column(df, "name") == ["krita", "zed", None, "maps", "recipes"]
+    assert column(df, "applicationLabel") == [None, None, None, "Maps", "Recipes"]
+    assert column(df, "tags") == [["art"], [], ["hidden"], [], []]
 
 
 def test_gzip_equals_plain(spark, fixture_path, tmp_path):
@@ -226,3 +226,29 @@ def test_tables_need_no_shuffle_and_no_python(spark, fixture_path):
     for df in (dwelltrace.active_events(spark, path), dwelltrace.unlock_events(spark, path)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("name", ["desktop_v1", "desktop_legacy", "mobile", "mixed"])
+def test_a_line_torn_anywhere_gives_no_event(spark, fixture_path, write_log, name):
+    whole = open(fixture_path("logs", f"{name}.jsonl")).read().splitlines()
+    torn = [line[:cut] for line in whole for cut in range(1, len(line))]
+    path = write_log(*whole, *torn)
+    expected = [fixture_path("logs", f"{name}.jsonl")]
+    for table in (dwelltrace.active_events, dwelltrace.unlock_events):
+        for policy in ("drop", "file"):
+            assert rows_of(table(spark, path, on_corrupt=policy)) == rows_of(table(spark, expected))
+    seen = Observation()
+    dwelltrace.read_logs(spark, path, on_corrupt="drop", dropped=seen).count()
+    assert seen.get["unreadable_lines"] == len(torn)
+
+
+def rows_of(df):
+    return sorted(repr(tuple(row)) for row in df.collect())
+
+
+def test_each_torn_line_is_refused(spark, write_log):
+    line = '{"type":"ActiveActivityEventV1","time":"2031-01-01T00:00:00Z","data":{"duration":3,"hostname":"h"}}'
+    for cut in (1, 20, 40, 70, 79, 85, 90, 98, len(line) - 1):
+        path = write_log(line, line[:cut], name=f"cut{cut}.jsonl")
+        with pytest.raises(PySparkException, match="not a JSON object"):
+            dwelltrace.active_events(spark, path).collect()
