@@ -11,13 +11,16 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 import dwelltrace as dt
 from dwelltrace.operators import rules as R
 from dwelltrace.plans.workspace import shared_folder
+from dwelltrace.sinks.lines import write_lines
 from querybook import catalogue
 from querybook.derive import log_root
 
@@ -30,13 +33,13 @@ def rule_list(n: int) -> list[R.Rule]:
     """Rules of the kinds users write: by path, by name, by idle time and tags, by host."""
     kinds = [
         lambda k: R.Rule(
-            R.AttributeRegex("processPath", rf"[\\/](steam{k}|Games{k}|bin{k})[\\/]"), (R.SetAttribute("category", f"c{k}"),)
+            R.AttributeRegex("processPath", rf"^/(srv|opt)/tool{k}(-[0-9]+)?/"), (R.SetAttribute("category", f"c{k}"),)
         ),
         lambda k: R.Rule(
             R.AttributeRegex("name", f"click{k}|view{k}|sign{k}"), (R.AddTag(f"t{k}"), R.SetAttribute("category", f"n{k}"))
         ),
         lambda k: R.Rule(
-            R.And((R.IdleForGreaterThan(300 + k), R.Not(R.Or((R.HasTag("youtube"), R.HasTag(f"t{k - 1}")))))), (R.Ignore(),)
+            R.And((R.IdleForGreaterThan(300 + k), R.Not(R.HasTag(f"t{k - 1}")))), (R.Ignore(),)
         ),
         lambda k: R.Rule(R.AttributeValue("hostname", f"host{k % 7}"), (R.AddTag(f"h{k}"),)),
     ]
@@ -56,6 +59,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp())
         # Call sites for error messages cost several JVM round trips per expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -69,6 +73,15 @@ def main() -> None:
     def scan(rules=()):
         return catalogue.active(spark, SF_DIR, rules)
 
+    def many_files() -> str:
+        """The derived log a dozen times over, in a hundred files."""
+        folder = shared_folder(spark, "bench-many")
+        copies = spark.read.text(f"{log_root(spark, SF_DIR)}/devices/*").select("value", F.explode(F.sequence(F.lit(1), F.lit(12))))
+        write_lines(copies.repartition(96).select("value"), folder)
+        return folder
+
+    many = many_files()
+
     def parquet():
         dt.write_table(scan(), shared_folder(spark, "bench"), "parquet")
 
@@ -79,6 +92,8 @@ def main() -> None:
         "rules_80": lambda: drain(scan(rule_list(80))),
         "recorder_batch": lambda: drain(catalogue.QUERIES["recorder_chain"](spark, SF_DIR)),
         "recorder_stream": lambda: drain(catalogue.recorder_stream(spark, SF_DIR)),
+        "drop_ignored": lambda: drain(dt.drop_ignored(scan(rule_list(10)))),
+        "many_files": lambda: drain(dt.active_events(spark, many, rule_list(10))),
         "split_long_events": lambda: drain(dt.split_long_events(scan(), 7)),
         "compact_logs": lambda: dt.compact_logs(
             spark, log_root(spark, SF_DIR, "mixed"), shared_folder(spark, "bench"), upgrade=True

@@ -13,7 +13,9 @@ dialect it was written for. Spark matches with ``java.util.regex``, which differ
   Alternatives of one character each become a bracketed class, and a loop whose rounds are told
   apart by their first character, which is also not that of what follows, becomes possessive:
   both run as plain loops and find the same. Other loops over alternatives stay recursive and
-  need a thread stack that fits the longest value (``cluster_settings``).
+  need a thread stack that fits the longest value (``cluster_settings``);
+* a search there tries every start anew, so a loop at the start of a pattern takes quadratic time.
+  Rules only ask whether there is a match: a loop at either end is cut to its fewest rounds.
 
 ``to_java`` rewrites one pattern, once, on the driver when a rule file is loaded. What it
 returns is a literal inside a built-in ``rlike``; no Python runs per row.
@@ -105,8 +107,14 @@ class _Piece:
     rounds: frozenset[str] | None = None  # first characters that tell its alternatives apart
     repetition: str = ""
     optional: bool = False
+    fixed: bool = False  # a known number of single characters
+    silent: bool = False  # a change of flags, which matches nothing
+
+    def __post_init__(self) -> None:
+        self.fixed = self.member is not None
 
     def repeat(self, repetition: str) -> None:
+        self.fixed &= not self.repetition and re.fullmatch(r"\{[1-9][0-9]*\}", repetition) is not None
         if self.repetition:
             # A second repetition applies to the first; bare, Java would read it as a
             # possessive or lazy suffix.
@@ -125,16 +133,40 @@ class _Piece:
         return self.text + greedy + "+"
 
 
+def _least(repetition: str) -> str:
+    """The repetition cut to its fewest rounds."""
+    if repetition[0] in "*?" or repetition.startswith("{0"):
+        return "{0}"
+    return "" if repetition[0] == "+" else re.match(r"\{[0-9]+", repetition).group() + "}"
+
+
+def _without_loops_at_ends(pieces: list[_Piece]) -> list[_Piece]:
+    """A whole alternative of a search, which may begin and end anywhere."""
+    for _ in range(2):
+        pieces = pieces[::-1]
+        kept: list[_Piece] = []
+        for piece in pieces:
+            if piece.repetition and all(p.silent for p in kept):
+                least = _least(piece.repetition)
+                if least == "{0}":
+                    continue
+                piece.repetition = least
+            kept.append(piece)
+        pieces = kept
+    return pieces
+
+
 def _java(pieces: list[_Piece], at_end: bool) -> str:
     """A sequence; ``at_end`` if nothing of the pattern comes after it."""
-    texts = []
-    for piece, following in zip(pieces, [*pieces[1:], None]):
-        if following is None:
-            follows = frozenset() if at_end else None
-        else:
-            follows = None if following.optional else following.first
+    texts: list[str] = []
+    follows: frozenset[str] | None = frozenset() if at_end else None
+    for piece in reversed(pieces):
         texts.append(piece.java(follows))
-    return "".join(texts)
+        if not piece.optional:
+            follows = piece.first
+        elif follows is not None:
+            follows = None if piece.first is None else follows | piece.first
+    return "".join(reversed(texts))
 
 
 class _Rewriter:
@@ -144,6 +176,8 @@ class _Rewriter:
         self.group_names: set[str] = set()
         self.unicode_classes = False
         self.unicode_case = False
+        # The characters of the class read last, if it lists them.
+        self.listed: set[str] | None = None
 
     # -- reading ---------------------------------------------------------------------
 
@@ -206,7 +240,7 @@ class _Rewriter:
             switched = self.flag_switch(flags)
             if switched:
                 flags, text = switched
-                choices[-1].append(_Piece(text))
+                choices[-1].append(_Piece(text, silent=True))
                 repeatable = False
                 continue
             choices[-1].append(self.atom(flags, depth))
@@ -220,12 +254,14 @@ class _Rewriter:
             first = None if None in firsts else frozenset().union(*firsts)
             member = members[0] if len(members) == 1 else f"[{''.join(members)}]"
             return _Piece(choices[0][0].text if len(members) == 1 else member, member, first)
+        if depth == 0:
+            choices = [_without_loops_at_ends(choice) for choice in choices]
         text = "|".join(_java(choice, depth == 0) for choice in choices)
         firsts = [None if not choice or choice[0].optional else choice[0].first for choice in choices]
         if None in firsts:
             return _Piece(text)
         first = frozenset().union(*firsts)
-        plain = all(piece.member for choice in choices for piece in choice)
+        plain = all(piece.fixed for choice in choices for piece in choice)
         apart = sum(map(len, firsts)) == len(first)
         return _Piece(text, first=first, rounds=first if plain and apart else None)
 
@@ -289,7 +325,8 @@ class _Rewriter:
             return self.group(flags, depth)
         if char == "[":
             text = "[" + self.brackets(flags) + "]"
-            return _Piece(text, text)
+            known = self.listed is not None and not flags.ignore_case and not text.startswith("[^")
+            return _Piece(text, text, frozenset(self.listed) if known else None)
         if char == ".":
             return _Piece("(?s:.)") if flags.dot_all else _Piece(r"[^\n]", r"[^\n]")
         if char == "^":
@@ -407,6 +444,7 @@ class _Rewriter:
 
     def brackets(self, flags: _Flags) -> str:
         """The inside of a bracketed class, for Java, after its opening bracket."""
+        self.listed = set()
         self.skip_layout(flags)
         negated = self.accept("^")
         result: str | None = None
@@ -415,9 +453,11 @@ class _Rewriter:
         self.skip_layout(flags)
         while self.accept("-"):
             members.append(r"\-")
+            self.listed.add("-")
             self.skip_layout(flags)
         if not members and self.accept("]"):
             members.append(r"\]")
+            self.listed.add("]")
         while True:
             self.skip_layout(flags)
             if self.pos == len(self.pattern):
@@ -425,6 +465,8 @@ class _Rewriter:
             closing = self.accept("]")
             combining = None if closing else self.match(r"&&|--|~~")
             if closing or combining:
+                if combining or operator:
+                    self.listed = None
                 result = self.combine(result, operator, "".join(members) or _NOTHING)
                 operator, members = combining.group() if combining else "", []
                 if closing:
@@ -448,11 +490,15 @@ class _Rewriter:
             if named.group(2) not in _ASCII_CLASSES:
                 raise self.fail(f"unknown class {named.group(2)!r}")
             chars = _ASCII_CLASSES[named.group(2)]
+            self.listed = None
             return f"[^{chars}]" if named.group(1) else chars
         if self.accept("["):
-            return "[" + self.brackets(flags) + "]"
+            nested = "[" + self.brackets(flags) + "]"
+            self.listed = None
+            return nested
         first = self.member_start()
         if len(first) > 1:
+            self.listed = None
             return first
         here = self.pos
         self.skip_layout(flags)
@@ -460,12 +506,18 @@ class _Rewriter:
             # A hyphen before the closing bracket stands for itself; before another hyphen
             # it begins the difference operator.
             self.pos = here
+            if self.listed is not None:
+                self.listed.add(first)
             return _quoted(first)
         self.accept("-")
         self.skip_layout(flags)
         last = self.member_start()
         if len(last) > 1 or last < first:
             raise self.fail("invalid character range")
+        if self.listed is not None and ord(last) - ord(first) < 1024:
+            self.listed.update(map(chr, range(ord(first), ord(last) + 1)))
+        else:
+            self.listed = None
         return f"\\x{{{ord(first):X}}}-\\x{{{ord(last):X}}}"
 
     def member_start(self) -> str:

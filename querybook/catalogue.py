@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -186,6 +187,33 @@ def runtime_events_from_queue_text(spark, sf_dir):
     return dt.runtime_events_from_text(lines).select("time", "windowTitle", "data.processPath")
 
 
+@register(ALL_ACTIVE)
+def torn_lines_any_cut(spark, sf_dir):
+    logs = dt.read_log_root(spark, log_root(spark, sf_dir, "torn"), on_corrupt="drop")
+    return flat(dt.active_events_from(logs))
+
+
+@register(UNLOCKS)
+def torn_lines_any_cut_unlocks(spark, sf_dir):
+    logs = dt.read_log_root(
+        spark, log_root(spark, sf_dir, "torn"), schema=UNLOCK_LOG_SCHEMA, types=[UNLOCK_EVENT], on_corrupt="drop"
+    )
+    return dt.unlock_events_from(logs)
+
+
+@register(sql.from_events("SELECT ts AS time, hostname, true AS refused FROM b WHERE type = 'DeviceUnlockEventV1'"))
+def hidden_logs_refused(spark, sf_dir):
+    """Reading the root fails and names the folder; read by parts, nothing is lost."""
+    root = log_root(spark, sf_dir, "hidden")
+    try:
+        dt.read_log_root(spark, root)
+        refused = False
+    except dt.NotALogError as error:
+        refused = "_old" in str(error)
+    parts = [dt.unlock_events(spark, f"{root}/{part}/*") for part in ("open", "_old/2024")]
+    return parts[0].unionAll(parts[1]).withColumn("refused", F.lit(refused))
+
+
 # -- scalar functions ---------------------------------------------------------------------
 
 
@@ -270,6 +298,33 @@ def regex_dialect(spark, sf_dir):
     return active(spark, sf_dir).select("time", path, *found)
 
 
+_LONG_PATTERNS = {
+    "letters_then_other": r"(?:a|e|i|o|u|[^aeiou])*\u00ff",
+    "told_apart": r"(?:/u|\\P|[a-z]{2})+\u00e9$",
+    "ending": r"(?:é|x)+$",
+    "accented": r"[à-ï]{1}\z",
+}
+_LONG_SQL = {
+    "letters_then_other": "contains(v, 'ÿ')",
+    "told_apart": "regexp_matches(v, '(?:/u|\\\\P|[a-z]{2})+é$')",
+    "ending": "ends_with(v, 'é')",
+    "accented": "ends_with(v, 'é')",
+}
+
+
+@register(
+    sql.from_active(
+        "SELECT time, hostname, "
+        + ", ".join(sql.three_valued(condition, name) for name, condition in _LONG_SQL.items())
+        + " FROM (SELECT *, repeat(coalesce(\"processPath\", name), 1000) || 'é' AS v FROM a)"
+    )
+)
+def regex_on_long_values(spark, sf_dir):
+    value = F.concat(F.repeat(F.coalesce("processPath", "name"), F.lit(1000)), F.lit("é"))
+    found = [three_valued(regex.search(F.col("v"), p), n) for n, p in _LONG_PATTERNS.items()]
+    return active(spark, sf_dir).withColumn("v", value).select("time", "hostname", *found)
+
+
 # -- rules over the unified table ---------------------------------------------------------
 
 
@@ -343,6 +398,19 @@ _rules(
         sql.rule("\"processName\" = 'view'", "'/hidden' AS \"processPath\""),
     ],
 )
+_rules(
+    "rules_over_labels",
+    [
+        when(value("applicationLabel", "CLICK"), setting("applicationLabel", "Tap"), setting("category", "touch")),
+        when(pattern("applicationId", r"\.(view|error)$"), {"addTag": "seen"}),
+        when({"not": pattern("applicationLabel", "[A-Z][A-Z]")}, setting("applicationId", "none")),
+    ],
+    [
+        sql.rule("coalesce(\"applicationLabel\" = 'CLICK', false)", "'Tap' AS \"applicationLabel\"", "'touch' AS category"),
+        sql.rule("regexp_matches(\"applicationId\", '\\.(view|error)$')", sql.add_tags("seen")),
+        sql.rule("NOT regexp_matches(\"applicationLabel\", '[A-Z][A-Z]')", "'none' AS \"applicationId\""),
+    ],
+)
 _rules(
     "action_ignore",
     [when({"idleForGreaterThanSec": 300}, "ignore")],
@@ -455,8 +523,8 @@ def _live_predicate(name: str, rule: dict, condition: str) -> None:
 
 _live_predicate(
     "recorder_predicates",
-    {"and": [{"or": [value("processName", "click"), pattern("windowTitle", " - YouTube$")]}, {"not": {"hasTag": "browser"}}]},
-    """(coalesce("processName" = 'click', false) OR coalesce(regexp_matches("windowTitle", ' - YouTube$'), false))
+    {"and": [{"or": [value("processName", "click"), pattern("windowTitle", r"\| draft$")]}, {"not": {"hasTag": "browser"}}]},
+    """(coalesce("processName" = 'click', false) OR coalesce(regexp_matches("windowTitle", '\\| draft$'), false))
        AND NOT list_contains(tags, 'browser')""",
 )
 _live_predicate(
@@ -466,8 +534,8 @@ _live_predicate(
 )
 
 LIVE_CHAIN = [
-    when(pattern("processName", "click|view"), {"addTag": "browser"}),
-    when({"and": [{"hasTag": "browser"}, pattern("windowTitle", " - YouTube$")]}, {"addTag": "youtube"}),
+    when(pattern("windowTitle", r"\| draft$"), {"addTag": "draft"}),
+    when({"or": [{"and": [{"hasTag": "draft"}, value("username", "user7")]}, pattern("username", "[13]$")]}, {"addTag": "team"}),
     when(value("processName", "purchase"), "redactProcess", {"addTag": "private"}),
     when({"not": pattern("processPath", ".")}, {"addTag": "pathless"}),
     when(value("processName", "signup"), {"addTag": "gone"}, "delete", {"addTag": "never"}),
@@ -482,8 +550,11 @@ def _found(column: str, text: str) -> str:
 
 _REDACTION = ('NULL AS "processPath"', 'NULL AS "processName"')
 LIVE_STEPS = [
-    sql.rule(_found("processName", "click|view"), sql.add_tags("browser")),
-    sql.rule(f"list_contains(tags, 'browser') AND {_found('windowTitle', ' - YouTube$')}", sql.add_tags("youtube")),
+    sql.rule(_found("windowTitle", r"\| draft$"), sql.add_tags("draft")),
+    sql.rule(
+        f"(list_contains(tags, 'draft') AND coalesce(username = 'user7', false)) OR {_found('username', '[13]$')}",
+        sql.add_tags("team"),
+    ),
     sql.rule("coalesce(\"processName\" = 'purchase', false)", *_REDACTION, sql.add_tags("private")),
     sql.rule(f"NOT {_found('processPath', '.')}", sql.add_tags("pathless")),
     sql.delete("\"processName\" = 'signup'"),
@@ -554,6 +625,48 @@ def recorder_stream(spark, sf_dir):
     return flat_logged(dt.read_log_root(spark, folder))
 
 
+@register(RECORDED)
+def recorder_flush_on_demand(spark, sf_dir):
+    """A periodic recorder whose next flush is an hour away, stopped: nothing is missing."""
+    folder, checkpoint = shared_folder(spark, "recorded"), shared_folder(spark, "recorder-state")
+
+    def record_events(every_sec=None):
+        stream = dt.stream_runtime_events(spark, log_root(spark, sf_dir, "live"), max_files_per_trigger=4)
+        return dt.start_recorder(stream, live_rules(*LIVE_CHAIN), folder, checkpoint=checkpoint, every_sec=every_sec)
+
+    dt.flush_and_stop(record_events(every_sec=3600), record_events)
+    return flat_logged(dt.read_log_root(spark, folder))
+
+
+def _written_config(spark, **content) -> str:
+    """A configuration as a file that only Spark may be able to reach; its URI."""
+    folder = shared_folder(spark, "config")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
+@register(RECORDED)
+def recorder_from_config(spark, sf_dir):
+    logs = shared_folder(spark, "configured")
+    main = _written_config(
+        spark,
+        logDirectory=logs if "://" in logs or logs.startswith("file:") else f"file://{logs}",
+        logOutputSubdirectory="recorded",
+        sampleEverySec=15,
+        writeEverySec=3600,
+        recorderConfigPath=_written_config(spark, activeWindowEventRules=LIVE_CHAIN),
+        pipelineConfigPath=None,
+        pipelineOutputDirectory="unused",
+        pipelineOutputFormat="parquet",
+    )
+    config = dt.load_job_config(main, spark)
+    state = shared_folder(spark, "recorder-state")
+    stream = dt.stream_runtime_events(spark, log_root(spark, sf_dir, "live"))
+    dt.start_configured_recorder(stream, config, checkpoint=state, once=True).awaitTermination()
+    return flat_logged(dt.read_log_root(spark, config.log_output_directory))
+
+
 def _live_tables(spark, sf_dir, rules=()):
     folder, checkpoint = shared_folder(spark, "live-tables"), shared_folder(spark, "live-state")
     outputs = f"{folder}/active", f"{folder}/unlock"
@@ -649,16 +762,16 @@ def split_keeps_total_duration(spark, sf_dir):
 # -- whole runs ---------------------------------------------------------------------------
 
 
-def _run(spark, sf_dir, output_format="parquet", **options):
+def _run(spark, sf_dir, output_format="parquet", folder=None, rules=None, **options):
     config = JobConfig(
         log_directory=log_root(spark, sf_dir, "mixed"),
         log_output_directory=log_root(spark, sf_dir, "mixed"),
         sample_every_sec=15,
         write_every_sec=3600,
-        output_directory=shared_folder(spark, "run"),
+        output_directory=folder or shared_folder(spark, "run"),
         output_format=output_format,
         recorder=RecorderConfig(),
-        transform=TransformConfig(table_rules(*CHAIN), 60),
+        transform=TransformConfig(table_rules(*CHAIN) if rules is None else rules, 60),
     )
     return dt.run_pipeline(spark, config, **options)
 
@@ -688,3 +801,16 @@ def run_with_split_and_drop(spark, sf_dir):
     outputs = _run(spark, sf_dir, drop_ignored=True, split_long=True)
     written = flat(spark.read.parquet(outputs.active_events))
     return written.select("time", "duration_ms", "hostname", "name", "isMobile")
+
+
+@register(RULED_ACTIVE)
+def run_replaces_output(spark, sf_dir):
+    """Two runs into one place, the first without rules: the second one's result is there."""
+    folder = shared_folder(spark, "twice")
+    _run(spark, sf_dir, folder=folder, rules=())
+    return flat(spark.read.parquet(_run(spark, sf_dir, folder=folder).active_events))
+
+
+@register(RULED_ACTIVE)
+def run_output_by_date(spark, sf_dir):
+    return flat(spark.read.parquet(_run(spark, sf_dir, partition_by_date=True).active_events).drop("date"))

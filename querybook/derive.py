@@ -26,7 +26,7 @@ CASE event_id % 4 WHEN 0 THEN concat('C:\\Program Files\\App\\', event_type, '.E
                   WHEN 2 THEN concat('/opt/', event_type, '/') END"""
 _TAGS = """
 CASE event_id % 3 WHEN 0 THEN array('browser') WHEN 1 THEN CAST(array() AS array<string>) ELSE array(event_type) END"""
-_TITLE = "concat(event_type, CASE WHEN user_id % 2 = 0 THEN ' - YouTube' ELSE ' YouTube page' END)"
+_TITLE = "concat(event_type, CASE WHEN user_id % 2 = 0 THEN ' | draft' ELSE ' drafts page' END)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +100,33 @@ def _write_damaged(df: DataFrame, root: str) -> None:
     write_lines(df.select(lines.alias("value")), f"{root}/devices")
 
 
+def _write_torn(df: DataFrame, root: str) -> None:
+    """After every line the same line again, torn at a place that goes with the event."""
+    line = log_line()
+    cut = F.lit(1) + F.pmod(F.col("event_id") * 7, F.length(line) - 1)
+    write_lines(df.select(F.explode(F.array(line, line.substr(F.lit(1), cut))).alias("value")), f"{root}/devices")
+
+
+def _write_hidden(df: DataFrame, root: str) -> None:
+    """Half the lines in a folder that Spark passes over."""
+    even = F.col("event_id") % 2 == 0
+    write_lines(df.filter(even).select(log_line()), f"{root}/open")
+    write_lines(df.filter(~even).select(log_line()), f"{root}/_old/2024")
+
+
 def _write_live(df: DataFrame, root: str) -> None:
     event = _object(time="time", data=_window_data(), windowTitle="title")
     write_lines(df.select(F.to_json(_object(activeWindowEvent=event)).alias("value")), root)
 
 
-_WRITERS = {"plain": _write_plain, "mixed": _write_mixed, "damaged": _write_damaged, "live": _write_live}
+_WRITERS = {
+    "plain": _write_plain,
+    "mixed": _write_mixed,
+    "damaged": _write_damaged,
+    "torn": _write_torn,
+    "hidden": _write_hidden,
+    "live": _write_live,
+}
 _written: dict[tuple[str, str, str], str] = {}
 
 

@@ -24,7 +24,7 @@ b AS (
                       WHEN 1 THEN concat('/usr/bin/', event_type, '.sh')
                       WHEN 2 THEN concat('/opt/', event_type, '/') END AS path,
     CASE event_id % 3 WHEN 0 THEN ['browser'] WHEN 1 THEN CAST([] AS VARCHAR[]) ELSE [event_type] END AS tags,
-    concat(event_type, CASE WHEN user_id % 2 = 0 THEN ' - YouTube' ELSE ' YouTube page' END) AS title
+    concat(event_type, CASE WHEN user_id % 2 = 0 THEN ' | draft' ELSE ' drafts page' END) AS title
   FROM events
 )"""
 _ACTIVE = r""",

@@ -194,3 +194,39 @@ def test_search_agrees_with_a_linear_time_engine(spark, patterns, texts):
         for i, p in enumerate(patterns):
             theirs = duck.execute("SELECT regexp_matches(?, ?)", [row.v, p]).fetchone()[0]
             assert row[f"c{i}"] == theirs, (p, row.v)
+
+
+@pytest.mark.parametrize(
+    "pattern, char, found",
+    [
+        (r"(?:a|b)*c", "a", False),
+        (r"(?:a|b|[^\n])*\x01", "é", False),
+        (r"(?:ab|c{2})+d$", "ab", False),
+        (r"(?:ab|[c-e])*$", "ab", True),
+        (r"^(?:[a-c]x|[d-f]y)+z?$", "axdy", True),
+        (r"(?:é|x)+y", "é", False),
+    ],
+)
+def test_loops_over_alternatives_run_on_a_megabyte(spark, pattern, char, found):
+    text = char * (1_000_000 // len(char))
+    df = spark.range(1).select(F.lit(text).alias("v"))
+    assert df.select(regex.search(F.col("v"), pattern)).first()[0] is found
+
+
+def test_rewritten_loops_find_what_plain_ones_find(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    atoms = ["a", "b", "ab", "[ab]", "[bc]", "c", "é", "bc", "[ac]{2}", "ca"]
+    patterns = []
+    while len(patterns) < 60:
+        group = "|".join(rng.sample(atoms, rng.randint(1, 4)))
+        loop = f"(?:{group}){rng.choice(['*', '+', '?', '{2}', '{1,3}', '*?', '+?'])}"
+        patterns.append(rng.choice(["", "a", "^"]) + loop + rng.choice(["", "c", "$", "b?c", "[ab]", "é$"]))
+    texts = ["".join(rng.choices("abcé", k=rng.randint(0, 9))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    rows = df.select("v", *[regex.search(F.col("v"), p).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    for row in rows:
+        for i, p in enumerate(patterns):
+            assert row[f"p{i}"] == (re.search(p, row.v) is not None), (p, row.v)
