@@ -7,10 +7,10 @@ expected number of documents, until they are 0 or 1. Each step looks at three op
 three are the fewest whose null space is not empty; so at most two units of a block stay open.
 
 Blocks of a few thousand units of one source fly in parallel, a large source in many of them.
-Open units meet in the next level's blocks, and after about log(units) / log(2000) levels a
-single block per source is left. A dozen of its units, spread over the sizes, do not fly: with
-those that stay open they are the landing problem, small enough to try every outcome and take
-the one nearest to the expected words, then documents. All that moves is an id and three numbers
+Open units meet in the next level's blocks, and after about log(units) / log(700) levels a
+single block per source is left. A few units of each block, spread over the sizes, do not fly, and
+of the last block a dozen: with those that stay open they are the landing problem, small enough to
+try every outcome and take the one nearest to the expected words, then documents. All that moves is an id and three numbers
 per document; the driver sees one row per source.
 
 Random numbers come from the source, level and block, and blocks from a hash of the id: reruns
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from dwelltrace.llm.common import n_words, staged, whole_text
 
 _NEAR = 1e-9
-_LANDING = 12  # units that are kept for the landing
+_LANDING = 12  # units of the last block that are kept for the landing
+_OPEN = 6  # units that a block leaves open
 _UNIT = "place long, doc_id long, size long, p double"
 
 
@@ -71,14 +72,14 @@ def _move(p: list[float], units: list[int], u: tuple[float, ...], coin: float) -
 
 
 def fly(p: list[float], sizes: list[int], rng: np.random.Generator, land: bool) -> None:
-    """Move ``p`` in place, keeping its sum and its sum weighted by size, until at most two
-    entries lie strictly between 0 and 1; with ``land`` none do."""
+    """Move ``p`` in place, keeping its sum and its sum weighted by size, until at most
+    ``_OPEN`` entries lie strictly between 0 and 1; with ``land`` none do, and the sums are kept
+    as nearly as some outcome of the landing allows."""
     waiting = [k for k in range(len(p)) if 0 < p[k] < 1]
-    landing: list[int] = []
-    if land:
-        by_size = sorted(waiting, key=lambda k: sizes[k])
-        landing = by_size[:: max(1, len(by_size) // _LANDING)][:_LANDING]
-        waiting = [k for k in waiting if k not in set(landing)]
+    held = _LANDING if land else _OPEN - 2
+    by_size = sorted(waiting, key=lambda k: sizes[k])
+    landing = by_size[:: max(1, len(by_size) // held)][:held]
+    waiting = [k for k in waiting if k not in set(landing)]
     units: list[int] = []
     coins = rng.random(len(waiting) + 1)
     for move, k in enumerate(waiting):
@@ -91,7 +92,7 @@ def fly(p: list[float], sizes: list[int], rng: np.random.Generator, land: bool)
             scale = max(map(abs, u))
             units = _move(p, units, tuple(v / scale for v in u), coins[move])
     if land:
-        landing += units
+        landing = landing + units
         outcomes = (np.arange(1 << len(landing))[:, None] >> np.arange(len(landing))) & 1
         chances = np.array([p[k] for k in landing])
         words = np.abs((outcomes - chances) @ np.array([float(sizes[k]) for k in landing]))
@@ -161,7 +162,7 @@ def mix_sources(
         if land:
             break
         open_units = flown.filter((F.col("p") > 0) & (F.col("p") < 1))
-        blocks = {place: 2 * n for place, n in blocks.items()}  # two open units a block at most
+        blocks = {place: _OPEN * n for place, n in blocks.items()}
     copies = (F.col("whole") + F.col("p")).cast("long")
     return decided.join(sources, "place").select(
         "doc_id",

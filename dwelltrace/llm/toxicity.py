@@ -43,13 +43,17 @@ _REPORTING = frozenset(
 )
 _SECOND_PERSON = frozenset("you your youre yourself yourselves du dich dir ihr tu toi vous tú ti usted".split())
 _WINDOW = 8
+_ODDS = 4.0  # how much likelier a term must be in toxic texts
 N_FEATURES = 7
 
 
 @dataclass
 class Term:
+    """A word, or a stem that words begin with; ``weight`` says how typical it is, up to 1."""
+
     text: str
     stem: bool
+    weight: float = 1.0
 
     @property
     def edits(self) -> int:
@@ -179,11 +183,11 @@ class _Reader:
 
     def _count(self, chunks: list[str], counts: list[float]) -> None:
         """Plain exact, plain misspelled, quoted exact, quoted misspelled, reported, addressed
-        hits, and hits per hundred words."""
+        hits, and hits per hundred words, each hit by the weight of its term."""
         quotes = [0]  # quotation marks up to each piece
         for chunk in chunks:
             quotes.append(quotes[-1] + sum(chunk.count(q) for q in _QUOTES))
-        total = 0
+        total = 0.0
         for i, chunk in enumerate(chunks):
             if chunk not in self.hits:
                 continue
@@ -194,10 +198,11 @@ class _Reader:
             for word in _WORD.findall(chunk):
                 found = self.automaton.match(word)
                 if found:
-                    counts[2 * quoted + (found[0] > 0)] += 1
-                    counts[4] += bool(around & _REPORTING)
-                    counts[5] += bool(around & _SECOND_PERSON)
-                    total += 1
+                    weight = self.automaton.terms[found[1]].weight
+                    counts[2 * quoted + (found[0] > 0)] += weight
+                    counts[4] += weight * bool(around & _REPORTING)
+                    counts[5] += weight * bool(around & _SECOND_PERSON)
+                    total += weight
         counts[6] = 100 * total / max(len(chunks), 1)
 
 
@@ -221,15 +226,16 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean:
     judged = []
     for text, stem, toxic, clean in rows:
         # Much likelier in toxic texts, not just more often than chance allows.
-        if toxic >= 4 and toxic / n_toxic >= 25 * (clean + 0.5) / n_clean:
-            judged.append((_ratio(toxic, clean, n_toxic, n_clean), stem, text, toxic, clean))
+        odds = toxic / n_toxic / ((clean + 0.5) / n_clean)
+        if toxic >= 4 and odds >= _ODDS:
+            judged.append((_ratio(toxic, clean, n_toxic, n_clean), stem, text, odds))
     terms: list[Term] = []
     stems: set[str] = set()
-    for ratio, stem, text, _, _ in sorted(judged, key=lambda x: (-x[0], x[1], len(x[2]), x[2])):
+    for ratio, stem, text, odds in sorted(judged, key=lambda x: (-x[0], x[1], len(x[2]), x[2])):
         if ratio < 24 or len(terms) >= most:
             break
         if not any(text[:n] in stems for n in range(4, len(text) + 1)):
-            terms.append(Term(text, stem))
+            terms.append(Term(text, stem, min(1.0, math.log(odds) / math.log(100))))
             if stem:
                 stems.add(text)
     return terms
@@ -301,7 +307,7 @@ def learn_toxicity(
         sample.mapInArrow(mine, "term string, stem boolean, toxic long, clean long")
         .groupBy("term", "stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter((F.col("toxic") >= 4) & (F.col("toxic") * n_clean >= 25.0 * n_toxic * (F.col("clean") + 0.5)))
+        .filter((F.col("toxic") >= 4) & (F.col("toxic") * n_clean >= _ODDS * n_toxic * (F.col("clean") + 0.5)))
         .orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "term", "stem")
         .limit(20 * max_terms)
     )

@@ -113,12 +113,12 @@ class _Features:
 
 
 def train(
-    rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, *, epochs: int = 12, rate: float = 0.5
+    rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, *, steps: int = 72_000, rate: float = 0.5
 ) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by adaptive stochastic gradient steps."""
+    """Logistic regression on soft labels by about ``steps`` adaptive stochastic gradient steps."""
     weights, bias, seen = np.zeros(_TOP), 0.0, np.full(_TOP, 1e-6)
     rng = np.random.default_rng(1)
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(len(rows), 1)) if rows else 0):
         for i in rng.permutation(len(rows)):
             slots, values = rows[i]
             error = 1 / (1 + np.exp(-np.clip(weights[slots] @ values + bias, -30, 30))) - target[i]
@@ -143,9 +143,8 @@ def weak_quality(docs: DataFrame, *, max_trained: int = 6_000, threshold: float
     known = spark.createDataFrame([(*map(int, p), float(g)) for p, g in zip(patterns, good)], schema)
     labelled = voted.join(F.broadcast(known), names)
 
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trained).select("doc_id", "posterior")
-    sample = sample.dropDuplicates(["doc_id"])
-    chosen = sample.toPandas()
+    sample = labelled.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trained)
+    chosen = {row["doc_id"]: row["posterior"] for row in sample.select("doc_id", "posterior").collect()}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Features()
@@ -161,7 +160,7 @@ def weak_quality(docs: DataFrame, *, max_trained: int = 6_000, threshold: float
                 names=["doc_id", "posterior", "slots", "values"],
             )
 
-    ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, posterior double"))
+    ids = F.broadcast(spark.createDataFrame(list(chosen.items()), "doc_id long, posterior double"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = (
         texts.join(ids, "doc_id")
