@@ -13,7 +13,7 @@ places. Consecutive windows with one anchor form a piece, some 35 windows long.
    anchor's range. An anchor that occurs very often may stand in as many different surroundings:
    its pieces are cut finer and dealt by the bytes common to all windows of a cut, so that only
    surroundings that may match meet in a task.
-3. An owner builds run-length indexes (``run_index``) over its strings, a few megabytes at a time,
+3. An owner builds run-length indexes (``run_index``) over its strings, half a megabyte at a time,
    streams matching statistics from them, and answers for each window whether it also starts
    earlier. Strings are in the order of their first occurrence, so a leader is the earliest.
 4. Blocks mark what is answered and cut it out.
@@ -46,7 +46,7 @@ GRAM = 32
 _STRETCH = 1 << 16  # bytes that are hashed at a time
 _HOT = 2048  # occurrences from which an anchor's pieces are cut
 _CUT = 8
-_INDEX_BYTES = 2_000_000
+_INDEX_BYTES = 500_000
 _LAST = np.iinfo(np.int64).max
 
 _BASE = 0xD6E8FEB86659FD93
@@ -229,7 +229,11 @@ class _Block:
         last = first + np.frombuffer(windows, "<u1")
         place = first + np.frombuffer(ahead, "<u1")
         some = np.flatnonzero(kind)
-        self.pieces = self._cut(place[some], first[some], last[some], kind[some])
+        pieces = self._cut(place[some], first[some], last[some], kind[some])
+        # In the order of documents, which is by id and not by place in the block.
+        doc = self.doc_ids[np.searchsorted(self.ends, pieces[0], "right")] if len(pieces[0]) else pieces[0]
+        order = np.lexsort((pieces[3], pieces[1], doc))
+        self.pieces = tuple(column[order] for column in pieces)
         self._index(length)
 
     @staticmethod
@@ -243,9 +247,7 @@ class _Block:
             b = np.minimum(last, place - cut * _CUT)
             some = a <= b
             parts.append((place[some], a[some], b[some], np.full(some.sum(), cut, np.int64)))
-        place, first, last, cut = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((cut, first))
-        return place[order], first[order], last[order], cut[order]
+        return tuple(np.concatenate(c) for c in zip(*parts))
 
     def _index(self, length: int) -> None:
         """Distinct surroundings with their occurrences, numbered by route and then by first place."""
@@ -447,7 +449,7 @@ def _finish(length: int):
 
 
 def remove_repeats(
-    docs: DataFrame, *, length: int = 100, block_bytes: int = 8_000_000, bucket_bytes: int = 32_000_000
+    docs: DataFrame, *, length: int = 100, block_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes``, the removed ``spans`` (byte ranges, end exclusive)
     and ``kept``, the bytes that remain.

@@ -18,37 +18,60 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def _ranks(a: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1; 0 stands for the empty suffix."""
-    order = np.argsort(a, kind="stable")
-    ordered = a[order]
-    steps = np.empty(len(a), np.int64)
-    steps[:1] = 1
+_PLACE_BITS = 21
+
+
+def _ranks(key: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks from 1, and the order by key and then by place. Keys below ``2**room`` are
+    sorted together with their places as one number, which is much faster than an argsort."""
+    n = len(key)
+    if room + _PLACE_BITS <= 64 and n < 1 << _PLACE_BITS:
+        packed = (key.astype(np.uint64) << np.uint64(_PLACE_BITS)) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        ordered = packed >> np.uint64(_PLACE_BITS)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    steps = np.ones(n, np.int64)
     steps[1:] = ordered[1:] != ordered[:-1]
-    ranks = np.empty(len(a), np.int64)
+    ranks = np.empty(n, np.int64)
     ranks[order] = np.cumsum(steps)
-    return ranks
+    return ranks, order
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Suffixes of every string in order; ``ends`` has the end of the string for each position."""
+def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes of every string in order; ``ends`` has the end of the string for each position.
+
+    Also ranks of the first 2**k letters or so, by which matches are measured; suffixes that end
+    before are ranked whole.
+    """
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    at = np.arange(n)
-    left = ends - at  # letters to the end of the string
-    for k in range(7):  # seven letters and how many of them there are
-        letter = np.zeros(n, np.uint64)
-        letter[: n - k] = text[k:]
-        key = (key << np.uint64(8)) | np.where(left > k, letter, 0).astype(np.uint64)
-    rank = _ranks((key << np.uint64(3)) | np.minimum(left, 7).astype(np.uint64))
-    width, longest = 7, int(left.max(initial=0))
+    left = ends - np.arange(n)  # letters to the end of the string
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    bits = int(len(used)).bit_length()  # 0 stands for the end
+    dense = np.zeros(256, np.uint64)
+    dense[used] = np.arange(1, len(used) + 1)
+    letter = dense[text]
+    width = (64 - _PLACE_BITS) // bits
+    key = letter.copy()
+    for k in range(1, width):
+        key <<= np.uint64(bits)
+        if k < n:
+            key[: n - k] |= letter[k:] * (left[: n - k] > k)
+    rank, order = _ranks(key, width * bits)
+    levels = [(width, rank)]
+    longest = int(left.max(initial=0))
+    room = 2 * int(n + 1).bit_length()
     while width < longest:
         beyond = np.zeros(n, np.int64)
-        beyond[: n - width] = rank[width:] if n > width else 0
+        if n > width:
+            beyond[: n - width] = rank[width:]
         beyond[left <= width] = 0
-        rank = _ranks(rank * (n + 1) + beyond)
+        rank, order = _ranks((rank << (room // 2)) | beyond, room)
         width *= 2
-    return np.argsort(rank, kind="stable")
+        levels.append((width, rank))
+    return order, levels
 
 
 @dataclass
@@ -63,22 +86,25 @@ class RunIndex:
     size: int
 
 
-def _common(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _common(text, ends, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the matches between suffixes at ``a`` and ``b``."""
     limit = np.minimum(ends[a] - a, ends[b] - b)
     match = np.zeros(len(a), np.int64)
-    open_ = np.flatnonzero(limit > 0)
-    while len(open_):
+    for width, rank in reversed(levels):
+        open_ = match < limit
+        x, y = np.where(open_, a + match, a), np.where(open_, b + match, b)
+        match += width * (open_ & (rank[x] == rank[y]))
+    for _ in range(levels[0][0]):  # the last letters, one by one
+        open_ = np.flatnonzero(match < limit)
         same = text[a[open_] + match[open_]] == text[b[open_] + match[open_]]
-        open_ = open_[same]
-        match[open_] += 1
-        open_ = open_[match[open_] < limit[open_]]
-    return match
+        match[open_[same]] += 1
+        limit[open_[~same]] = match[open_[~same]]
+    return np.minimum(match, limit)
 
 
 def build_index(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> RunIndex:
     """``text`` is bytes; ``starts`` and ``ends`` have its string's start and end for each position."""
-    order = suffix_order(text, ends)
+    order, levels = suffix_order(text, ends)
     before = np.where(order > starts[order], text.astype(np.int16)[order - 1], np.int16(256))
     # What stands before a string is a letter of its own each time, so such runs have length one.
     new = np.ones(len(order), bool)
@@ -87,7 +113,7 @@ def build_index(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> RunIn
     tails = np.append(heads[1:], len(order)) - 1
     first, last = order[heads], order[tails]
     border = np.zeros(len(heads), np.int64)
-    border[1:] = _common(text, ends, first[1:], last[:-1])
+    border[1:] = _common(text, ends, levels, first[1:], last[:-1])
     return RunIndex(before[heads], tails - heads + 1, first, last, border, len(text))
 
 
@@ -100,12 +126,10 @@ def _stream(samples: np.ndarray, neighbours: np.ndarray, matches: np.ndarray, si
     return np.repeat(matches, reach) - distance, np.repeat(neighbours, reach) + distance
 
 
-def matching_statistics(index: RunIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each position the longest match with another one, the match with its neighbour above,
-    and where that neighbour stands. Every string starts a run, so samples cover all positions."""
-    above, up = _stream(index.first, np.append(-1, index.last[:-1]), index.border, index.size)
-    below, _ = _stream(index.last, np.append(index.first[1:], -1), np.append(index.border[1:], 0), index.size)
-    return np.maximum(above, below), above, up
+def matching_statistics(index: RunIndex) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the match with its neighbour above, and where that one stands. Every
+    string starts a run, so samples cover all positions."""
+    return _stream(index.first, np.append(-1, index.last[:-1]), index.border, index.size)
 
 
 def repeated_windows(
@@ -114,17 +138,21 @@ def repeated_windows(
     """Positions whose next ``length`` letters occur elsewhere too, and for each the first position
     in text order where they do."""
     index = build_index(text, starts, ends)
-    statistics, above, up = matching_statistics(index)
-    places = np.flatnonzero(statistics >= length)
-    # Equal windows are neighbours in suffix order: climb to the uppermost of them.
+    above, up = matching_statistics(index)
+    # Equal windows are neighbours in suffix order: climb to the uppermost of them, which is the
+    # only one whose own match above is shorter.
+    climbs = np.flatnonzero(above >= length)
     top = np.arange(index.size)
-    climbs = places[above[places] >= length]
     top[climbs] = up[climbs]
     while True:
-        higher = top[top[places]]
-        if np.array_equal(higher, top[places]):
+        higher = top[top[climbs]]
+        if np.array_equal(higher, top[climbs]):
             break
-        top[places] = higher
-    leader = np.full(index.size, index.size)
-    np.minimum.at(leader, top[places], places)
+        top[climbs] = higher
+    long_match = np.zeros(index.size, bool)
+    long_match[climbs] = True
+    long_match[top[climbs]] = True
+    places = np.flatnonzero(long_match)
+    leader = np.empty(index.size, np.int64)
+    leader[top[places[::-1]]] = places[::-1]  # written last: the first position
     return places, leader[top[places]]
