@@ -47,8 +47,16 @@ def arrow_batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.
     )
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut down, for texts may be long."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples."""
+    for batch in in_slices(batches, 128):
         yield from zip(*(column.to_pylist() for column in batch.columns))
 
 

@@ -45,6 +45,7 @@ from dwelltrace.llm.pretokens import PieceTable
 _WORDS = "block string, bucket int, words binary"
 _TEXTS = "block string, n_buckets int, doc_ids binary, counts binary, codes binary"
 _IDS = "block string, bucket int, ids binary"
+_KNOWN_MATCHES = 100_000  # pre-tokens remembered from one word to the next
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,11 +154,12 @@ def _encode_words(ranks: Broadcast, pattern: str):
 
         for batch in batches:
             rows = []
-            for name, bucket, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for name, bucket, packed in rows_of([batch]):
+                if bucket != current or len(matches) > _KNOWN_MATCHES:
+                    matches.clear()
                 if bucket != current:
                     current = bucket
                     known.clear()
-                    matches.clear()
                 lengths, blob = unpack(packed)
                 ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
                 out = []
@@ -209,7 +211,7 @@ def _assemble(texts: pa.Table, ids: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, block_chars: int = 8_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, block_chars: int = 3_000_000) -> DataFrame:
     """One row per document: ``doc_id`` and ``ids``, little-endian unsigned 32-bit integers.
 
     ``ranks_path`` names a rank file, read on the driver; ``pattern`` splits text before the merges.
@@ -217,7 +219,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, block_ch
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = max(16, math.isqrt(chars // 1_000_000))
+    n_buckets = max(32, 4 * math.isqrt(chars // 1_000_000))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # as many as the vocabulary has
     words = (
         texts.mapInArrow(_words_of(block_chars, n_buckets), _WORDS)
