@@ -41,7 +41,8 @@ def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
-    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer, pattern=public_tokenizers.PATTERN)
     return read_token_files(spark, path).select(
         "doc_id",
         "start",

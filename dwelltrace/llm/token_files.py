@@ -27,16 +27,19 @@ columns are ignored; a text longer than a shard is a shard of its own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dwelltrace.llm.blocks import in_slices
 from dwelltrace.llm.pretokens import PieceTable
 
 _SHARDS = (
@@ -44,30 +47,65 @@ _SHARDS = (
     "offsets array<long>, payload binary, dictionary string, width int"
 )
 _TRAINED_IDS = 4096
-_KNOWN_PIECES = 600_000
-_tables: dict[str, PieceTable] = {}  # by tokenizer; kept between the tasks of a worker
+_KNOWN_PIECES = 500_000
+_AT_ONCE = 256  # documents whose new pieces are encoded in one call
 
+# Tasks already fill the cores.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-class IdEncoder:
-    """Serialized ids of texts. Pieces that were met before are not encoded again."""
-
-    def __init__(self, tokenizer_json: str) -> None:
-        name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-        if name not in _tables:
-            tokenizer = Tokenizer.from_str(tokenizer_json)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            width = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-            def encode(piece: str) -> bytes:
-                return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, width).tobytes()
 
-            _tables[name] = PieceTable(encode)
-        self._table = _tables[name]
-
-    def encode(self, text: str | None) -> bytes:
-        if self._table.size() > _KNOWN_PIECES:
-            self._table.clear()
-        return b"".join(self._table.values_of(text or ""))
+class IdEncoder:
+    """Serialized ids of texts. What was met before is not encoded again.
+
+    Texts are cut into pieces between blanks and, where ``pattern`` gives the tokenizer's own cut,
+    new pieces further into its matches; each distinct match goes through the tokenizer once.
+    """
+
+    def __init__(self, tokenizer_json: str, pattern: str | None) -> None:
+        self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._width = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self._cut = regex.compile(pattern).findall if pattern else lambda piece: [piece]
+        self._new: list[str] = []
+        self._pieces: list[bytes] = []
+        self._table = PieceTable(self._number)
+        self._matches: dict[str, bytes] = {}
+
+    def _number(self, piece: str) -> int:
+        self._new.append(piece)
+        return len(self._pieces) + len(self._new) - 1
+
+    def _encode_new(self) -> None:
+        cuts = [self._cut(piece) for piece in self._new]
+        unknown = list({match for cut in cuts for match in cut} - self._matches.keys())
+        for match, encoding in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+            self._matches[match] = np.array(encoding.ids, self._width).tobytes()
+        self._pieces += [b"".join([self._matches[match] for match in cut]) for cut in cuts]
+        self._new.clear()
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), _AT_ONCE):
+            if len(self._pieces) > _KNOWN_PIECES:
+                self._table.clear()
+                self._pieces.clear()
+                self._matches.clear()
+            codes = [self._table.values_of(text or "") for text in texts[at : at + _AT_ONCE]]
+            self._encode_new()
+            out += [b"".join(map(self._pieces.__getitem__, own)) for own in codes]
+        return out
+
+
+_encoders: dict[tuple[str, str | None], IdEncoder] = {}
+
+
+def _encoder(tokenizer_json: str, pattern: str | None) -> IdEncoder:
+    """Kept between the tasks of a worker."""
+    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = IdEncoder(tokenizer_json, pattern)
+    return _encoders[key]
 
 
 def _width(tokenizer_json: str) -> int:
@@ -93,13 +131,15 @@ def write_token_files(
     path: str,
     tokenizer_path: str,
     *,
+    pattern: str | None = None,
     end_id: int = 2,
     max_trained: int = 2_000,
     dictionary_size: int = 64 * 1024,
     shard_bytes: int = 4_000_000,
 ) -> None:
     """Encode all documents and write them in ascending order of ids. ``tokenizer_path`` is read
-    on the driver."""
+    on the driver. ``pattern`` may give the pattern of the tokenizer's pre-tokenizer, which saves
+    encoding words again for the punctuation beside them."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()
@@ -108,9 +148,9 @@ def write_token_files(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sample_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(shared.value)
+        encoder = _encoder(shared.value, pattern)
         for batch in batches:
-            ids = [encoder.encode(text)[: _TRAINED_IDS * width] for text in batch.column(1).to_pylist()]
+            ids = [own[: _TRAINED_IDS * width] for own in encoder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     chosen = texts.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trained)
@@ -125,7 +165,7 @@ def write_token_files(
     end = end_id.to_bytes(width, "little")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(shared.value)
+        encoder = _encoder(shared.value, pattern)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_zstd_dictionary(sent.value))
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, n_tokens, frames, size = [], [], [], 0
@@ -148,9 +188,10 @@ def write_token_files(
             }
             return pa.RecordBatch.from_pylist([row], schema=shard_schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
+        for part_batch in in_slices(batches, _AT_ONCE):
+            encoded = encoder.encode(part_batch.column(1).to_pylist())
+            for doc_id, own in zip(part_batch.column(0).to_pylist(), encoded):
+                ids = own + end
                 doc_ids.append(doc_id)
                 n_tokens.append(len(ids) // width)
                 frames.append(compressor.compress(ids))
