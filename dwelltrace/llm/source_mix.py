@@ -34,6 +34,7 @@ from dwelltrace.llm.common import n_words, staged, whole_text
 _NEAR = 1e-9
 _LANDING = 12  # units of the last block that are kept for the landing
 _OPEN = 6  # units that a block leaves open
+_FEW_SOURCES = 10_000
 _UNIT = "place long, doc_id long, size long, p double"
 
 
@@ -112,6 +113,12 @@ def _flight(level: int, land: bool):
     return run
 
 
+def _beside(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one row per source goes to every task while it is small, so that the rows of a
+    large source need not meet; beyond that it is joined by a shuffle, which splits skewed keys."""
+    return F.broadcast(table) if rows <= _FEW_SOURCES else table
+
+
 def mix_sources(
     docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, block: int = 4096
 ) -> DataFrame:
@@ -137,7 +144,7 @@ def mix_sources(
     schema = "place long, source string, source_size long, target double, whole int, rate double"
     sources = spark.createDataFrame(rows, schema)
 
-    # A row per source; Spark broadcasts it only while it is below its own size limit.
+    sources = _beside(sources, len(rows))
     units = sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
     open_units = units.select("place", "doc_id", "size", F.col("rate").alias("p"))
     decided = None
@@ -146,7 +153,7 @@ def mix_sources(
         level += 1
         blocks = {place: math.ceil(n / block) for place, n in blocks.items()}
         land = max(blocks.values(), default=1) <= 1
-        counts = spark.createDataFrame([(place, n) for place, n in blocks.items()], "place long, n long")
+        counts = _beside(spark.createDataFrame(list(blocks.items()), "place long, n long"), len(blocks))
         order = F.xxhash64(F.lit(level), "place", "doc_id", "size")
         dealt = (
             open_units.join(counts, "place")
