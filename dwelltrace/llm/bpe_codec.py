@@ -186,7 +186,34 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.n
     return flat[shift + np.arange(ends[-1])]
 
 
-def _assemble(texts: pa.Table, ids: pa.Table) -> pa.Table:
+class _TokenBytes:
+    """The token-byte table; decoding joins ids with it."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self._sizes = np.array(list(map(len, tokens)), np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        return _gather(self._flat, self._starts, self._sizes, np.frombuffer(ids, "<u4")).tobytes()
+
+
+def _assemble(decode: Broadcast | None):
+    def run(texts: pa.Table, ids: pa.Table) -> pa.Table:
+        table = _put_together(texts, ids)
+        if decode is None:
+            return table
+        token_bytes = _TokenBytes(decode.value)
+        data = pa.array([token_bytes.decode(own) for own in table.column(1).to_pylist()], pa.binary())
+        return table.append_column("data", data)
+
+    return run
+
+
+def _put_together(texts: pa.Table, ids: pa.Table) -> pa.Table:
     """The ids of each document of a block, by position."""
     out_ids, out = [], []
     for row in texts.to_pylist():
@@ -211,10 +238,14 @@ def _assemble(texts: pa.Table, ids: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, block_chars: int = 3_000_000) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, *, decoded: bool = False, block_chars: int = 3_000_000
+) -> DataFrame:
     """One row per document: ``doc_id`` and ``ids``, little-endian unsigned 32-bit integers.
 
     ``ranks_path`` names a rank file, read on the driver; ``pattern`` splits text before the merges.
+    ``decoded`` adds ``data`` as ``decode_documents`` does, in the same task: one Python worker
+    fewer for each core.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -228,26 +259,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, block_ch
         .mapInArrow(_encode_words(ranks, pattern), _IDS)
     )
     blocks = texts.mapInArrow(_texts_of(block_chars, n_buckets), _TEXTS)
-    return (
-        blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
-    )
+    schema = "doc_id long, ids binary" + (", data binary" if decoded else "")
+    assemble = _assemble(ranks if decoded else None)
+    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``data``, the bytes that the ids stand for, to rows of ``doc_id, ids``."""
-    ranks = read_ranks(ranks_path)
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    sizes = np.array(list(map(len, tokens)), np.int64)
-    table = encoded.sparkSession.sparkContext.broadcast((b"".join(tokens), sizes))  # the token-byte table
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, sizes = table.value
-        flat, starts = np.frombuffer(blob, np.uint8), np.cumsum(sizes) - sizes
+        token_bytes = _TokenBytes(ranks.value)
         for batch in batches:
-            documents = [np.frombuffer(ids, "<u4") for ids in batch.column(1).to_pylist()]
-            data = pa.array([_gather(flat, starts, sizes, ids).tobytes() for ids in documents], pa.binary())
+            data = pa.array([token_bytes.decode(ids) for ids in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, data], names=["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwelltrace.llm.bpe_codec import decode_documents, encode_documents
+from dwelltrace.llm.bpe_codec import encode_documents
 from dwelltrace.llm.common import scratch, table
 from dwelltrace.llm.decision_list import judge_quality
 from dwelltrace.llm.exact_dedup import exact_groups
@@ -87,8 +87,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """Counts and hashes of the ids of documents and of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    return decode_documents(encoded, ranks).select(
+    return encode_documents(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

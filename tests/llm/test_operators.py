@@ -478,6 +478,8 @@ def test_bpe(documents, texts):
     out = bpe_codec.decode_documents(encoded, RANKS)
     got = by_id(out, (F.length("ids") / 4).cast("int"), F.sha2("ids", 256), F.sha2("data", 256))
     assert got == brute.bpe(texts)
+    at_once = bpe_codec.encode_documents(documents, RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert by_id(at_once, "ids", "data") == by_id(out, "ids", "data")
 
 
 def test_bpe_of_odd_rows(nothing, no_ids):
