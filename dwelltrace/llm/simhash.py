@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwelltrace.llm.blocks import in_slices
 from dwelltrace.llm.common import staged
 from dwelltrace.llm.components import connected_components
 
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Columns ``doc_id, fp``; the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             found = np.array([fingerprint(text or "") for text in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -159,7 +160,7 @@ def forest_links(keys: np.ndarray, prints: np.ndarray, radius: int = 4) -> list[
 
     def planes_at(start: int) -> np.ndarray:
         if start not in planes:
-            if len(planes) > 4096:
+            if len(planes) > 1024:
                 planes.clear()
             planes[start] = bit_planes(prints[start : start + _LANES])
         return planes[start]

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dwelltrace.llm.blocks import in_slices
+
 _LONGS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "n_upper", "n_lower", "n_digits", "n_bangs", "n_adjacent",
@@ -76,7 +78,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """One row of ``STATS`` per document. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             rows = [text_statistics(text or "") for text in batch.column(1).to_pylist()]
             columns = list(zip(*rows)) if rows else [[] for _ in _LONGS]
             yield pa.RecordBatch.from_arrays(

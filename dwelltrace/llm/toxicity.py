@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwelltrace.llm.blocks import in_slices
 from dwelltrace.llm.common import staged
 
 _WORD = re.compile(r"\w+")
@@ -168,7 +169,7 @@ class _Reader:
     def features(self, text: str) -> list[float]:
         chunks = text.lower().split()
         new = set(chunks) - self.misses
-        if len(self.misses) > 500_000 or len(self.hits) > 100_000:
+        if len(self.misses) > 150_000 or len(self.hits) > 50_000:
             self.misses.clear(), self.hits.clear()
         for chunk in new:
             if chunk not in self.hits:
@@ -322,7 +323,7 @@ def learn_toxicity(
 def _features_of(terms: list[Term]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(terms)
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             rows = [reader.features(text or "") for text in batch.column(2).to_pylist()]
             columns = list(zip(*rows)) if rows else [[]] * N_FEATURES
             yield pa.RecordBatch.from_arrays(
@@ -347,7 +348,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value.terms)
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             scores = pa.array(_scores(shared.value, batch.column(1).to_pylist(), reader), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
@@ -362,7 +363,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value.terms)
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             *columns, texts = batch.columns
             scores = _scores(shared.value, texts.to_pylist(), reader)
             clean = pa.array([score < threshold for score in scores], pa.bool_())

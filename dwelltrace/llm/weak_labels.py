@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dwelltrace.llm.blocks import in_slices
 from dwelltrace.llm.common import staged
 from dwelltrace.llm.text_stats import document_statistics
 
@@ -92,7 +93,7 @@ class _Features:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         known, words = self._known, text.encode().split()
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         flat: list[int] = []
         before = None
@@ -177,7 +178,7 @@ def weak_quality(docs: DataFrame, *, max_trained: int = 6_000, threshold: float
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, (w, b) = _Features(), model.value
-        for batch in batches:
+        for batch in in_slices(batches, 256):
             scores = []
             for text in batch.column(1).to_pylist():
                 slots, values = features.of(text or "")
