@@ -1,0 +1,303 @@
+"""Near copies by the similarity of their texts: Jaccard of sets of five words, 0.8 or more.
+
+Every text becomes the set of the hashes of its runs of five words. 96 minima of that set are
+dealt in bands of four: texts of similarity 0.8 share at least one of the 24 bands but for three
+in a million. One bit of each of 64 minima makes a fingerprint. Rows of a band are compared by
+bit planes, 512 at a time, with carry-save counters; the bits of texts of similarity 0.8 differ
+in a tenth of the places on average, and pairs up to ``RADIUS`` apart whose sizes allow the
+similarity are candidates. Candidates become links only by the exact similarity of whole texts.
+
+A band that many texts share would give a candidate for each two of them. A task therefore emits
+as many spanning forests of its candidates as ``most`` says. Where that left some out, and the
+links found did not connect them, the band is compared again between what is still apart, with
+eight times the forests, until none is left out: the components are those of all candidates.
+
+Odd cases: words are those between the contract's white space, ASCII letters in lower case; texts
+of fewer than five words are one run; texts without a word are copies of each other only; rows
+without an id are compared with nothing and stay; ids may repeat.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dwelltrace.llm.blocks import in_slices
+from dwelltrace.llm.common import staged
+from dwelltrace.llm.components import connected_components
+from dwelltrace.llm.simhash import _LANES, _LOWER, BITS, _Forest, bit_planes
+
+RUN, BANDS, ROWS, RADIUS = 5, 24, 4, 15
+_rng = np.random.default_rng(42)
+_FLIPS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def runs_of(text: str, known: _Words) -> np.ndarray:
+    """The hashes of a text's runs of words, ascending, each once."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(known) > 100_000:
+        known.clear()
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    width = min(RUN, len(codes))
+    n = len(codes) - width + 1
+    hashes = np.full(n, width, np.uint64)
+    for i in range(width):
+        hashes = hashes * _ODD + codes[i : i + n]
+    return np.unique(_mixed(hashes))
+
+
+def name_of(runs: np.ndarray) -> int:
+    """What texts of the same runs have in common, as a signed number."""
+    return int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes())).view(np.int64))
+
+
+def signature(runs: np.ndarray) -> tuple[int, np.ndarray]:
+    """Fingerprint and bands."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(runs), 2048):
+        part = (runs[at : at + 2048, None] ^ _FLIPS) * _FACTORS
+        np.minimum(least, part.min(axis=0), out=least)
+    least = _mixed(least)
+    bits = np.packbits((least[:BITS] & np.uint64(1)).astype(np.uint8)).view(np.uint64)[0]
+    bands = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        bands = bands * _ODD + column
+    return int(bits.view(np.int64)), _mixed(bands).view(np.int64)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """Columns ``doc_id, own, n, bits, bands``: texts of the same runs have the same ``own``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in in_slices(batches, 256):
+            own, n, bits, bands = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                runs = runs_of(text or "", known)
+                print_, keys = signature(runs) if len(runs) else (0, np.zeros(0, np.int64))
+                own.append(name_of(runs)), n.append(len(runs)), bits.append(print_), bands.append(keys)
+            long = pa.int64()
+            columns = [pa.array(own, long), pa.array(n, long), pa.array(bits, long), pa.array(bands, pa.list_(long))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "own", "n", "bits", "bands"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(run, "doc_id long, own long, n long, bits long, bands array<long>")
+
+
+def lanes_within_radius(prints: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(print, lane) pairs at most ``RADIUS`` bits apart: four carry-save counters hold up to 15."""
+    counters = [np.zeros((len(prints), planes.shape[1]), np.uint64) for _ in range(4)]
+    over = np.zeros_like(counters[0])
+    full = ~np.uint64(0)
+    for bit in range(BITS):
+        mask = np.where((prints >> np.uint64(bit)) & np.uint64(1), full, np.uint64(0))[:, None]
+        carry = planes[bit][None, :] ^ mask
+        for counter in counters:
+            following = counter & carry
+            counter ^= carry
+            carry = following
+        over |= carry
+        if bit >= 31 and bit % 8 == 7 and (over == full).all():
+            break
+    rows, words = np.nonzero(~over)
+    bits = np.unpackbits((~over)[rows, words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    hit, lane = np.nonzero(bits)
+    return rows[hit], words[hit] * 64 + lane
+
+
+def candidates(
+    keys: np.ndarray, prints: np.ndarray, sizes: np.ndarray, parts: np.ndarray, most: int
+) -> tuple[list[tuple[int, int]], set[int]]:
+    """Pairs of rows of one key that may be similar and are in different parts: so many spanning
+    forests of them. Also the keys of which pairs were left out. Rows come sorted by key."""
+    n = len(keys)
+    _, node = np.unique(np.stack([keys, parts], axis=1), axis=0, return_inverse=True)
+    node = node.reshape(-1)
+    forests: list[_Forest] = []
+    found: list[tuple[int, int]] = []
+    left_out: set[int] = set()
+    planes = {start: bit_planes(prints[start : start + _LANES]) for start in range(0, n, _LANES)}
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        if len(forests) == most:
+            root = forests[-1].roots()
+            apart = root[node[a]] != root[node[b]]
+            left_out.update(keys[a[~apart]].tolist())
+            a, b = a[apart], b[apart]
+        for x, y, i, j in zip(node[a].tolist(), node[b].tolist(), a.tolist(), b.tolist()):
+            for forest in forests:
+                if forest.find(x) != forest.find(y):
+                    break
+            else:
+                if len(forests) == most:
+                    left_out.add(int(keys[i]))
+                    continue
+                forest = _Forest(n)
+                forests.append(forest)
+            forest.join([(x, y)])
+            found.append((i, j))
+
+    for start in planes:
+        stop = min(start + _LANES, n)
+        for other in range(start, n, _LANES):
+            if other > start and keys[other] != keys[stop - 1]:
+                break
+            rows, lanes = lanes_within_radius(prints[start:stop], planes[other])
+            a, b = rows + start, lanes + other
+            ok = (a < b) & (b < min(other + _LANES, n))
+            a, b = a[ok], b[ok]
+            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            ok = (keys[a] == keys[b]) & (node[a] != node[b]) & (5 * small >= 4 * large)
+            a, b = a[ok], b[ok]
+            order = np.argsort(b - a, kind="stable")  # neighbours first: no row gets all pairs
+            for at in range(0, len(order), 2048):
+                add(a[order[at : at + 2048]], b[order[at : at + 2048]])
+    return found, left_out
+
+
+def _candidates(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by task; whole tasks are gathered and compared some thousand rows at a
+        time. A row without ``b`` names a task that left pairs out."""
+        waiting: list[list[np.ndarray]] = []
+        rows = 0
+
+        def compare(keys, prints, own, sizes, parts):
+            found, left_out = candidates(keys, prints.view(np.uint64), sizes, parts, most)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            a, b = own[pairs[:, 0]], own[pairs[:, 1]]
+            columns = [
+                pa.array(np.minimum(a, b).tolist() + sorted(left_out), pa.int64()),
+                pa.array(np.maximum(a, b).tolist() + [None] * len(left_out), pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+        for batch in batches:
+            waiting.append([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            rows += batch.num_rows
+            if rows >= 16_384:
+                columns = [np.concatenate(c) for c in zip(*waiting)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last task may go on
+                if cut:
+                    yield compare(*(c[:cut] for c in columns))
+                waiting, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if rows:
+            yield compare(*(np.concatenate(c) for c in zip(*waiting)))
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose similarity is 0.8 or more."""
+    for batch in in_slices(batches, 64):
+        close = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            close.append(5 * both >= 4 * (len(a) + len(b) - both))
+        yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
+
+
+def similar_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (columns ``a, b``, names of classes) that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in in_slices(batches, 256):
+            own, found = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                runs = runs_of(text or "", known)
+                if name_of(runs) == name:  # rows that repeat an id may have other texts
+                    own.append(name), found.append(runs.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.binary())], names=["own", "runs"])
+
+    named = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
+    named = classes.select("own", "rep").join(named, "own")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    runs = texts.join(named, "rep").select("own", "text").mapInArrow(run, "own long, runs binary")
+    runs = staged(runs.dropDuplicates(["own"]), "runs")
+    left, right = (runs.select(F.col("own").alias(c), F.col("runs").alias(f"runs_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "runs_a", "runs_b")
+    return both.mapInArrow(_similar, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, *, most: int = 8, chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Classes of texts with the same runs (``own, rep``, the smallest id), and the ``node`` and
+    ``component`` of those classes that are linked to others."""
+    prints = staged(signatures(docs), "signatures")
+    classes = prints.groupBy("own").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")
+    )
+    classes = staged(classes.filter("rep IS NOT NULL"), "run-classes")
+    dealt = classes.select("own", "n", "bits", F.explode("bands").alias("key"))
+    met = (
+        dealt.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter("rows > 1")
+        .select("key", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks"))
+    )
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda other: F.xxhash64("key", F.least(F.col("chunk"), other), F.greatest(F.col("chunk"), other)),
+    )
+    work = (
+        dealt.join(met, "key")
+        .withColumn("chunk", F.pmod(F.xxhash64("own"), F.col("chunks")).cast("int"))
+        .withColumn("task", F.explode(tasks))
+        .select("task", "bits", "own", "n")
+    )
+    work = staged(work, "bands")
+    links = component = None
+    todo = work
+    while True:
+        rows = todo.withColumn("part", F.col("own"))
+        if component is not None:
+            parts = component.select(F.col("node").alias("own"), F.col("component").alias("known"))
+            rows = todo.join(parts, "own", "left").withColumn("part", F.coalesce("known", "own"))
+        found = staged(
+            rows.select("task", "bits", "own", "n", "part")
+            .repartition("task")
+            .sortWithinPartitions("task", "bits", "own")
+            .mapInArrow(_candidates(most), "a long, b long"),
+            "candidates",
+        )
+        pairs = staged(found.filter("b IS NOT NULL").distinct(), "pairs")
+        new = staged(similar_pairs(docs, classes, pairs), "similar")
+        links = new if links is None else links.unionByName(new)
+        component = staged(connected_components(links), "similar-components")
+        left_out = found.filter("b IS NULL").select(F.col("a").alias("task")).distinct()
+        if left_out.isEmpty():
+            return classes.select("own", "rep"), component
+        todo, most = work.join(left_out, "task", "left_semi"), 8 * most
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """The document with the smallest id of each group, with all its columns. Rows without an id
+    cannot be named as copies and stay, and rows that repeat an id stay or go together."""
+    classes, component = similar_groups(docs, **options)
+    group = F.coalesce("component", "own")
+    kept = classes.join(component, classes["own"] == component["node"], "left").groupBy(group).agg(F.min("rep").alias("__kept_id"))
+    nameless = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("__kept_id"))
+    kept = kept.select("__kept_id").unionByName(nameless).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id"))).drop("__kept_id")

@@ -1,0 +1,74 @@
+"""The near-dedup stage against brute-force similarity of five-word runs."""
+
+import random
+from itertools import combinations
+
+import brute
+import corpus_pipeline
+import pytest
+from conftest import frame, prose
+
+from dwelltrace.llm import near_copies
+
+
+def runs(text):
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in brute.WORD.findall(text or "")]
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def heads(texts):
+    """The smallest id of each component."""
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = {d: runs(t) for d, t in texts.items()}
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {find(d) for d in texts}
+
+
+def changed(rng, text, share):
+    words = text.split(" ")
+    for i in range(len(words)):
+        if rng.random() < share:
+            words[i] = f"new{rng.randrange(10_000)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts with copies changed little enough, a little too much, and a crowd of one text."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(40):
+        text = prose(rng, rng.randint(60, 400))
+        rows += [text, changed(rng, text, 0.01), changed(rng, text, 0.02), changed(rng, text, 0.04)]
+    crowd = prose(rng, 200)
+    rows += [changed(rng, crowd, 0.012) for _ in range(150)]
+    rows += ["", " \n", "one", "one two", "ONE", None]
+    return [(i, text, "s") for i, text in enumerate(rows)]
+
+
+def test_near_dedup_stage_finds_what_is_similar(spark, copies):
+    docs = frame(spark, copies)
+    stays = corpus_pipeline.near_dedup(spark, docs, "")
+    assert stays.columns == docs.columns
+    assert {r.doc_id for r in stays.select("doc_id").collect()} == heads({d: t for d, t, _ in copies})
+
+
+def test_left_out_pairs_are_compared_again(spark, copies):
+    stays = near_copies.drop_similar(frame(spark, copies), most=1, chunk=32)
+    assert {r.doc_id for r in stays.select("doc_id").collect()} == heads({d: t for d, t, _ in copies})
+
+
+def test_near_copies_of_odd_rows(nothing, no_ids):
+    assert near_copies.drop_similar(nothing).count() == 0
+    stays = near_copies.drop_similar(no_ids)
+    assert stays.filter("doc_id IS NULL").count() == no_ids.filter("doc_id IS NULL").count()
