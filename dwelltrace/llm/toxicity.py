@@ -5,7 +5,8 @@
 2. Words are matched by the intersection of two automata, the trie of the lexicon and the
    Levenshtein automaton of the word: a state is the set of trie nodes reached, each with the
    edits spent, and is built the first time some word needs it. Most words die in three letters.
-   A term of five letters or more allows one edit, of nine or more two; a stem must be met exactly.
+   A term of five letters or more allows one edit, of nine or more two; a stem must be met exactly,
+   and the typical words that begin with it are terms beside it, with edits of their own.
 3. A hit is seen in a window of words around it: between quotation marks, near a word of
    reporting, near a second person. Counts of plain and quoted, exact and misspelled hits go to a
    logistic regression on labelled documents, which separates quotation from abuse as far as the
@@ -221,24 +222,55 @@ def _ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return 2 * (part(toxic, n_toxic) + part(clean, n_clean))
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether one letter more, less or other turns a word into the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
 def choose_terms(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int, most: int) -> list[Term]:
     """Terms out of (text, is a stem, toxic documents, clean documents), the best first, without
-    those that a chosen stem covers."""
+    stems that a chosen stem covers. Words that one covers are terms too, for a stem must be met
+    exactly and their first letters may be misspelled; they do not count towards ``most``. A rare
+    misspelling of a chosen word is met by that word's edits and is no term of its own."""
     judged = []
     for text, stem, toxic, clean in rows:
         # Much likelier in toxic texts, not just more often than chance allows.
         odds = toxic / n_toxic / ((clean + 0.5) / n_clean)
         if toxic >= 4 and odds >= _ODDS:
-            judged.append((_ratio(toxic, clean, n_toxic, n_clean), stem, text, odds))
+            judged.append((_ratio(toxic, clean, n_toxic, n_clean), stem, text, odds, toxic))
     terms: list[Term] = []
     stems: set[str] = set()
-    for ratio, stem, text, odds in sorted(judged, key=lambda x: (-x[0], x[1], len(x[2]), x[2])):
-        if ratio < 24 or len(terms) >= most:
+    spelled: dict[str, list[tuple[str, int]]] = {}  # chosen words by themselves and less any one letter
+    counted = 0
+    for ratio, stem, text, odds, toxic in sorted(judged, key=lambda x: (-x[0], x[1], len(x[2]), x[2])):
+        if ratio < 24:
             break
-        if not any(text[:n] in stems for n in range(4, len(text) + 1)):
-            terms.append(Term(text, stem, min(1.0, math.log(odds) / math.log(100))))
-            if stem:
-                stems.add(text)
+        covered = any(text[:n] in stems for n in range(4, len(text) + 1))
+        term = Term(text, stem, min(1.0, math.log(odds) / math.log(100)))
+        if stem:
+            if covered or counted >= most:
+                continue
+            stems.add(text)
+        else:
+            near = {text} | {text[:i] + text[i + 1 :] for i in range(len(text))}
+            words = {word for form in near for word in spelled.get(form, [])}
+            # An inflection, which only adds to the word, may be misspelled itself.
+            if any(
+                len(word) >= 5 and often >= 4 * toxic and not text.startswith(word) and _one_edit(word, text)
+                for word, often in words
+            ):
+                continue
+            if not covered and counted >= most:
+                continue
+            for form in near:
+                spelled.setdefault(form, []).append((text, toxic))
+        terms.append(term)
+        counted += not covered
     return terms
 
 
