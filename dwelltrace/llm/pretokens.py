@@ -35,7 +35,8 @@ class PieceTable(dict):
         value = self[part] = self._make(" " + part)
         return value
 
-    def _whole(self, piece: str):
+    def whole(self, piece: str):
+        """The value of a piece that keeps all its characters."""
         if piece not in self._first:
             self._first[piece] = self._make(piece)
         return self._first[piece]
@@ -59,5 +60,5 @@ class PieceTable(dict):
         except _Mixed:
             # Blanks that stand next to white space stay inside their piece.
             head, *parts = _CUT.split(text)
-            values = [self._whole(" " + part) for part in parts]
-        return [self._whole(head), *values] if head else values
+            values = [self.whole(" " + part) for part in parts]
+        return [self.whole(head), *values] if head else values

@@ -42,7 +42,8 @@ def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer, pattern=public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents")
+    write_token_files(docs, path, tokenizer, pattern=public_tokenizers.PATTERN, added_tokens=True)
     return read_token_files(spark, path).select(
         "doc_id",
         "start",

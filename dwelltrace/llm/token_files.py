@@ -27,7 +27,9 @@ columns are ignored; a text longer than a shard is a shard of its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -54,16 +56,29 @@ _AT_ONCE = 256  # documents whose new pieces are encoded in one call
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+def _any_of(strings: list[str]) -> re.Pattern | None:
+    """Finds any of some strings, the longest where several begin; cuts leave them in."""
+    longest = sorted(strings, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if strings else None
+
+
 class IdEncoder:
     """Serialized ids of texts. What was met before is not encoded again.
 
     Texts are cut into pieces between blanks and, where ``pattern`` gives the tokenizer's own cut,
     new pieces further into its matches; each distinct match goes through the tokenizer once.
+    With ``added_tokens`` texts are first cut at the strings of the tokenizer's added tokens, as
+    the tokenizer does; texts with tokens that look at what is beside them go through it whole.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str | None) -> None:
+    def __init__(self, tokenizer_json: str, pattern: str | None, added_tokens: bool = False) -> None:
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = not added_tokens
+        added = (json.loads(tokenizer_json).get("added_tokens") or []) if added_tokens else []
+        looks = [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+        plain = [t["content"] for t in added]
+        self._looking, self._plain = map(_any_of, (looks, plain))
+        self._added = set(plain)
         self._width = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._cut = regex.compile(pattern).findall if pattern else lambda piece: [piece]
         self._new: list[str] = []
@@ -76,13 +91,25 @@ class IdEncoder:
         return len(self._pieces) + len(self._new) - 1
 
     def _encode_new(self) -> None:
-        cuts = [self._cut(piece) for piece in self._new]
+        cuts = [[piece] if piece in self._added else self._cut(piece) for piece in self._new]
         unknown = list({match for cut in cuts for match in cut} - self._matches.keys())
         for match, encoding in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
             self._matches[match] = np.array(encoding.ids, self._width).tobytes()
         self._pieces += [b"".join([self._matches[match] for match in cut]) for cut in cuts]
         self._new.clear()
 
+    def _values_of(self, text: str) -> list[int | bytes]:
+        """Numbers of pieces, or the ids of the whole text."""
+        if self._looking and self._looking.search(text):
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return [np.array(ids, self._width).tobytes()]
+        if not self._plain or not self._plain.search(text):
+            return self._table.values_of(text)
+        values = []
+        for i, part in enumerate(self._plain.split(text)):
+            values += [self._table.whole(part)] if i % 2 else self._table.values_of(part)
+        return values
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), _AT_ONCE):
@@ -90,21 +117,23 @@ class IdEncoder:
                 self._table.clear()
                 self._pieces.clear()
                 self._matches.clear()
-            codes = [self._table.values_of(text or "") for text in texts[at : at + _AT_ONCE]]
+            codes = [self._values_of(text or "") for text in texts[at : at + _AT_ONCE]]
             self._encode_new()
-            out += [b"".join(map(self._pieces.__getitem__, own)) for own in codes]
+            for own in codes:
+                whole = own and isinstance(own[0], bytes)
+                out.append(own[0] if whole else b"".join(map(self._pieces.__getitem__, own)))
         return out
 
 
-_encoders: dict[tuple[str, str | None], IdEncoder] = {}
+_encoders: dict[tuple[str, str | None, bool], IdEncoder] = {}
 
 
-def _encoder(tokenizer_json: str, pattern: str | None) -> IdEncoder:
+def _encoder(tokenizer_json: str, pattern: str | None, added_tokens: bool) -> IdEncoder:
     """Kept between the tasks of a worker."""
-    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), pattern)
+    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), pattern, added_tokens)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = IdEncoder(tokenizer_json, pattern)
+        _encoders[key] = IdEncoder(tokenizer_json, pattern, added_tokens)
     return _encoders[key]
 
 
@@ -132,6 +161,7 @@ def write_token_files(
     tokenizer_path: str,
     *,
     pattern: str | None = None,
+    added_tokens: bool = False,
     end_id: int = 2,
     max_trained: int = 2_000,
     dictionary_size: int = 64 * 1024,
@@ -139,7 +169,9 @@ def write_token_files(
 ) -> None:
     """Encode all documents and write them in ascending order of ids. ``tokenizer_path`` is read
     on the driver. ``pattern`` may give the pattern of the tokenizer's pre-tokenizer, which saves
-    encoding words again for the punctuation beside them."""
+    encoding words again for the punctuation beside them. With ``added_tokens`` the strings of the
+    tokenizer's added tokens in a text become their ids, as the library does unless told otherwise;
+    without, they are ordinary text."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()
@@ -148,7 +180,7 @@ def write_token_files(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sample_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = _encoder(shared.value, pattern, added_tokens)
         for batch in batches:
             ids = [own[: _TRAINED_IDS * width] for own in encoder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -165,7 +197,7 @@ def write_token_files(
     end = end_id.to_bytes(width, "little")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = _encoder(shared.value, pattern, added_tokens)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_zstd_dictionary(sent.value))
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, n_tokens, frames, size = [], [], [], 0
