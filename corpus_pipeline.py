@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dwelltrace.llm.common import staged, table
 from dwelltrace.llm.exact_dedup import drop_exact_copies
-from dwelltrace.llm.near_copies import drop_similar
 from dwelltrace.llm.registry import bpe_digest
+from dwelltrace.llm.simhash import drop_near_copies
 from dwelltrace.llm.source_mix import mixed_documents
 from dwelltrace.llm.toxicity import drop_toxic
 
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word similarity of 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group of fingerprints within 4 bits, over runs of four words."""
+    return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
