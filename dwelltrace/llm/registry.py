@@ -12,10 +12,13 @@ from dwelltrace.llm.bpe_codec import encode_documents
 from dwelltrace.llm.common import scratch, table
 from dwelltrace.llm.decision_list import judge_quality
 from dwelltrace.llm.exact_dedup import exact_groups
+from dwelltrace.llm.periodic_runs import periodic_runs
 from dwelltrace.llm.repeated_spans import remove_repeats
 from dwelltrace.llm.secret_scan import scan_secrets, secret_digest
+from dwelltrace.llm.shards import place_in_shards
 from dwelltrace.llm.simhash import near_groups
 from dwelltrace.llm.source_mix import mix_sources
+from dwelltrace.llm.spelling_variants import spelling_variants, word_counts
 from dwelltrace.llm.token_files import read_token_files, write_token_files
 from dwelltrace.llm.toxicity import is_held_out, learn_toxicity, score_toxicity
 from dwelltrace.llm.weak_labels import weak_quality
@@ -111,6 +114,56 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose checksum ends in 0 with the words from some place on replaced by repeats of
+    the first few of them."""
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    docs = docs.select("doc_id", "text", check.alias("h"), F.floor(check / 10).alias("g"), F.when(check % 10 == 0, words).alias("w"))
+    docs = docs.withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int")), times.cast("int")))
+    planted = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), F.lit(1), F.col("n"))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    order = F.transform("runs", lambda run: F.struct(run["length"], -run["start"], -run["period"]))
+    longest = F.array_max(order)
+    length, period = longest["length"], -longest["col3"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-longest["col2"]).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_in_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents"), alter=199).filter("n >= 5")
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -124,6 +177,9 @@ QUERIES: dict[str, Query] = {
         op8_secret_scans,
         op9_bpe_codec,
         op10_toxicity,
+        op11_periodic_runs,
+        op12_sharding,
+        op13_spelling_variants,
     )
 }
 

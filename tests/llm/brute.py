@@ -47,7 +47,6 @@ def repeats(docs: dict[int, str], length: int) -> dict[int, tuple]:
 
 def token_file(docs: dict[int, str], end: int = 2) -> dict[int, tuple]:
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     out, start = {}, 0
     for doc in sorted(docs):
         ids = [*tokenizer.encode(docs[doc], add_special_tokens=False).ids, end]
@@ -123,3 +122,102 @@ def bpe(docs: dict[int, str]) -> dict[int, tuple]:
         ids = encoding.encode_ordinary(text)
         out[doc] = (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text))
     return out
+
+
+def planted(doc: int | None, words: list[str]) -> list[str]:
+    """Words with a periodic end, in one of ten documents."""
+    if doc is None or not words:
+        return words
+    h = zlib.crc32(str(doc).encode())
+    g, n = h // 10, len(words)
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+
+
+def runs(words: list[str], least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs, tried period by period."""
+    n = len(words)
+    numbers: dict[str, int] = {}
+    codes = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    found = {}
+    for q in range(1, n // 2 + 1):
+        same = np.concatenate([[0], (codes[q:] == codes[: n - q]).astype(np.int8), [0]])
+        begin, end = np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)
+        for a, b in zip(begin.tolist(), end.tolist()):
+            length = b - a + q
+            if length >= max(least, 2 * q) and not any(
+                all(words[k] == words[k + d] for k in range(a, a + length - d)) for d in range(1, q) if q % d == 0
+            ):
+                found[a, length] = q
+    return sorted((a, length, q) for (a, length), q in found.items())
+
+
+def run_digest(words: list[str]) -> tuple:
+    found = sorted(runs(words), key=lambda run: (run[0], run[2]))
+    gone = {k for a, length, q in found for k in range(a + q, a + length)}
+    longest = min(found, key=lambda run: (-run[1], run[0], run[2]), default=None)
+    best = (*longest, 1000 * longest[1] // longest[2]) if longest else (None,) * 4
+    lines = "".join(f"{a},{length},{q}\n" for a, length, q in found)
+    return len(found), *best, sha(lines), sha(" ".join(w for k, w in enumerate(words) if k not in gone))
+
+
+def shards(docs: list[tuple[int | None, str]], shards: int = 8) -> list[tuple]:
+    """(id, size, checksum, shard, slot) by id, each row where its middle falls."""
+    rows = sorted(
+        ((doc, zlib.crc32(text.encode()), len(text.encode()) + 1) for doc, text in docs),
+        key=lambda row: (row[0] is not None, row[0] or 0, row[1], row[2]),
+    )
+    total, before = sum(size for _, _, size in rows), 0
+    target = -(-2 * total // shards)
+    slots: Counter[int] = Counter()
+    out = []
+    for doc, check, size in rows:
+        shard = (2 * before + size) // target
+        out.append((doc, size, check, shard, slots[shard]))
+        slots[shard] += 1
+        before += size
+    return out
+
+
+def variants(docs: dict[int, str], least: int = 5, shortest: int = 6, alter: int = 199) -> dict[str, tuple]:
+    """By word: form, root, n, n_near, form_n."""
+    counts: Counter[str] = Counter()
+    for doc, text in docs.items():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{doc}:{run}".encode())
+            if h % alter == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = Counter({w: n for w, n in counts.items() if len(w) >= shortest and n >= least})
+    return linked(counts)
+
+
+def linked(counts: dict[str, int]) -> dict[str, tuple]:
+    """Near words through all ways to leave out one letter; then letter by letter."""
+    stubs = defaultdict(set)
+    for w in counts:
+        for i in range(len(w)):
+            stubs[i, w[:i] + w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for (_, stub), words in stubs.items():
+        for w in words:
+            near[w] |= words - {w}
+            if stub in counts:
+                near[w].add(stub)
+                near[stub].add(w)
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda v: (-counts[v], v), default=None)
+        if best is not None and counts[best] >= 5 * n:
+            form[w] = best
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n, len(near[w]), counts.get(form.get(w)))
+    return out

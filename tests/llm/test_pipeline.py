@@ -26,7 +26,7 @@ def rows(df):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
@@ -58,6 +58,14 @@ def test_queries_against_brute_force(spark, texts):
         assert row.base_sha256 == brute.sha(",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans))
         assert {f"{kind}:{a}:{b}" for a, _, kind, b in spans} <= set(row.spans.split(","))
     assert len(secret_scan.BASE_RULES) == 3
+    out = rows(registry.op11_periodic_runs(spark, DATA))
+    found = {d: tuple(r)[1:] for d, r in out.items()}
+    assert found == {d: brute.run_digest(brute.planted(d, brute.WORD.findall(t))) for d, t in texts.items()}
+    out = registry.op12_sharding(spark, DATA).collect()
+    assert {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in out} == set(brute.shards(list(texts.items())))
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)}
+    out = registry.op13_spelling_variants(spark, DATA).collect()
+    assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in out} == brute.variants(texts)
 
 
 def test_learned_queries(spark, texts):
