@@ -12,8 +12,11 @@ dialect it was written for. Spark matches with ``java.util.regex``, which differ
 * a loop over alternatives recurses once per round there, and a long value ends the JVM.
   Alternatives of one character each become a bracketed class, and a loop whose rounds are told
   apart by their first character, which is also not that of what follows, becomes possessive:
-  both run as plain loops and find the same. Other loops over alternatives stay recursive and
-  need a thread stack that fits the longest value (``cluster_settings``);
+  both run as plain loops and find the same. A pattern with any other such loop is made
+  deterministic first, from its begin or else from that loop on (``automata``), and runs in linear
+  time. Only where that is out of reach (word boundaries and line anchors after such a loop, huge
+  automata) it stays recursive and needs a thread stack that fits the longest value
+  (``cluster_settings``);
 * a search there tries every start anew, so a loop at the start of a pattern takes quadratic time.
   Rules only ask whether there is a match: a loop at either end is cut to its fewest rounds.
 
@@ -32,6 +35,22 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from dwelltrace.functions.automata import (
+    Choice,
+    Edge,
+    Known,
+    Named,
+    Pattern,
+    Repeat,
+    Sequence,
+    Spans,
+    TooLarge,
+    any_case,
+    complement,
+    joined,
+    without_recursion,
+)
+
 
 class PatternError(ValueError):
     """A pattern that the rule dialect does not accept."""
@@ -108,7 +127,10 @@ class _Piece:
     repetition: str = ""
     optional: bool = False
     fixed: bool = False  # a known number of single characters
+    single: bool = False  # one character, repeated
     silent: bool = False  # a change of flags, which matches nothing
+    pattern: Pattern | None = None  # the same for an automaton, if it can follow it
+    recursive: bool = False  # whether Java recurses over some loop inside
 
     def __post_init__(self) -> None:
         self.fixed = self.member is not None
@@ -120,19 +142,41 @@ class _Piece:
             # possessive or lazy suffix.
             self.text = f"(?:{self.text}{self.repetition})"
             self.rounds = None
+            self.pattern = self.whole()
+        self.single = self.member is not None
         self.member = None
         self.repetition = repetition
         self.optional |= repetition[0] in "*?" or repetition.startswith("{0")
 
+    def whole(self) -> Pattern | None:
+        """The pattern with its repetition."""
+        if self.pattern is None or not self.repetition:
+            return self.pattern
+        return Repeat(self.pattern, *_bounds(self.repetition))
+
     def java(self, follows: "frozenset[str] | None") -> str:
         """The text with its repetition; ``follows`` is what the next piece can start with."""
         if not self.repetition or self.rounds is None or follows is None or self.rounds & follows:
+            most = _bounds(self.repetition)[1] if self.repetition else 1
+            self.recursive |= not self.single and (most is None or most > _FEW_ROUNDS)
             return self.text + self.repetition
         # Only whether a match exists counts, so a lazy loop is the same as a greedy one.
         greedy = self.repetition[:-1] if len(self.repetition) > 1 and self.repetition[-1] == "?" else self.repetition
         return self.text + greedy + "+"
 
 
+# So many rounds of a loop are no danger to any stack.
+_FEW_ROUNDS = 100
+
+
+def _bounds(repetition: str) -> tuple[int, int | None]:
+    """The fewest and the most rounds."""
+    if repetition[0] in "*+?":
+        return {"*": (0, None), "+": (1, None), "?": (0, 1)}[repetition[0]]
+    low, comma, high = re.match(r"\{([0-9]+)(,?)([0-9]*)\}", repetition).groups()
+    return int(low), int(high) if high else None if comma else int(low)
+
+
 def _least(repetition: str) -> str:
     """The repetition cut to its fewest rounds."""
     if repetition[0] in "*?" or repetition.startswith("{0"):
@@ -169,6 +213,48 @@ def _java(pieces: list[_Piece], at_end: bool) -> str:
     return "".join(reversed(texts))
 
 
+def _deterministic(pieces: list[_Piece]) -> str:
+    """A whole alternative of a search as Java text without recursion where that can be had: all of
+    it, else what begins with its first recursive loop."""
+    text = _java(pieces, True)
+    if not any(piece.recursive for piece in pieces):
+        return text
+    first = next(i for i, piece in enumerate(pieces) if piece.recursive)
+    for begin in (0, first) if first else (0,):
+        patterns = [piece.whole() for piece in pieces[begin:]]
+        if None in patterns or (begin and any(map(_looks_back, patterns))):
+            continue
+        try:
+            made = without_recursion(Sequence(tuple(patterns)), search=begin == 0)
+        except TooLarge:
+            continue
+        # The text is free of flags; those set on the way hold for later alternatives.
+        flags = "".join(piece.text for piece in pieces[begin:] if piece.silent)
+        return f"{_java(pieces[:begin], False)}(?U-i:{made}){flags}"
+    return text
+
+
+def _looks_back(pattern: Pattern) -> bool:
+    match pattern:
+        case Edge(end):
+            return not end
+        case Sequence(parts) | Choice(parts):
+            return any(map(_looks_back, parts))
+        case Repeat(part):
+            return _looks_back(part)
+    return False
+
+
+def _choice(patterns: list[Pattern | None]) -> Pattern | None:
+    return None if None in patterns else patterns[0] if len(patterns) == 1 else Choice(tuple(patterns))
+
+
+def _known(spans: Spans, flags: _Flags) -> Pattern | None:
+    """One of the characters, in any case if the flags say so."""
+    spans = any_case(spans) if flags.ignore_case else spans
+    return None if spans is None else Known(spans)
+
+
 class _Rewriter:
     def __init__(self, pattern: str):
         self.pattern = pattern
@@ -176,8 +262,9 @@ class _Rewriter:
         self.group_names: set[str] = set()
         self.unicode_classes = False
         self.unicode_case = False
-        # The characters of the class read last, if it lists them.
+        # The characters of the class read last, if it lists them, and its spans, if it has such.
         self.listed: set[str] | None = None
+        self.spans: list[tuple[int, int]] | None = None
 
     # -- reading ---------------------------------------------------------------------
 
@@ -240,7 +327,7 @@ class _Rewriter:
             switched = self.flag_switch(flags)
             if switched:
                 flags, text = switched
-                choices[-1].append(_Piece(text, silent=True))
+                choices[-1].append(_Piece(text, silent=True, pattern=Sequence(())))
                 repeatable = False
                 continue
             choices[-1].append(self.atom(flags, depth))
@@ -253,17 +340,29 @@ class _Rewriter:
             firsts = [choice[0].first for choice in choices]
             first = None if None in firsts else frozenset().union(*firsts)
             member = members[0] if len(members) == 1 else f"[{''.join(members)}]"
-            return _Piece(choices[0][0].text if len(members) == 1 else member, member, first)
+            patterns = [choice[0].pattern for choice in choices]
+            known = all(isinstance(pattern, Known) for pattern in patterns)
+            if len(members) == 1:
+                pattern = patterns[0]
+            else:
+                pattern = Known(joined(span for p in patterns for span in p.spans)) if known else _choice(patterns)
+            return _Piece(choices[0][0].text if len(members) == 1 else member, member, first, pattern=pattern)
         if depth == 0:
             choices = [_without_loops_at_ends(choice) for choice in choices]
-        text = "|".join(_java(choice, depth == 0) for choice in choices)
+            return _Piece("|".join(map(_deterministic, choices)))
+        text = "|".join(_java(choice, False) for choice in choices)
+        sequences = [[piece.whole() for piece in choice] for choice in choices]
+        about = {
+            "pattern": _choice([None if None in parts else Sequence(tuple(parts)) for parts in sequences]),
+            "recursive": any(piece.recursive for choice in choices for piece in choice),
+        }
         firsts = [None if not choice or choice[0].optional else choice[0].first for choice in choices]
         if None in firsts:
-            return _Piece(text)
+            return _Piece(text, **about)
         first = frozenset().union(*firsts)
         plain = all(piece.fixed for choice in choices for piece in choice)
         apart = sum(map(len, firsts)) == len(first)
-        return _Piece(text, first=first, rounds=first if plain and apart else None)
+        return _Piece(text, first=first, rounds=first if plain and apart else None, **about)
 
     def repetition(self, flags: _Flags) -> str | None:
         found = self.match(r"[*+?]")
@@ -317,7 +416,9 @@ class _Rewriter:
 
     @staticmethod
     def literal(char: str, flags: _Flags) -> _Piece:
-        return _Piece(_quoted(char), _quoted(char), None if flags.ignore_case else frozenset(char))
+        code = ord(char)
+        first = None if flags.ignore_case else frozenset(char)
+        return _Piece(_quoted(char), _quoted(char), first, pattern=_known(((code, code),), flags))
 
     def atom(self, flags: _Flags, depth: int) -> _Piece:
         char = self.take()
@@ -325,16 +426,24 @@ class _Rewriter:
             return self.group(flags, depth)
         if char == "[":
             text = "[" + self.brackets(flags) + "]"
-            known = self.listed is not None and not flags.ignore_case and not text.startswith("[^")
-            return _Piece(text, text, frozenset(self.listed) if known else None)
+            negated = text.startswith("[^")
+            known = self.listed is not None and not flags.ignore_case and not negated
+            if self.spans is not None:
+                pattern = _known(joined(self.spans), flags)
+                pattern = Known(complement(pattern.spans)) if pattern and negated else pattern
+            else:
+                pattern = None if flags.ignore_case or not flags.unicode else Named(text)
+            return _Piece(text, text, frozenset(self.listed) if known else None, pattern=pattern)
         if char == ".":
-            return _Piece("(?s:.)") if flags.dot_all else _Piece(r"[^\n]", r"[^\n]")
+            if flags.dot_all:
+                return _Piece("(?s:.)", pattern=Known(complement(())))
+            return _Piece(r"[^\n]", r"[^\n]", pattern=Known(complement(((10, 10),))))
         if char == "^":
-            return _Piece(r"(?:\A|(?<=\n))" if flags.multi_line else r"(?:\A)")
+            return _Piece(r"(?:\A|(?<=\n))") if flags.multi_line else _Piece(r"(?:\A)", pattern=Edge(end=False))
         if char == "$":
             if flags.multi_line:
                 return _Piece(r"(?=\n|\z)")
-            return _Piece(r"(?:\z)", first=frozenset())
+            return _Piece(r"(?:\z)", first=frozenset(), pattern=Edge(end=True))
         if char == "\\":
             return self.escape(flags)
         return self.literal(char, flags)
@@ -365,7 +474,7 @@ class _Rewriter:
     def escape(self, flags: _Flags) -> _Piece:
         char = self.take()
         if char in "Az":
-            return _Piece(rf"(?:\{char})", first=frozenset() if char == "z" else None)
+            return _Piece(rf"(?:\{char})", first=frozenset() if char == "z" else None, pattern=Edge(end=char == "z"))
         if char in "<>":
             self.unicode_classes = True
             return _Piece(f"(?:{_WORD_EDGES['start' if char == '<' else 'end']})")
@@ -382,7 +491,8 @@ class _Rewriter:
             return _Piece("(?:" + "|".join(differ if char == "b" else same) + ")")
         chars = self.character_set(char)
         if chars:
-            return _Piece(chars, chars)
+            same = chars if chars[0] == "[" else chars[:1] + chars[1].lower() + chars[2:]
+            return _Piece(chars, chars, pattern=Named(same, same != chars) if flags.unicode else None)
         return self.literal(self.escaped_literal(char), flags)
 
     # -- escapes that are valid in and outside brackets ------------------------------
@@ -444,7 +554,7 @@ class _Rewriter:
 
     def brackets(self, flags: _Flags) -> str:
         """The inside of a bracketed class, for Java, after its opening bracket."""
-        self.listed = set()
+        self.listed, self.spans = set(), []
         self.skip_layout(flags)
         negated = self.accept("^")
         result: str | None = None
@@ -453,11 +563,11 @@ class _Rewriter:
         self.skip_layout(flags)
         while self.accept("-"):
             members.append(r"\-")
-            self.listed.add("-")
+            self.note("-", "-")
             self.skip_layout(flags)
         if not members and self.accept("]"):
             members.append(r"\]")
-            self.listed.add("]")
+            self.note("]", "]")
         while True:
             self.skip_layout(flags)
             if self.pos == len(self.pattern):
@@ -466,7 +576,7 @@ class _Rewriter:
             combining = None if closing else self.match(r"&&|--|~~")
             if closing or combining:
                 if combining or operator:
-                    self.listed = None
+                    self.listed = self.spans = None
                 result = self.combine(result, operator, "".join(members) or _NOTHING)
                 operator, members = combining.group() if combining else "", []
                 if closing:
@@ -490,15 +600,15 @@ class _Rewriter:
             if named.group(2) not in _ASCII_CLASSES:
                 raise self.fail(f"unknown class {named.group(2)!r}")
             chars = _ASCII_CLASSES[named.group(2)]
-            self.listed = None
+            self.listed = self.spans = None
             return f"[^{chars}]" if named.group(1) else chars
         if self.accept("["):
             nested = "[" + self.brackets(flags) + "]"
-            self.listed = None
+            self.listed = self.spans = None
             return nested
         first = self.member_start()
         if len(first) > 1:
-            self.listed = None
+            self.listed = self.spans = None
             return first
         here = self.pos
         self.skip_layout(flags)
@@ -506,19 +616,24 @@ class _Rewriter:
             # A hyphen before the closing bracket stands for itself; before another hyphen
             # it begins the difference operator.
             self.pos = here
-            if self.listed is not None:
-                self.listed.add(first)
+            self.note(first, first)
             return _quoted(first)
         self.accept("-")
         self.skip_layout(flags)
         last = self.member_start()
         if len(last) > 1 or last < first:
             raise self.fail("invalid character range")
+        self.note(first, last)
+        return f"\\x{{{ord(first):X}}}-\\x{{{ord(last):X}}}"
+
+    def note(self, first: str, last: str) -> None:
+        """Characters that the class being read has."""
         if self.listed is not None and ord(last) - ord(first) < 1024:
             self.listed.update(map(chr, range(ord(first), ord(last) + 1)))
         else:
             self.listed = None
-        return f"\\x{{{ord(first):X}}}-\\x{{{ord(last):X}}}"
+        if self.spans is not None:
+            self.spans.append((ord(first), ord(last)))
 
     def member_start(self) -> str:
         """One character, or Java text of several characters for a whole set."""

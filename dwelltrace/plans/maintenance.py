@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from dwelltrace.files import exists, total_bytes
 from dwelltrace.operators.upgrade import upgrade_lines
 from dwelltrace.plans.workspace import job_session
 from dwelltrace.sinks.lines import write_raw_lines
@@ -29,9 +30,11 @@ def compact_logs(
     Lines are copied as bytes, so unknown events and malformed lines survive untouched, control
     characters, carriage returns and broken UTF-8 included; blank lines go, and a last line gets
     its end. With ``upgrade`` legacy events are rewritten on the way. Logs that Spark would pass
-    over because of their names fail the call. There is no shuffle: files are packed
-    into tasks of ``partition_bytes`` and each task writes its own output. A gzip file is
-    read by one task when it is used again, hence the bound on its lines.
+    over because of their names fail the call. There is no shuffle: the input is cut into as many
+    equal shares as hold about ``partition_bytes`` each, small files packed and plain ones split,
+    and a task writes one share, whatever the number of cores; one may hold what is left over. A gzip file cannot be split; one that
+    is larger than a share is a share of its own. It is read by one task when it is used again,
+    hence the bound on its lines.
 
     The target must lie outside the source: a scan of the source reads both suffixes and
     would count every event twice.
@@ -39,8 +42,11 @@ def compact_logs(
     source, target = source_root.rstrip("/") + "/", target_root.rstrip("/") + "/"
     if target.startswith(source) or source.startswith(target):
         raise ValueError("compacted logs must not be written inside the folder they come from, or above it")
-    refuse_hidden_logs(spark, [source_root])
-    own = job_session(spark, partition_bytes, _SMALL_FILE_COST)
+    refuse_hidden_logs(spark, source_root)
+    shares = max(1, round(total_bytes(spark, source_root) / partition_bytes)) if exists(spark, source_root) else 1
+    # Shares of one size; the bound on a task only leaves room for what it costs to open files.
+    own = job_session(spark, 2 * partition_bytes, min(_SMALL_FILE_COST, partition_bytes // 4096))
+    own.conf.set("spark.sql.files.minPartitionNum", str(shares))
     reader = own.read.option("recursiveFileLookup", True).option("pathGlobFilter", LOG_FILE_PATTERN)
     lines = reader.option("lineSep", "\n").text(source_root)
     if upgrade:

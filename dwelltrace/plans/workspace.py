@@ -58,8 +58,14 @@ def recommended_settings() -> dict[str, str]:
     return {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+_KEEPS_COUNTS = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
+
 def _changes(partition_bytes: int | None, file_cost_bytes: int | None) -> dict[str, str]:
     changed = recommended_settings()
+    # A write that turns out to have no rows would be cut down to nothing, with the counts that
+    # were to be taken on the way.
+    changed["spark.sql.adaptive.optimizer.excludedRules"] = _KEEPS_COUNTS
     if partition_bytes is not None:
         changed["spark.sql.files.maxPartitionBytes"] = str(partition_bytes)
     if file_cost_bytes is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 from dwelltrace.files import beside, remove, rename_parts, replace
@@ -35,24 +35,38 @@ def write_lines(
     writer.option("compression", compression).csv(path)
 
 
+# The same for text of any bytes: each byte is written as the character of its number, and the
+# signs the writer would look for are characters that no byte is.
+_BYTE_OPTIONS = _LINE_OPTIONS | {"sep": "\ue000", "quote": "\ue001", "escape": "\ue001", "comment": "\ue002", "encoding": "ISO-8859-1"}
+
+
 def write_raw_lines(
     lines: DataFrame, path: str, *, compression: str = "none", max_lines_per_file: int = 0
 ) -> None:
     """Write a single text column as log files, the bytes of each line as they are, and replace
     what was there. Blank lines are left out.
 
-    The text writer does not touch bytes but names its files itself; they get their log names
-    before the folder takes its place.
+    Tasks give files their names; only the whole folder changes its name, once it is complete. The
+    one byte the writer will not have is a carriage return; lines with one are counted on the way
+    and, if there are any, written by a job of their own, whose files are renamed afterwards.
     """
     (column,) = lines.columns
-    writer = lines.filter(F.trim(F.col(column)) != "").write.option("lineSep", "\n").option("compression", compression)
-    if max_lines_per_file:
-        writer = writer.option("maxRecordsPerFile", max_lines_per_file)
-    spark, folder = lines.sparkSession, beside(path)
+    spark, folder, returns = lines.sparkSession, beside(path), Observation()
+    text = F.col(column)
+    whole, returning = lines.filter(F.trim(text) != ""), text.contains("\r")
+
+    def writer(df: DataFrame) -> DataFrameWriter:
+        bounded = df.write.option("maxRecordsPerFile", max_lines_per_file) if max_lines_per_file else df.write
+        return bounded.option("compression", compression)
+
     try:
-        writer.text(folder)
-        rename_parts(spark, folder, ".txt", ".jsonl")
-        rename_parts(spark, folder, ".txt.gz", ".jsonl.gz")
+        plain = whole.observe(returns, F.count_if(returning).alias("lines")).filter(~returning)
+        as_bytes = plain.select(F.decode(text.cast("binary"), "ISO-8859-1").alias(column))
+        writer(as_bytes).options(**_BYTE_OPTIONS).csv(folder)
+        if returns.get["lines"]:
+            writer(whole.filter(returning)).option("lineSep", "\n").text(f"{folder}/returns")
+            rename_parts(spark, f"{folder}/returns", ".txt", ".jsonl")
+            rename_parts(spark, f"{folder}/returns", ".txt.gz", ".jsonl.gz")
     except Exception:
         remove(spark, folder)
         raise

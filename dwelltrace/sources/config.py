@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -188,6 +189,56 @@ def parse_rules(values: Any, dialect: Dialect, where: str = "rules") -> tuple[Ru
     return tuple(rules)
 
 
+def _predicate_value(predicate) -> Any:
+    match predicate:
+        case AttributeValue(name, value):
+            return {"attributeValue": {"name": name, "value": value}}
+        case AttributeRegex(name, pattern):
+            return {"attributeRegex": {"name": name, "regex": pattern}}
+        case HasTag(tag):
+            return {"hasTag": tag}
+        case IdleForGreaterThan(seconds):
+            return {"idleForGreaterThanSec": seconds}
+        case IsMobile():
+            return "isMobile"
+        case And(parts):
+            return {"and": [_predicate_value(part) for part in parts]}
+        case Or(parts):
+            return {"or": [_predicate_value(part) for part in parts]}
+        case Not(part):
+            return {"not": _predicate_value(part)}
+    raise TypeError(f"not a predicate: {predicate!r}")
+
+
+def _action_value(action) -> Any:
+    match action:
+        case AddTag(tag):
+            return {"addTag": tag}
+        case SetAttribute(name, value):
+            return {"setAttribute": {"name": name, "value": value}}
+        case Ignore():
+            return "ignore"
+        case RedactProcess():
+            return "redactProcess"
+        case Delete():
+            return "delete"
+    raise TypeError(f"not an action: {action!r}")
+
+
+def rules_as_text(rules: Sequence[Rule]) -> str:
+    """Rules as a rule file would say them; the same rules always give the same text."""
+    values = [
+        {"predicate": _predicate_value(rule.predicate), "actions": [_action_value(action) for action in rule.actions]}
+        for rule in rules
+    ]
+    return json.dumps(values, sort_keys=True)
+
+
+def parse_rules_text(text: str, dialect: Dialect = TABLE_RULES) -> tuple[Rule, ...]:
+    """The rules that ``rules_as_text`` has written down."""
+    return parse_rules(json.loads(text), dialect)
+
+
 # -- files -------------------------------------------------------------------------------
 
 

@@ -16,8 +16,9 @@ becomes null. A line that was torn anywhere is no object, also if the reader cou
 first values. When only some event types are asked for, a torn line whose type is known and not
 among them is skipped like its kind.
 
-Spark passes over files and folders whose names begin with ``_`` or ``.``. Logs under such names
-are not left out in silence: the call fails and names them.
+Spark passes over files and folders whose names begin with ``_`` or ``.``. Logs and live events
+under such names are not left out in silence: the call fails and names them. A stream looks when it
+starts; jobs that follow a folder look again with every batch (``refuse_hidden_logs``).
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from dwelltrace.schemas import (
 
 LOG_FILE_PATTERN = "{*.jsonl,*.jsonl.gz}"
 LOG_SUFFIXES = (".jsonl", ".jsonl.gz")
+# Live events may also come in files of other names.
+LIVE_SUFFIXES = (*LOG_SUFFIXES, ".json", ".json.gz")
 UNREADABLE_COLUMN = "unreadable"
 CORRUPT_POLICIES = ("line", "file", "drop")
 
@@ -69,14 +72,15 @@ def read_logs(
     on_corrupt: str = "line",
     with_source: bool = False,
     dropped: Observation | None = None,
+    names_checked: bool = False,
 ) -> DataFrame:
     """Read the named log files as one table. Naming a file twice reads it twice.
 
     With ``types`` other events are skipped inside the JSON reader, which then does not
-    decode the rest of their line.
+    decode the rest of their line. ``names_checked``: the caller has looked for hidden names.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return _read(spark, paths, False, schema, types, on_corrupt, with_source, dropped)
+    return _read(spark, paths, False, schema, types, on_corrupt, with_source, dropped, names_checked)
 
 
 def read_log_root(
@@ -88,26 +92,30 @@ def read_log_root(
     on_corrupt: str = "line",
     with_source: bool = False,
     dropped: Observation | None = None,
+    names_checked: bool = False,
 ) -> DataFrame:
     """Read every ``.jsonl`` and ``.jsonl.gz`` file under a folder, at any depth."""
-    return _read(spark, [root], True, schema, types, on_corrupt, with_source, dropped)
+    return _read(spark, [root], True, schema, types, on_corrupt, with_source, dropped, names_checked)
 
 
-def _read(spark, paths, under_root, schema, types, on_corrupt, with_source, dropped) -> DataFrame:
+def _read(spark, paths, under_root, schema, types, on_corrupt, with_source, dropped, names_checked) -> DataFrame:
     if on_corrupt not in CORRUPT_POLICIES:
         raise ValueError(f"unknown policy {on_corrupt!r}, expected one of {CORRUPT_POLICIES}")
+    if not names_checked:
+        refuse_hidden_logs(spark, paths)
     lines = _scan(spark, paths, under_root, schema)
     if on_corrupt == "file" and paths:
         refuse_foreign_files(_marked(lines))
     return _typed(lines, schema, types, on_corrupt, with_source, dropped)
 
 
-def refuse_hidden_logs(spark: SparkSession, paths: Sequence[str], under_root: bool = True) -> None:
-    """Raise if Spark would leave out logs because of their names."""
-    if under_root:
-        hidden = [name for path in paths for name in hidden_files(spark, path, LOG_SUFFIXES)]
-    else:
-        hidden = [path for path in paths if path.rstrip("/").rpartition("/")[2][:1] in ("_", ".")]
+def refuse_hidden_logs(
+    spark: SparkSession, paths: str | Sequence[str], suffixes: tuple[str, ...] = LOG_SUFFIXES
+) -> None:
+    """Raise if Spark would leave out logs or live events because of their names: a path's own name,
+    or, in folders, names at any depth."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    hidden = hidden_files(spark, paths, suffixes) if paths else []
     if hidden:
         raise NotALogError("names that begin with _ or . are passed over, rename: " + _some(hidden))
 
@@ -117,16 +125,15 @@ def _some(names: Sequence[str], at_most: int = 5) -> str:
 
 
 def _scan(spark, paths, under_root, schema) -> DataFrame:
-    refuse_hidden_logs(spark, paths, under_root)
     return spark.read.options(**_scan_options(under_root)).schema(with_corrupt_column(schema)).json(paths)
 
 
-def scan_marked(spark: SparkSession, root: str) -> DataFrame:
-    """Every line under a root with its source file and, as a flag, whether it was unreadable.
+def scan_marked(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
+    """Every line under a root, or under several, with its source file and, as a flag, whether it was unreadable.
 
     For jobs that keep the parsed logs and pass judgement on the copy.
     """
-    return _marked(_scan(spark, [root], True, LOG_SCHEMA)).withColumn("time", utc_wall_clock(F.col("time")))
+    return _marked(_scan(spark, [root] if isinstance(root, str) else list(root), True, LOG_SCHEMA)).withColumn("time", utc_wall_clock(F.col("time")))
 
 
 def _unreadable() -> Column:
@@ -142,6 +149,36 @@ def _marked(lines: DataFrame) -> DataFrame:
     ).drop(CORRUPT_COLUMN)
 
 
+REFUSED_COLUMN = "refused"
+
+
+def scan_refused(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
+    """As ``scan_marked``, with what can be told of an unreadable line without telling what it says:
+    the offset of the block of its file in which it lies, its length and SHA-256, and whether it was
+    torn (it begins an object) or never was one."""
+    lines = _scan(spark, [root] if isinstance(root, str) else list(root), True, LOG_SCHEMA)
+    text = F.col(CORRUPT_COLUMN)
+    about = F.struct(
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.octet_length(text).cast("long").alias("bytes"),
+        F.sha2(text.cast("binary"), 256).alias("sha256"),
+        F.when(F.ltrim(text).startswith("{"), "torn").otherwise("not an object").alias("reason"),
+    )
+    marked = lines.withColumns(
+        {
+            UNREADABLE_COLUMN: _unreadable(),
+            SOURCE_FILE_COLUMN: F.col("_metadata.file_path"),
+            REFUSED_COLUMN: F.when(_unreadable(), about),
+        }
+    )
+    return marked.drop(CORRUPT_COLUMN).withColumn("time", utc_wall_clock(F.col("time")))
+
+
+def refused_lines(scanned: DataFrame) -> DataFrame:
+    """The unreadable lines among rows of ``scan_refused``, one row each."""
+    return scanned.filter(F.col(UNREADABLE_COLUMN)).select(SOURCE_FILE_COLUMN, f"{REFUSED_COLUMN}.*")
+
+
 def stream_logs(
     spark: SparkSession,
     root: str,
@@ -154,7 +191,7 @@ def stream_logs(
     """Follow a log folder: every file that appears under it is read once."""
     if on_corrupt not in ("line", "drop"):
         raise ValueError("a stream judges line by line: use the policy 'line' or 'drop'")
-    refuse_hidden_logs(spark, [root])
+    refuse_hidden_logs(spark, root)
     reader = spark.readStream.options(**_scan_options(under_root=True)).schema(with_corrupt_column(schema))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -212,6 +249,7 @@ def read_runtime_events(
     ``on_corrupt`` is ``"line"`` or ``"drop"``, as for logs; a whole object that is no window
     event is skipped.
     """
+    refuse_hidden_logs(spark, paths, LIVE_SUFFIXES)
     lines = spark.read.options(**_scan_options(False)).schema(with_corrupt_column(RUNTIME_LINE_SCHEMA)).json(paths)
     return _runtime_columns(lines, on_corrupt, dropped)
 
@@ -219,6 +257,8 @@ def read_runtime_events(
 def stream_runtime_events(
     spark: SparkSession, folder: str, *, on_corrupt: str = "line", max_files_per_trigger: int | None = None
 ) -> DataFrame:
+    """The same from the files that appear in a folder."""
+    refuse_hidden_logs(spark, folder, LIVE_SUFFIXES)
     reader = spark.readStream.options(**_scan_options(False)).schema(with_corrupt_column(RUNTIME_LINE_SCHEMA))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -11,7 +11,7 @@ from dwelltrace.functions.regex import check_patterns
 from dwelltrace.operators.rules import Rule, apply_rules, patterns_of
 from dwelltrace.operators.unify import active_events_from, unlock_events_from
 from dwelltrace.sinks.tables import write_table
-from dwelltrace.sources.logs import stream_logs
+from dwelltrace.sources.logs import refuse_hidden_logs, stream_logs
 from dwelltrace.streaming.batches import batch_folder, start
 
 
@@ -34,12 +34,14 @@ def start_live_tables(
     ``max_files_per_trigger`` bounds what the first run over a long history reads at a time. A
     micro-batch's files are read once per table, as a batch run does: nothing is kept on the
     disks of executors, and the second reading only looks for unlocks. Both outputs are gathered
-    into files of a useful size. Read the results with ``recursiveFileLookup``, or, with
+    into files of a useful size. With every batch the folder is searched for logs that the stream
+    would pass over because of their names; any ends the stream. Read the results with ``recursiveFileLookup``, or, with
     ``partition_by_date``, one batch folder at a time.
     """
     check_patterns(spark, patterns_of(rules))
 
     def write(logs: DataFrame, batch_id: int) -> None:
+        refuse_hidden_logs(logs.sparkSession, log_root)
         active = apply_rules(active_events_from(logs), rules)
         for table, root in ((active, active_path), (unlock_events_from(logs), unlock_path)):
             table = table if partition_by_date else table.hint("rebalance")

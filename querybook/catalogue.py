@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import dwelltrace as dt
+from dwelltrace.files import remove
 from dwelltrace.functions import durations, paths, regex, tags
 from dwelltrace.operators.live import flat_live_events
 from dwelltrace.operators.rules import LIVE_RULES, TABLE_RULES, predicate_column
@@ -17,7 +19,7 @@ from dwelltrace.schemas import ACTIVE_SCHEMA, LOGGED_SCHEMA, UNLOCK_EVENT, UNLOC
 from dwelltrace.sinks.lines import event_lines, write_lines
 from dwelltrace.sources.config import JobConfig, RecorderConfig, TransformConfig, parse_predicate
 from querybook import oracle as sql
-from querybook.derive import events, log_root, samples
+from querybook.derive import events, log_line, log_root, samples, write_wave
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,6 +216,51 @@ def hidden_logs_refused(spark, sf_dir):
     return parts[0].unionAll(parts[1]).withColumn("refused", F.lit(refused))
 
 
+@register(sql.from_live('SELECT time, "windowTitle", true AS refused FROM r'))
+def hidden_live_events_refused(spark, sf_dir):
+    """Half of the live events lie under a hidden name: no reader passes over them."""
+    folder = shared_folder(spark, "hidden-live")
+    lines = spark.read.text(log_root(spark, sf_dir, "live"))
+    even = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    write_lines(lines.filter(even), f"{folder}/open")
+    write_lines(lines.filter(~even), f"{folder}/_later")
+    refused = []
+    for read in (dt.read_runtime_events, dt.stream_runtime_events):
+        try:
+            read(spark, folder)
+        except dt.NotALogError as error:
+            refused.append("_later" in str(error))
+    parts = [dt.read_runtime_events(spark, f"{folder}/{part}/*") for part in ("open", "_later")]
+    whole = parts[0].unionAll(parts[1]).select("time", "windowTitle")
+    return whole.withColumn("refused", F.lit(refused == [True, True]))
+
+
+@register(sql.from_events("SELECT ts AS time, hostname, true AS refused FROM b WHERE type = 'DeviceUnlockEventV1'"))
+def hidden_logs_refused_in_stream(spark, sf_dir):
+    """Logs come under a hidden name while a stream runs: the stream ends, and goes on where it was
+    once they have another name."""
+    root, folder, state = (shared_folder(spark, name) for name in ("late-logs", "late-tables", "late-state"))
+    write_wave(spark, sf_dir, 0, f"{root}/first")
+
+    def follow(every_sec=None):
+        outputs = f"{folder}/active", f"{folder}/unlock"
+        return dt.start_live_tables(spark, root, (), *outputs, checkpoint=state, every_sec=every_sec)
+
+    query = follow(every_sec=0.5)
+    query.processAllAvailable()
+    write_wave(spark, sf_dir, 1, f"{root}/_second")
+    write_wave(spark, sf_dir, 1, f"{root}/second/part")
+    try:
+        query.processAllAvailable()
+        refused = False
+    except PySparkException as error:
+        refused = "_second" in str(error)
+    remove(spark, f"{root}/_second")
+    follow().awaitTermination()
+    unlocks = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/unlock")
+    return unlocks.withColumn("refused", F.lit(refused))
+
+
 # -- scalar functions ---------------------------------------------------------------------
 
 
@@ -303,12 +350,18 @@ _LONG_PATTERNS = {
     "told_apart": r"(?:/u|\\P|[a-z]{2})+\u00e9$",
     "ending": r"(?:é|x)+$",
     "accented": r"[à-ï]{1}\z",
+    "overlapping": r"/(u|us|[^é])*é$",
+    "any_case": r"\.(?i)(SH|S|H|[^é])*é",
+    "nested": r"^(?:/?(?:\w|\w\w|[.-])+)+é\z",
 }
 _LONG_SQL = {
     "letters_then_other": "contains(v, 'ÿ')",
     "told_apart": "regexp_matches(v, '(?:/u|\\\\P|[a-z]{2})+é$')",
     "ending": "ends_with(v, 'é')",
     "accented": "ends_with(v, 'é')",
+    "overlapping": "contains(v, '/')",
+    "any_case": "contains(v, '.')",
+    "nested": "NOT regexp_matches(v, '[^/\\w.é-]|//')",
 }
 
 
@@ -814,3 +867,143 @@ def run_replaces_output(spark, sf_dir):
 @register(RULED_ACTIVE)
 def run_output_by_date(spark, sf_dir):
     return flat(spark.read.parquet(_run(spark, sf_dir, partition_by_date=True).active_events).drop("date"))
+
+
+@register(
+    sql.from_events(
+        """SELECT CASE event_id % 3 WHEN 0 THEN 'not an object' ELSE 'torn' END AS reason, count(*) AS lines,
+             CAST(count(*) FILTER (WHERE event_id % 3 = 2) * 9 AS BIGINT) AS bytes_of_openings
+           FROM b GROUP BY ALL"""
+    )
+)
+def run_lists_refused_lines(spark, sf_dir):
+    """After every line one that cannot be read: a list, an object torn at some place, or its opening."""
+    root, output = shared_folder(spark, "refused-logs"), shared_folder(spark, "run")
+    line = log_line()
+    bad = (
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("[1, "), F.col("event_id"), F.lit("]")))
+        .when(F.col("event_id") % 3 == 1, line.substr(F.lit(1), F.lit(10) + F.pmod("event_id", F.length(line) - 11)))
+        .otherwise(line.substr(1, 9))
+    )
+    write_lines(events(spark, sf_dir).select(F.explode(F.array(line, bad)).alias("value")), f"{root}/logs")
+    outputs = dt.run_pipeline(spark, _configured(root, output, ()), scan="staged", list_refused=True)
+    refused = spark.read.parquet(outputs.refused_lines)
+    openings = F.sum(F.when((F.col("bytes") == 9) & (F.col("reason") == "torn"), F.col("bytes")).otherwise(0))
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"), openings.alias("bytes_of_openings"))
+
+
+@register(sql.from_active("SELECT time, hostname, name, duration_ms FROM a WHERE hostname = 'host3'"))
+def clustered_output_of_one_host(spark, sf_dir):
+    """A table laid out by host and time, read for one host."""
+    folder = shared_folder(spark, "clustered")
+    dt.write_table(active(spark, sf_dir), folder, "parquet", cluster_by=["hostname", "time"])
+    return flat(spark.read.parquet(folder).filter("hostname = 'host3'")).select("time", "hostname", "name", "duration_ms")
+
+
+# -- versioned tables ---------------------------------------------------------------------
+
+
+def _configured(root: str, output: str, rules) -> JobConfig:
+    return JobConfig(
+        log_directory=root,
+        log_output_directory=root,
+        sample_every_sec=15,
+        write_every_sec=3600,
+        output_directory=output,
+        output_format="parquet",
+        recorder=RecorderConfig(),
+        transform=TransformConfig(rules, 60),
+    )
+
+
+def _in_waves(spark, sf_dir):
+    """Half of the logs, a run, the other half, a run: the folder of the tables."""
+    root, output = shared_folder(spark, "waves"), shared_folder(spark, "versions")
+    for wave in (0, 1):
+        write_wave(spark, sf_dir, wave, f"{root}/wave-{wave}")
+        dt.run_incremental(spark, _configured(root, output, table_rules(*CHAIN)))
+    return output
+
+
+@register(RULED_ACTIVE)
+def incremental_second_run(spark, sf_dir):
+    return flat(dt.read_active(spark, _in_waves(spark, sf_dir)))
+
+
+@register(UNLOCKS)
+def incremental_unlocks(spark, sf_dir):
+    return dt.read_unlocks(spark, _in_waves(spark, sf_dir))
+
+
+@register(
+    sql.from_active(
+        """SELECT 1 AS version, time, hostname, name FROM a WHERE event_id % 2 = 0
+           UNION ALL SELECT 2, time, hostname, name FROM a"""
+    )
+)
+def versions_side_by_side(spark, sf_dir):
+    root, output = shared_folder(spark, "waves"), shared_folder(spark, "versions")
+    for wave in (0, 1):
+        write_wave(spark, sf_dir, wave, f"{root}/wave-{wave}")
+        dt.run_incremental(spark, _configured(root, output, ()))
+    tables = [dt.read_active(spark, output, version=n).select(F.lit(n).alias("version"), "time", "hostname", "name") for n in (1, 2)]
+    return tables[0].unionAll(tables[1])
+
+
+@register(RULED_ACTIVE)
+def incremental_after_changed_files(spark, sf_dir):
+    """Logs that were written again with other contents: the rows of the old ones go."""
+    root, output = shared_folder(spark, "rewritten"), shared_folder(spark, "versions")
+    config = _configured(root, output, table_rules(*CHAIN))
+    write_wave(spark, sf_dir, 0, f"{root}/wave-0")
+    write_wave(spark, sf_dir, 0, f"{root}/wave-1")
+    dt.run_incremental(spark, config)
+    write_wave(spark, sf_dir, 1, f"{root}/wave-1")
+    dt.run_incremental(spark, config)
+    return flat(dt.read_active(spark, output))
+
+
+@register(RULED_ACTIVE)
+def incremental_after_changed_rules(spark, sf_dir):
+    """Other rules first, in another order, and some that are gone later: only rows they reach run again."""
+    output = shared_folder(spark, "versions")
+    root = log_root(spark, sf_dir, "mixed")
+    other = [CHAIN[3], *CHAIN[:3], when(value("name", "error"), "ignore", setting("category", "wrong")), *CHAIN[5:]]
+    for rules in (other, CHAIN):
+        dt.run_incremental(spark, _configured(root, output, table_rules(*rules)))
+    return flat(dt.read_active(spark, output))
+
+
+@register(sql.from_active("SELECT time, hostname, name FROM a WHERE time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-13'"))
+def active_events_of_some_days(spark, sf_dir):
+    output = shared_folder(spark, "versions")
+    dt.run_incremental(spark, _configured(log_root(spark, sf_dir, "mixed"), output, ()))
+    return dt.read_active(spark, output, first_day="2024-01-10", last_day="2024-01-12").select("time", "hostname", "name")
+
+
+def _followed(spark, sf_dir) -> tuple[str, bool]:
+    """Tables kept by a stream, and whether every version read on the way was whole."""
+    root, output, state = (shared_folder(spark, name) for name in ("followed", "versions", "follow-state"))
+    for wave in (0, 1):
+        write_wave(spark, sf_dir, wave, f"{root}/wave-{wave}")
+    query = dt.follow_logs(
+        spark, root, table_rules(*CHAIN), output, checkpoint=state, max_files_per_trigger=2, most_parts=2
+    )
+    seen = [(0, 0)]
+    while query.isActive:
+        seen.append((dt.read_active(spark, output).count(), dt.read_unlocks(spark, output).count()))
+    if query.exception():
+        raise query.exception()
+    return output, seen == sorted(seen)
+
+
+@register(RULED_ACTIVE)
+def followed_logs_active(spark, sf_dir):
+    output, whole = _followed(spark, sf_dir)
+    return flat(dt.read_active(spark, output)).filter(F.lit(whole))
+
+
+@register(UNLOCKS)
+def followed_logs_unlocks(spark, sf_dir):
+    output, whole = _followed(spark, sf_dir)
+    return dt.read_unlocks(spark, output).filter(F.lit(whole))

@@ -140,6 +140,13 @@ def log_root(spark: SparkSession, sf_dir: str, variant: str = "plain") -> str:
     return _written[key]
 
 
+def write_wave(spark: SparkSession, sf_dir: str, wave: int, folder: str) -> None:
+    """Half of the derived log, events of even or of odd number, into a folder of its own; what was
+    there goes."""
+    df = events(spark, sf_dir)
+    write_lines(df.filter(F.col("event_id") % 2 == wave).select(log_line()), folder)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Desktop samples: some locked, some without a window, some without a title."""
     return events(spark, sf_dir).selectExpr(

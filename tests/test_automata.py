@@ -1,0 +1,136 @@
+"""Patterns made deterministic find what they found before, in values of any length."""
+
+import random
+
+import duckdb
+import pytest
+
+from dwelltrace.functions.automata import (
+    Choice,
+    Edge,
+    Known,
+    Repeat,
+    Sequence,
+    TooLarge,
+    any_case,
+    complement,
+    joined,
+    without_recursion,
+)
+from dwelltrace.functions.regex import to_java
+
+
+def found(spark, asked):
+    """Whether Spark finds each Java pattern in its value."""
+    df = spark.createDataFrame([(i, p, v) for i, (p, v) in enumerate(asked)], "i long, p string, v string")
+    return [r.hit for r in df.selectExpr("i", "v RLIKE p AS hit").orderBy("i").collect()]
+
+
+def made_up(rng, depth=0):
+    """A pattern with loops over alternatives, more often than not ambiguous."""
+
+    def atom():
+        if depth < 2 and rng.random() < 0.45:
+            return "(" + "|".join(made_up(rng, depth + 1) for _ in range(rng.randint(1, 3))) + ")"
+        return rng.choice(["a", "b", "c", "ab", "[ab]", "[^a]", r"\w", r"\d", "."])
+
+    text = ""
+    for _ in range(rng.randint(1, 3)):
+        part = atom()
+        if len(part) > 2 and part[0] not in "([\\":
+            part = f"(?:{part})"
+        text += part + rng.choice(["", "", "*", "+", "?", "*?", "{2}", "{1,3}", "{2,}"])
+    if depth == 0:
+        text = rng.choice(["", "", "^"]) + text + rng.choice(["", "", "$"])
+    return text
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_patterns_find_the_same_as_a_linear_time_engine(spark, seed):
+    rng = random.Random(seed)
+    patterns = [made_up(rng) for _ in range(100)]
+    values = ["".join(rng.choice("aabbc1-") for _ in range(rng.randint(0, 9))) for _ in range(40)] + [""]
+    asked = [(pattern, value) for pattern in patterns for value in rng.sample(values, 20)]
+    with duckdb.connect() as duck:
+        expected = [duck.execute("SELECT regexp_matches(?, ?)", [v, p]).fetchone()[0] for p, v in asked]
+    hits = found(spark, [(to_java(p), v) for p, v in asked])
+    wrong = [(p, v, to_java(p), e) for (p, v), e, h in zip(asked, expected, hits) if e != h]
+    assert not wrong, wrong[:3]
+    assert sum(r"\x{" in to_java(p) for p in patterns) > 10
+
+
+@pytest.mark.parametrize(
+    "pattern, yes, no",
+    [
+        (r"x(a|ab|b)*c$", "xababbac", "xababbad"),
+        (r"x(?i)(ab|a)*c", "xaABabaC", "xaABabad"),
+        (r"x(?:a|ab)*\z", "yxaab", "xabb"),
+        (r"^(?:\d+[.,])+\d*(?:USD|US)$", "1,2.US", "1,2.U"),
+        (r"\bkey(?:a|ab|é)*;", "the keyabé;", "monkeyab;"),
+        (r"(?x) x ( a | ab )* c # note", "xabac", "xabbc"),
+        (r"k(?i)(k|ss|s)+t", "kKſsT", "KKsT"),
+        (r"x(?-u:a|ab)*c(?i)|(?:y|yz)*Q$", "-yzyq", "-yzyr"),
+        (r"p(\w|\s|\w\s)*é\z", "pab cé", "pab-cé"),
+        (r"p(?:[\w--\d]|aa)+q", "paaq", "pa1q"),
+        (r"(?:a|ab)(?:c|bcd)(?:d*|x)+e", "abcde", "abd"),
+        (r"x(?:(?:a|ab)*c|b)*d", "xabcbacd", "xabcbad"),
+    ],
+)
+def test_ambiguous_loops(spark, pattern, yes, no):
+    assert found(spark, [(to_java(pattern), yes), (to_java(pattern), no)]) == [True, False]
+
+
+LONG = [
+    (r"x(a|ab|b)*c$", "x" + "ab" * 500_000 + "c", "x" + "ab" * 500_000),
+    (r"x(?i)(ab|a)*c", "x" + "aB" * 500_000 + "C", "x" + "aB" * 500_000),
+    (r"[ab](?:a|ab)*c", "ab" * 500_000 + "c", "ab" * 500_000 + "d"),
+    (r"é(\w+|\s)*;", "é" + "word " * 200_000 + ";", "é" + "word " * 200_000),
+    (r"^(?:/[^/]+|//)*\.log$", "/dir" * 250_000 + "/a.log", "/dir" * 250_000 + "/a.log "),
+    (r"\bx(?:a|ab)*c", "a x" + "ab" * 500_000 + "c", "ax" + "ab" * 500_000 + "c"),
+]
+
+
+@pytest.mark.parametrize("pattern, yes, no", LONG)
+def test_a_megabyte_needs_no_stack(spark, pattern, yes, no):
+    assert found(spark, [(to_java(pattern), yes), (to_java(pattern), no)]) == [True, False]
+
+
+def test_plain_patterns_stay_as_they_were():
+    for pattern in ("foo.*bar", "(?:ab)+", "(a|b)*c", "x{2,5}y", r"\.(exe|bat)$", "(?:aa|b)+c"):
+        assert "U-i:" not in to_java(pattern)
+
+
+def test_what_cannot_be_followed_stays_a_loop():
+    assert to_java(r"x(?:a|ab)*\bfoo") == r"(?U)x(?:a|ab)*(?:\b)foo"
+    assert to_java(r"x(?:a|ab)*(?m:$)") == r"x(?:a|ab)*(?:(?=\n|\z))"
+    a = Known(((97, 97),))
+    with pytest.raises(TooLarge):
+        without_recursion(Sequence((Repeat(Choice((a, Known(((97, 98),)))), 0, None), a, Repeat(Known(((97, 98),)), 20, 20))), True)
+
+
+def test_flags_reach_later_alternatives(spark):
+    java = to_java("x(?:a|ab)*c(?i)|end")
+    assert found(spark, [(java, "END"), (java, "xabc"), (java, "XABC")]) == [True, True, False]
+
+
+def test_edges(spark):
+    a, begin, end = Known(((97, 97),)), Edge(end=False), Edge(end=True)
+    asked = [
+        (Sequence((begin, end)), ["", "a"], [True, False]),
+        (Choice((Sequence((begin, a)), Sequence((a, end)))), ["ab", "ba", "bab"], [True, True, False]),
+        (Sequence((a, begin)), ["a", ""], [False, False]),
+        (Repeat(Sequence((a, Repeat(end, 0, 1))), 2, None), ["ba", "baa", "aab"], [False, True, True]),
+        (Sequence(()), ["", "x"], [True, True]),
+    ]
+    for pattern, values, expected in asked:
+        assert found(spark, [(without_recursion(pattern, search=True), v) for v in values]) == expected
+
+
+def test_sets():
+    assert joined([(5, 6), (1, 2), (3, 3), (6, 9)]) == ((1, 3), (5, 9))
+    assert complement(((0, 4), (10, 10))) == ((5, 9), (11, 0x10FFFF))
+    assert complement(complement(((3, 5),))) == ((3, 5),)
+    assert any_case(((107, 107),)) == ((75, 75), (107, 107), (0x212A, 0x212A))
+    assert any_case(((0xDF, 0xDF),)) == ((0xDF, 0xDF), (0x1E9E, 0x1E9E))
+    assert any_case(((0x131, 0x131),)) == ((0x131, 0x131),)
+    assert any_case(((0, 0x10FFFF),)) is None

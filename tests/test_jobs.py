@@ -24,12 +24,12 @@ from dwelltrace.plans.workspace import shared_folder
 from dwelltrace.schemas import SAMPLE_SCHEMA, WINDOW_DATA_SCHEMA
 from dwelltrace.sinks.lines import event_lines, utc_text, write_lines
 
-MADE = [R.Rule(R.HasTag("art"), (R.AddTag("made"),))]
+MADE = [R.Rule(R.HasTag("term"), (R.AddTag("made"),))]
 
 
 @pytest.fixture
 def two_logs(fixture_path):
-    return [fixture_path("logs", "desktop_v1.jsonl"), fixture_path("logs", "mobile.jsonl")]
+    return [fixture_path("logs", "paths.jsonl"), fixture_path("logs", "phones.jsonl")]
 
 
 def files(folder, suffix):
@@ -57,15 +57,15 @@ def test_csv_is_flat(spark, two_logs, tmp_path):
     assert text.startswith("time,duration,hostname,")
     assert "[" not in text and "]" not in text
     rows = sorted(csv.DictReader(open(path)), key=lambda r: r["time"])
-    assert [r["tags"] for r in rows] == ["art|made", "", "hidden", "", ""]
-    assert [r["duration"] for r in rows] == ["20", "20", "20", "200", "45"]
-    assert [r["idleFor"] for r in rows] == ["0", "420", "7", "", ""]
-    assert rows[0]["time"] == "2031-04-02T06:10:00.000000"
-    assert rows[0]["processPath"] == "D:\\Tools\\Krita\\krita.exe"
+    assert [r["tags"] for r in rows] == ["", "", "", "", "term|root|made", "odd", "", "term|made", "", ""]
+    assert [r["duration"] for r in rows] == ["600", "130", "5", "30", "30", "0", "30", "30", "30", "30"]
+    assert [r["idleFor"] for r in rows] == ["", "", "", "0", "61", "3599", "1", "2", "60", "600"]
+    assert rows[1]["time"] == "2040-11-05T07:10:00.500000"
+    assert rows[7]["processPath"] == "\\\\share\\x/y\\Mixed.tar.EXE"
     # An empty list is an empty string, which CSV tells apart from null by its quotes.
     assert any(line.endswith(',false,false,""') for line in text.splitlines())
-    (unlock,) = [row for p in files(outputs.unlock_events, ".csv") for row in csv.DictReader(open(p))]
-    assert unlock == {"time": "2031-04-02T07:04:00.000000", "hostname": "handset"}
+    unlocks = [row for p in files(outputs.unlock_events, ".csv") for row in csv.DictReader(open(p))]
+    assert {"time": "2040-11-05T07:09:59.000000", "hostname": "fold"} in unlocks and len(unlocks) == 3
 
 
 def test_csv_keeps_awkward_text(spark, tmp_path):
@@ -247,7 +247,7 @@ def test_periodic_flush_and_stop(spark, fixture_path, tmp_path):
 def test_live_tables_equal_the_batch(spark, fixture_path, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
-    names = ["desktop_v1", "desktop_legacy", "mobile", "mixed"]
+    names = ["paths", "flat_keys", "phones", "household"]
     state, outputs = str(tmp_path / "state"), (str(tmp_path / "a"), str(tmp_path / "u"))
     for half in (names[:2], names[2:]):
         for name in half:
@@ -274,7 +274,7 @@ def test_a_stream_refuses_a_torn_line_or_drops_it(spark, write_log, tmp_path):
 def _root(fixture_path, tmp_path):
     root = tmp_path / "root"
     (root / "sub").mkdir(parents=True)
-    for name in ("desktop_v1", "desktop_legacy", "mobile", "mixed"):
+    for name in ("paths", "flat_keys", "phones", "household"):
         shutil.copy(fixture_path("logs", f"{name}.jsonl"), root / "sub")
     with gzip.open(root / "more.jsonl.gz", "wt") as f:
         f.write('{"type":"NewEventV7","x":[1, 2]}\n\n{"torn\n{"type":"ActiveWindowEvent","duration":"bad"}\n')
@@ -303,10 +303,13 @@ def test_compaction_with_upgrade(spark, fixture_path, tmp_path):
     legacy = [line for line in lines if '"ActiveWindowEvent"' in line]
     assert legacy == ['{"type":"ActiveWindowEvent","duration":"bad"}']
     assert set(_raw_lines(root)) - set(lines) == {x for x in _raw_lines(root) if '"ActiveWindowEvent"' in x} - set(legacy)
-    nano = json.loads(next(line for line in lines if "nano" in line))
-    assert nano == {
-        "type": "ActiveWindowEventV1", "time": "2031-04-02T09:30:00+00:00",
-        "data": {"duration": 25, "hostname": "notebook", "username": "sam", "idleFor": 5, "processPath": "/bin/nano", "tags": ["notes"]},
+    game = json.loads(next(line for line in lines if "games" in line))
+    assert game == {
+        "type": "ActiveWindowEventV1", "time": "2040-11-05T12:00:00Z",
+        "data": {
+            "duration": 9, "hostname": "barn", "username": "lee", "idleFor": 0.2, "processPath": "/usr/games/Chess",
+            "tags": ["fun", "board"],
+        },
     }
 
 
@@ -317,7 +320,7 @@ def test_compaction_into_its_source_is_refused(spark, tmp_path, target):
 
 
 def test_upgrade_gives_the_same_table(spark, fixture_path):
-    paths = [fixture_path("logs", f"{n}.jsonl") for n in ("desktop_legacy", "mixed", "mobile")]
+    paths = [fixture_path("logs", f"{n}.jsonl") for n in ("flat_keys", "household", "phones")]
     logs = dwelltrace.read_logs(spark, paths)
     upgraded = dwelltrace.upgrade_legacy(logs)
     assert upgraded.schema == logs.schema or upgraded.columns == logs.columns
@@ -327,16 +330,19 @@ def test_upgrade_gives_the_same_table(spark, fixture_path):
 
 
 def _split(spark, fixture_path, seconds, **options):
-    df = dwelltrace.split_long_events(dwelltrace.active_events(spark, fixture_path("logs", "mobile.jsonl")), seconds, **options)
+    df = dwelltrace.split_long_events(dwelltrace.active_events(spark, fixture_path("logs", "phones.jsonl")), seconds, **options)
     rows = df.select("time", duration_to_millis(F.col("duration"))).orderBy("time").collect()
-    return [((r[0] - dt.datetime(2031, 4, 2, 7)).total_seconds(), r[1] / 1000) for r in rows]
+    return [((r[0] - dt.datetime(2040, 11, 5, 7)).total_seconds(), r[1] / 1000) for r in rows]
 
 
 def test_split_long_events(spark, fixture_path):
-    assert _split(spark, fixture_path, 60) == [(0, 60), (60, 60), (120, 60), (180, 20), (242, 45)]
-    assert _split(spark, fixture_path, 60, anchor="end") == [(-140, 60), (-80, 60), (-20, 60), (0, 20), (242, 45)]
-    assert _split(spark, fixture_path, 200) == _split(spark, fixture_path, 0) == [(0, 200), (242, 45)]
-    assert len(_split(spark, fixture_path, 1)) == 245
+    whole, rest = [(0, 600)], [(1800, 5)]
+    assert _split(spark, fixture_path, 250) == [(0, 250), (250, 250), (500, 100), (600.5, 130.25), *rest]
+    ends = [(-350, 250), (-100, 250), (0, 100), (600.5, 130.25), *rest]
+    assert _split(spark, fixture_path, 250, anchor="end") == ends
+    assert _split(spark, fixture_path, 100)[6:] == [(600.5, 100), (700.5, 30.25), *rest]
+    assert _split(spark, fixture_path, 600) == _split(spark, fixture_path, 0) == [*whole, (600.5, 130.25), *rest]
+    assert len(_split(spark, fixture_path, 1)) == 600 + 131 + 5
 
 
 def test_split_leaves_other_rows_alone(spark, write_log):
@@ -368,7 +374,7 @@ def _config(tmp_path, **changes):
         "activeEventRules": [
             {"predicate": {"idleForGreaterThanSec": 60}, "actions": ["ignore"]},
             {"predicate": "isMobile", "actions": [{"addTag": "mobile"}]},
-            {"predicate": {"hasTag": "art"}, "actions": [{"setAttribute": {"name": "category", "value": "studio"}}]},
+            {"predicate": {"hasTag": "term"}, "actions": [{"setAttribute": {"name": "category", "value": "shell"}}]},
         ],
         "activeEventMaxDuration": 60,
     }
@@ -380,7 +386,7 @@ def _config(tmp_path, **changes):
 
 def _two_file_root(fixture_path, tmp_path):
     (tmp_path / "root").mkdir(exist_ok=True)
-    for name in ("desktop_v1", "mobile"):
+    for name in ("paths", "phones"):
         shutil.copy(fixture_path("logs", f"{name}.jsonl"), tmp_path / "root")
 
 
@@ -390,16 +396,16 @@ def test_run(spark, fixture_path, tmp_path, scan):
     outputs = run_pipeline(spark, _config(tmp_path), scan=scan)
     assert outputs.active_events == f"{tmp_path}/out/active_events.parquet"
     rows = spark.read.parquet(outputs.active_events).orderBy("time").collect()
-    assert [r.ignore for r in rows] == [False, True, False, False, False]
-    assert [r.tags for r in rows] == [["art"], [], ["hidden"], ["mobile"], ["mobile"]]
-    assert [r.category for r in rows] == ["studio", None, None, None, None]
-    assert [r.hostname for r in spark.read.parquet(outputs.unlock_events).collect()] == ["handset"]
+    assert [r.ignore for r in rows] == [False] * 4 + [True, True, False, False, False, True]
+    assert [r.tags for r in rows] == [["mobile"]] * 3 + [[], ["term", "root"], ["odd"], [], ["term"], [], []]
+    assert [r.category for r in rows] == [None] * 4 + ["shell", None, None, "shell", None, None]
+    assert {r.hostname for r in spark.read.parquet(outputs.unlock_events).collect()} == {"fold", None}
 
 
 def test_run_options(spark, fixture_path, tmp_path):
     _two_file_root(fixture_path, tmp_path)
     outputs = run_pipeline(spark, _config(tmp_path), drop_ignored=True, split_long=True, partition_bytes=1 << 20)
-    assert spark.read.parquet(outputs.active_events).count() == 3 + 4
+    assert spark.read.parquet(outputs.active_events).count() == 10 - 3 + 9 + 2
 
 
 def test_run_leaves_no_staged_rows(spark, fixture_path, tmp_path):
@@ -415,23 +421,23 @@ def test_a_refused_run_keeps_the_previous_output(spark, fixture_path, tmp_path,
     _two_file_root(fixture_path, tmp_path)
     outputs = run_pipeline(spark, _config(tmp_path))
     before = [multiset(spark.read.parquet(path)) for path in (outputs.active_events, outputs.unlock_events)]
-    shutil.copy(fixture_path("logs", "mixed.jsonl"), tmp_path / "root")  # a good file more
+    shutil.copy(fixture_path("logs", "household.jsonl"), tmp_path / "root")  # a good file more
     shutil.copy(fixture_path("live", "main_config.json"), tmp_path / "root" / "foreign.jsonl")
     with pytest.raises(dwelltrace.JobError):
         run_pipeline(spark, _config(tmp_path), on_corrupt=policy, scan=scan)
     assert before == [multiset(spark.read.parquet(path)) for path in (outputs.active_events, outputs.unlock_events)]
     assert sorted(os.listdir(tmp_path / "out")) == ["active_events.parquet", "unlock_events.parquet"]
     run_pipeline(spark, _config(tmp_path), on_corrupt="drop", scan=scan)
-    assert spark.read.parquet(outputs.active_events).count() == 7
+    assert spark.read.parquet(outputs.active_events).count() == 13
 
 
 @pytest.mark.parametrize("scan", ["direct", "staged"])
 def test_a_torn_line_does_not_stop_a_run(spark, fixture_path, tmp_path, scan):
     _two_file_root(fixture_path, tmp_path)
-    with open(tmp_path / "root" / "mobile.jsonl", "a") as log:
+    with open(tmp_path / "root" / "phones.jsonl", "a") as log:
         log.write('{"type":"Device')
     outputs = run_pipeline(spark, _config(tmp_path), scan=scan)
-    assert spark.read.parquet(outputs.active_events).count() == 5
+    assert spark.read.parquet(outputs.active_events).count() == 10
 
 
 def test_run_errors_have_context(spark, tmp_path):
@@ -452,8 +458,8 @@ def test_command_line(spark, fixture_path, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr("sys.argv", ["dwelltrace", _config(tmp_path), "--drop-ignored", "--split-long"])
     runpy.run_module("dwelltrace", run_name="__main__")
     active, unlock = capsys.readouterr().out.split()
-    assert spark.read.parquet(active).count() == 7
-    assert spark.read.parquet(unlock).count() == 1
+    assert spark.read.parquet(active).count() == 10 - 3 + 9 + 2
+    assert spark.read.parquet(unlock).count() == 3
 
 
 # -- what a run costs --------------------------------------------------------------------
@@ -472,7 +478,7 @@ def test_the_type_filter_reaches_the_reader_below_an_observation(spark, fixture_
 
 
 def test_filters_do_not_copy_rule_expressions(spark, fixture_path):
-    path = fixture_path("logs", "desktop_v1.jsonl")
+    path = fixture_path("logs", "paths.jsonl")
     rules = [R.Rule(R.AttributeRegex("name", f"[abc]{k}+"), (R.SetAttribute("category", "x"), R.Ignore())) for k in range(5)]
     plain = dwelltrace.active_events(spark, path, rules)
     optimized = [df._jdf.queryExecution().optimizedPlan().toString() for df in (plain, dwelltrace.drop_ignored(plain))]
@@ -512,8 +518,8 @@ def test_jobs_leave_the_session_alone(spark, fixture_path, tmp_path):
 def test_logs_with_hidden_names_are_not_left_out_in_silence(spark, fixture_path, tmp_path, name):
     root = tmp_path / "root"
     (root / name).parent.mkdir(parents=True)
-    shutil.copy(fixture_path("logs", "mobile.jsonl"), root / "plain.jsonl")
-    shutil.copy(fixture_path("logs", "mobile.jsonl"), root / name)
+    shutil.copy(fixture_path("logs", "phones.jsonl"), root / "plain.jsonl")
+    shutil.copy(fixture_path("logs", "phones.jsonl"), root / name)
     for call in (
         lambda: dwelltrace.read_log_root(spark, str(root)),
         lambda: dwelltrace.stream_logs(spark, str(root)),
@@ -527,11 +533,11 @@ def test_logs_with_hidden_names_are_not_left_out_in_silence(spark, fixture_path,
 
 
 def test_bookkeeping_folders_are_no_logs(spark, fixture_path, tmp_path):
-    shutil.copy(fixture_path("logs", "mobile.jsonl"), tmp_path / "plain.jsonl")
+    shutil.copy(fixture_path("logs", "phones.jsonl"), tmp_path / "plain.jsonl")
     (tmp_path / "_temporary" / "0").mkdir(parents=True)
-    shutil.copy(fixture_path("logs", "mobile.jsonl"), tmp_path / "_temporary" / "0" / "part.jsonl")
+    shutil.copy(fixture_path("logs", "phones.jsonl"), tmp_path / "_temporary" / "0" / "part.jsonl")
     (tmp_path / "_SUCCESS").write_text("")
-    assert dwelltrace.read_log_root(spark, str(tmp_path)).count() == 3
+    assert dwelltrace.read_log_root(spark, str(tmp_path)).count() == 6
 
 
 def test_compaction_keeps_bytes(spark, tmp_path):
@@ -539,8 +545,8 @@ def test_compaction_keeps_bytes(spark, tmp_path):
     (tmp_path / "root").mkdir()
     (tmp_path / "root" / "x.jsonl").write_bytes(b"\n".join(lines) + b"\n\n")
     dwelltrace.compact_logs(spark, str(tmp_path / "root"), str(tmp_path / "target"))
-    got = b"".join(gzip.open(p, "rb").read() for p in files(tmp_path / "target", ".jsonl.gz"))
-    assert got == b"".join(line + b"\n" for line in lines)
+    got = [line for p in files(tmp_path / "target", ".jsonl.gz") for line in gzip.open(p, "rb")]
+    assert sorted(got) == sorted(line + b"\n" for line in lines)
 
 
 # -- layout by date ----------------------------------------------------------------------
@@ -550,7 +556,7 @@ def test_outputs_by_date(spark, fixture_path, tmp_path):
     _two_file_root(fixture_path, tmp_path)
     plain = multiset(spark.read.parquet(run_pipeline(spark, _config(tmp_path)).active_events))
     outputs = run_pipeline(spark, _config(tmp_path), partition_by_date=True)
-    assert os.path.isdir(f"{outputs.active_events}/date=2031-04-02")
+    assert os.path.isdir(f"{outputs.active_events}/date=2040-11-05")
     assert multiset(spark.read.parquet(outputs.active_events).drop("date")) == plain
 
 
@@ -588,9 +594,9 @@ def test_commands(spark, fixture_path, tmp_path, monkeypatch, capsys):
         runpy.run_module("dwelltrace", run_name="__main__")
 
     command("compact", root, tmp_path / "compact", "--upgrade")
-    assert dwelltrace.read_log_root(spark, str(tmp_path / "compact")).count() == 6
+    assert dwelltrace.read_log_root(spark, str(tmp_path / "compact")).count() == 13
     command("tables", _config(tmp_path), tmp_path / "a", tmp_path / "u", tmp_path / "state-t", "--once")
-    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "a")).count() == 5
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "a")).count() == 10
     command("record", tmp_path / "conf" / "main_config.json", feed, tmp_path / "state-r", "--once")
     assert dwelltrace.read_log_root(spark, str(tmp_path / "conf" / "recorded")).count() == 5
 

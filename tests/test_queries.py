@@ -1,6 +1,8 @@
 """Every registered query against its SQL counterpart, on whole tables."""
 
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -9,6 +11,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from querybook.catalogue import ORACLE, QUERIES
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
 
 
@@ -44,3 +47,18 @@ def test_query_equals_oracle(spark, duck, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("absent", [["dwelltrace.llm"], ["tiktoken"], ["corpus_pipeline"], ["dwelltrace.llm", "corpus_pipeline"]])
+def test_the_corpus_operators_may_be_absent(absent):
+    """Without them, or without a library they need, the other queries are there."""
+    program = (
+        "import sys\n"
+        f"sys.modules.update(dict.fromkeys({absent!r}))\n"
+        "import __spark_entry__ as e\n"
+        "print(len(e.queries()), 'rule_chain' in e.queries(), 'pipeline' in e.queries())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", program], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    count, chain, pipeline = done.stdout.split()
+    assert int(count) >= len(QUERIES) and (chain, pipeline) == ("True", "False")

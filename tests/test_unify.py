@@ -33,73 +33,77 @@ def schema_of(df):
     return [(f.name, f.dataType) for f in df.schema.fields]
 
 
-def test_desktop_v1(spark, fixture_path):
-    df = active(spark, fixture_path("logs", "desktop_v1.jsonl"))
+def test_names_come_from_paths(spark, fixture_path):
+    df = active(spark, fixture_path("logs", "paths.jsonl"))
     assert schema_of(df) == [(f.name, f.dataType) for f in ACTIVE_SCHEMA.fields]
-    assert column(df, "time") == [dt.datetime(2031, 4, 2, 6, 10, s) for s in (0, 20, 40)]
-    assert column(df, "duration") == [20000] * 3
-    assert column(df, "idleFor") == [0, 420000, 7000]
-    assert column(df, "processName") == ["krita", "Zed", None]
-    assert column(df, "name") == ["krita", "zed", None]
-    assert column(df, "processPath") == [
-        "D:\\Tools\\Krita\\krita.exe", "/opt/zed/Zed", None,
-    ]
-    assert column(df, "tags") == [["art"], [], ["hidden"]]
-    assert column(df, "applicationLabel") == [None] * 3
-    assert column(df, "isMobile") == [False] * 3
-    assert column(df, "category") == [None] * 3
-
-
-def test_desktop_legacy(spark, fixture_path):
-    df = active(spark, fixture_path("logs", "desktop_legacy.jsonl"))
-    assert column(df, "processName") == ["nano", "paint"]
-    assert column(df, "idleFor") == [5000, 500]
-    assert column(df, "hostname") == ["notebook"] * 2
-    assert column(df, "tags") == [["notes"], []]
-
-
-def test_fraction_digits_are_cut_to_microseconds(spark, fixture_path):
-    df = active(spark, fixture_path("logs", "desktop_v1_legacy_writer.jsonl"))
-    assert column(df, "time") == [
-        dt.datetime(2031, 4, 2, 8, 0, 0, 987654),
-        dt.datetime(2031, 4, 2, 8, 0, 12, 250000),
-        dt.datetime(2031, 4, 2, 8, 0, 24),
-    ]
-    assert column(df, "processName") == ["write", None, "gimp"]
-
-
-def test_mobile(spark, fixture_path):
-    path = fixture_path("logs", "mobile.jsonl")
+    assert column(df, "processName") == ["Sheet", "run", None, "editor", "Mixed.tar", "report.com", None]
+    assert column(df, "name") == ["sheet", "run", None, "editor", "mixed.tar", "report.com", None]
+    assert column(df, "processPath")[2:5] == ["/opt/tool/", "editor", "\\\\share\\x/y\\Mixed.tar.EXE"]
+    assert column(df, "processPath")[6] is None
+    assert column(df, "duration") == [30000, 30000, 750, 30000, 30000, 30000, 30000]
+    assert column(df, "idleFor") == [0, 61500, 3599999, 1000, 2000, 60000, 600000]
+    assert column(df, "tags") == [[], ["term", "root"], ["odd"], [], ["term"], [], []]
+    for name, value in (("isMobile", False), ("ignore", False), ("category", None), ("applicationId", None), ("username", "ida")):
+        assert column(df, name) == [value] * 7
+
+
+def test_flat_keys(spark, fixture_path):
+    df = active(spark, fixture_path("logs", "flat_keys.jsonl"))
+    assert column(df, "processName") == ["Chess", None, "calc", None]
+    assert column(df, "idleFor") == [200, None, 1000000, 8000]
+    assert column(df, "duration") == [9000, 9000, None, 9500]
+    assert column(df, "hostname") == ["barn", "barn", None, "barn"]
+    assert column(df, "tags") == [["fun", "board"], [], [], []]
+
+
+def test_times_are_utc_and_cut_to_microseconds(spark, fixture_path):
+    unlocks = dwelltrace.unlock_events(spark, fixture_path("logs", "clock.jsonl"))
+    assert {r.hostname: r.time for r in unlocks.collect()} == {
+        "east": dt.datetime(2040, 2, 29, 18),
+        "west": dt.datetime(2040, 1, 1, 3),
+        "tenth": dt.datetime(2040, 6, 1, 10, 0, 0, 100000),
+        "nano": dt.datetime(2040, 6, 1, 10, 0, 0, 123456),
+        "micro": dt.datetime(2040, 6, 1, 10, 0, 0, 1),
+        "never": None,
+    }
+
+
+def test_phones(spark, fixture_path):
+    path = fixture_path("logs", "phones.jsonl")
     df = active(spark, path)
-    assert column(df, "duration") == [200000, 45000]
-    assert column(df, "username") == [None, None]
-    assert column(df, "idleFor") == [None, None]
-    assert column(df, "tags") == [[], []]
-    assert column(df, "name") == ["maps", "recipes"]
-    assert column(df, "applicationId") == ["org.sample.maps", "org.sample.recipes"]
+    assert column(df, "duration") == [600000, 130250, 5000]
+    assert column(df, "name") == ["étude", "bus times", None]
+    assert column(df, "applicationLabel") == ["ÉTUDE", "Bus Times", None]
+    assert column(df, "applicationId") == ["app.etude", "app.bus", "app.nolabel"]
+    for name, value in (("username", None), ("idleFor", None), ("tags", []), ("isMobile", True), ("processPath", None)):
+        assert column(df, name) == [value] * 3
     unlocks = dwelltrace.unlock_events(spark, path)
     assert schema_of(unlocks) == [(f.name, f.dataType) for f in UNLOCK_SCHEMA.fields]
-    assert [tuple(r) for r in unlocks.collect()] == [(dt.datetime(2031, 4, 2, 7, 4), "handset")]
+    assert sorted((r.time.minute, r.hostname) for r in unlocks.collect()) == [(9, "fold"), (29, None), (59, "fold")]
 
 
-def test_mixed_shapes_in_one_file(spark, fixture_path):
-    path = fixture_path("logs", "mixed.jsonl")
-    assert column(active(spark, path), "processName") == ["zsh", "btop"]
-    assert [r.hostname for r in dwelltrace.unlock_events(spark, path).collect()] == ["attic"]
+def test_all_kinds_in_one_file(spark, fixture_path):
+    path = fixture_path("logs", "household.jsonl")
+    df = active(spark, path)
+    assert column(df, "name") == ["chess", "less", "most"]
+    assert column(df, "isMobile") == [True, False, False]
+    assert column(df, "idleFor") == [None, 2000, 6000]
+    assert sorted(r.hostname for r in dwelltrace.unlock_events(spark, path).collect()) == ["tablet", "watch"]
 
 
-def test_desktop_and_mobile_unified(spark, fixture_path):
-    df = active(spark, fixture_path("logs", "desktop_v1.jsonl"), fixture_path("logs", "mobile.jsonl"))
-    assert column(df, "isMobile") == [False, False, False, True, True]
-    assert column(df, "ignore") == [False] * 5
-    assert column(df, "name") == ["krita", "zed", None, "maps", "recipes"]
-    assert column(df, "applicationLabel") == [None, None, None, "Maps", "Recipes"]
-    assert column(df, "tags") == [["art"], [], ["hidden"], [], []]
+def test_several_files_are_one_table(spark, fixture_path):
+    names = ["paths", "phones", "flat_keys", "household"]
+    df = active(spark, *[fixture_path("logs", f"{name}.jsonl") for name in names])
+    assert df.count() == 7 + 3 + 4 + 3
+    assert df.filter("isMobile").count() == 4
+    assert df.filter(F.col("name") == "chess").count() == 2
+    twice = active(spark, *[fixture_path("logs", "household.jsonl")] * 2)
+    assert twice.count() == 6
 
 
 def test_gzip_equals_plain(spark, fixture_path, tmp_path):
-    plain = fixture_path("logs", "desktop_v1.jsonl")
-    packed = tmp_path / "desktop_v1.jsonl.gz"
+    plain = fixture_path("logs", "household.jsonl")
+    packed = tmp_path / "household.jsonl.gz"
     with open(plain, "rb") as source, gzip.open(packed, "wb") as target:
         shutil.copyfileobj(source, target)
     assert rows(active(spark, str(packed))) == rows(active(spark, plain))
@@ -108,11 +112,11 @@ def test_gzip_equals_plain(spark, fixture_path, tmp_path):
 def test_root_is_searched_at_any_depth_for_log_names_only(spark, fixture_path, tmp_path):
     deep = tmp_path / "a" / "b" / "c"
     deep.mkdir(parents=True)
-    shutil.copy(fixture_path("logs", "desktop_v1.jsonl"), deep / "x.jsonl")
-    shutil.copy(fixture_path("logs", "mobile.jsonl"), tmp_path / "y.jsonl")
+    shutil.copy(fixture_path("logs", "paths.jsonl"), deep / "x.jsonl")
+    shutil.copy(fixture_path("logs", "phones.jsonl"), tmp_path / "y.jsonl")
     (tmp_path / "main_config.json").write_text('{\n "a": 1\n}')
     df = dwelltrace.active_events_from(dwelltrace.read_log_root(spark, str(tmp_path), on_corrupt="file"))
-    assert df.count() == 5
+    assert df.count() == 10
 
 
 @pytest.mark.parametrize("policy", ["line", "file"])
@@ -215,20 +219,20 @@ def test_durations_are_cut_and_never_fail(spark, write_log, seconds, millis):
 
 
 def test_source_file_can_be_carried_along(spark, fixture_path):
-    path = fixture_path("logs", "mobile.jsonl")
+    path = fixture_path("logs", "phones.jsonl")
     df = active(spark, path, with_source=True)
     assert df.columns == [*ACTIVE_SCHEMA.fieldNames(), "source_file"]
-    assert {r.source_file.rsplit("/", 1)[1] for r in df.collect()} == {"mobile.jsonl"}
+    assert {r.source_file.rsplit("/", 1)[1] for r in df.collect()} == {"phones.jsonl"}
 
 
 def test_tables_need_no_shuffle_and_no_python(spark, fixture_path):
-    path = fixture_path("logs", "mobile.jsonl")
+    path = fixture_path("logs", "phones.jsonl")
     for df in (dwelltrace.active_events(spark, path), dwelltrace.unlock_events(spark, path)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("name", ["desktop_v1", "desktop_legacy", "mobile", "mixed"])
+@pytest.mark.parametrize("name", ["paths", "flat_keys", "phones", "household"])
 def test_a_line_torn_anywhere_gives_no_event(spark, fixture_path, write_log, name):
     whole = open(fixture_path("logs", f"{name}.jsonl")).read().splitlines()
     torn = [line[:cut] for line in whole for cut in range(1, len(line))]
