@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwelltrace.llm.common import staged
+from dwelltrace.llm.common import lowest_hashes, staged
 from dwelltrace.llm.text_stats import document_statistics
 
 # What rules may test: name and SQL over the statistics. Shares, so that length alone
@@ -164,11 +164,9 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, max_labelled: int)
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("quality"))
         .join(stats, "doc_id")
-        .select("quality", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
-        .orderBy(F.xxhash64("doc_id"), *FEATURES)
-        .limit(max_labelled)
-        .toPandas()
+        .select("doc_id", "quality", *[F.expr(sql).alias(name) for name, sql in FEATURES.items()])
     )
+    marked = lowest_hashes(staged(marked, "labelled-statistics"), max_labelled, "doc_id", *FEATURES).toPandas()
     return {name: marked[name].to_numpy(float) for name in FEATURES}, marked["quality"].to_numpy() == 0
 
 

@@ -1,16 +1,18 @@
 """Exact dedup with an extendible-hash index on shared files. DataFrame functions only.
 
-A text's key is the 64-bit hash of its normalised form. The directory maps the leading bits
-of a key to a bucket. It starts with one bucket; a bucket with more distinct keys than its
-capacity splits on the next bit, and when its depth is the directory's, the directory doubles.
-Since buckets go by leading bits, each owns a range of keys.
-
-The bytes themselves are compared by grouping on them: copies collapse in the task that reads
-them, so a text that makes up a third of all rows leaves each task once. What remains is one
-entry per distinct text. Entries of one key form a chain, in the order of their ``keep_id``.
-The index is a Parquet table in the shared folder, range-partitioned so that one task owns a
-range of buckets. Rows then look themselves up by bucket, key and SHA-256; that no two different
-texts share both key and SHA-256 is asserted on the index, not assumed.
+A text's key is the 64-bit hash of its normalised form. The directory maps the leading bits of a
+key to a bucket. It starts with one bucket; a bucket with more distinct keys than its capacity
+splits on the next bit, and when its depth is the directory's, the directory doubles. Since buckets
+go by leading bits, each owns a range of keys.
+
+Texts are dealt to the tasks that own their buckets. Copies collapse before: a task sends a text
+once to each of a few lanes, so one that makes up a third of all rows is a handful of rows after a
+first shuffle. The owner of a bucket sorts what it gets by key and bytes. Rows of one key are a
+chain; each comes as a new link where its bytes differ from the row before, so texts whose keys
+collide stay apart, and copies from different lanes meet in one link. The links are the index: key,
+link, SHA-256, ``keep_id`` and ``group_size``, a Parquet table in the shared folder, written by
+bucket. Rows then look themselves up by key and SHA-256; that no two links of a key share a SHA-256
+is asserted by the owner, not assumed.
 
 Results in odd cases: a null text is the empty text; a null id is never the smallest unless all
 ids of the group are null; rows that repeat an id *and* a text count one by one in ``group_size``
@@ -20,11 +22,13 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dwelltrace.llm.common import SPACE_CLASS, scratch, whole_text
+from dwelltrace.llm.common import SPACE_CLASS, join_by_key, scratch, staged, whole_text
 
 DIRECTORY = T.StructType(
     [
@@ -68,69 +72,88 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[in
     return depth, slots
 
 
+# Buckets per task that owns some; a directory has some times as many slots as there are tasks.
+_BUCKETS_PER_TASK = 4
+
+
+def _directory(keys: DataFrame, capacity: int, tasks: int) -> tuple[int, DataFrame]:
+    """The directory for the distinct values of ``key``: its depth, and bucket by slot."""
+    spark = keys.sparkSession
+    n = keys.select(F.approx_count_distinct("key")).first()[0]
+    capacity = max(capacity, n // (_BUCKETS_PER_TASK * tasks))
+    # Finer than the buckets will be; hashed keys fill prefixes evenly.
+    bits = min(63, max(1, (n // capacity).bit_length() + 3))
+    histogram = keys.groupBy(_leading(F.col("key"), bits).alias("prefix")).agg(F.count_distinct("key").alias("keys"))
+    # Some dozen rows per task.
+    depth, slots = grow_directory({row["prefix"]: row["keys"] for row in histogram.collect()}, bits, capacity)
+    return depth, spark.createDataFrame(slots, DIRECTORY)
+
+
+_LANES = 8
+
+
 def exact_groups(
-    docs: DataFrame, *, capacity: int = 4096, directory_bits: int = 14, index_path: str | None = None
+    docs: DataFrame,
+    *,
+    capacity: int = 4096,
+    index_path: str | None = None,
+    key: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    ``directory_bits`` bounds the directory, and so what is broadcast, to 2**bits slots of 20
-    bytes; beyond it buckets just hold more than ``capacity`` keys. The index is written to
-    ``index_path``, by default a new folder in the shared one.
+    A bucket holds ``capacity`` keys, or more where there would be more than a few buckets for
+    each task; so the directory, which goes to every task, grows with the number of tasks and not
+    with the texts. The index is written to ``index_path``, by default a new folder in the shared
+    one. ``key`` gives the hash of a text.
     """
     spark = docs.sparkSession
     index_path = index_path or scratch(spark, "exact-index")
-    texts = docs.select(F.col("doc_id"), normalised().alias("content")).withColumn("key", F.xxhash64("content"))
-
-    # One entry per distinct text: the bytes are compared here.
-    entries = (
-        texts.groupBy("key", "content")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    content = normalised()
+    sha256 = F.sha2(F.col("content").cast("binary"), 256)
+    named = docs.select("doc_id", content.alias("content")).withColumn("key", key(F.col("content")))
+    rows = staged(
+        named.select("doc_id", "key", sha256.alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "exact-rows"
     )
-    entries_path = scratch(spark, "exact-entries")
-    entries.write.parquet(entries_path)
-    entries = spark.read.schema(entries.schema).parquet(entries_path)
-
-    histogram = entries.groupBy(_leading(F.col("key"), directory_bits).alias("prefix")).agg(
-        F.count_distinct("key").alias("keys")
-    )
-    # At most 2**directory_bits rows, whatever the input.
-    counts = {row["prefix"]: row["keys"] for row in histogram.collect()}
-    depth, slots = grow_directory(counts, directory_bits, capacity)
-    directory = F.broadcast(spark.createDataFrame(slots, DIRECTORY))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    depth, slots = _directory(rows, capacity, tasks)
 
     def with_bucket(df: DataFrame) -> DataFrame:
-        return df.withColumn("slot", _leading(F.col("key"), depth)).join(directory, "slot").drop("slot", "depth")
-
-    by_key = Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")
-    same_name = Window.partitionBy("bucket", "key", "text_sha256")
-    clash = F.lit("two different texts share a 64-bit key and a SHA-256")
-    index = (
-        with_bucket(entries)
-        .repartitionByRange(F.col("bucket"), F.col("key"))
-        .withColumn("link", F.row_number().over(by_key))
-        .withColumn("namesakes", F.count(F.lit(1)).over(same_name))
-        .withColumn("link", F.when(F.col("namesakes") > 1, F.raise_error(clash).cast("int")).otherwise(F.col("link")))
-        .drop("namesakes")
+        directory = F.broadcast(slots.select("slot", "bucket"))
+        return df.withColumn("slot", _leading(F.col("key"), depth)).join(directory, "slot").drop("slot")
+
+    # Copies collapse where they are read, once per lane.
+    lane = F.pmod(F.spark_partition_id(), F.lit(_LANES)).alias("lane")
+    lanes = named.groupBy(lane, "key", "content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+
+    # The owner of a bucket compares bytes along the chains of its keys.
+    chain = Window.partitionBy("bucket", "key").orderBy("content")
+    differs = F.col("content") != F.lag("content").over(chain)
+    owned = with_bucket(lanes).repartition(tasks, "bucket").withColumn("differs", F.coalesce(differs, F.lit(True)))
+    linked = owned.withColumn("link", F.sum(F.col("differs").cast("int")).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    links = linked.groupBy("bucket", "key", "link").agg(
+        F.min("least").alias("keep_id"),
+        F.sum("n").alias("group_size"),
+        F.max(F.when(F.col("differs"), sha256)).alias("text_sha256"),
     )
+    same_name = Window.partitionBy("bucket", "key").orderBy("text_sha256")
+    clash = F.lit("two different texts share a 64-bit key and a SHA-256")
+    unique = F.when(
+        F.col("text_sha256") == F.lag("text_sha256").over(same_name), F.raise_error(clash).cast("string")
+    ).otherwise(F.col("text_sha256"))
+    index = links.select("bucket", "key", "link", unique.alias("text_sha256"), "keep_id", "group_size")
     index.write.parquet(index_path)
     index = spark.read.schema(index.schema).parquet(index_path)
 
-    # Rows repeating an id and a text are told apart by an ordinal.
-    probes = (
-        texts.select("doc_id", "key", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"))
-        .groupBy("doc_id", "key", "text_sha256")
-        .agg(F.count(F.lit(1)).alias("repeats"))
-        .withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
-    )
-    found = with_bucket(probes).join(index.drop("link"), ["bucket", "key", "text_sha256"])
-    return found.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("ordinal") == 1)).alias("kept"),
-        "text_sha256",
-    )
+    # Of rows that repeat the smallest id and the text, one stays.
+    names = ["key", "text_sha256"]
+    last = F.expr("CAST('9223372036854775808' AS DECIMAL(20, 0))")
+    by_id = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), last)
+    first = rows.groupBy(*names).agg(F.min_by("row", by_id).alias("kept_row"), F.count(F.lit(1)).alias("n_rows"))
+    first = staged(first, "exact-first")
+    entries = staged(index.select(*names, "keep_id", "group_size").join(first.drop("n_rows"), names), "exact-entries")
+    found = join_by_key(rows, entries, names, first.select(*names, "n_rows"))
+    kept = F.col("row") == F.col("kept_row")
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:

@@ -9,7 +9,8 @@ version and is the only one run again; old findings stay for the record.
 
 Spans are code-point ranges, end exclusive; matches of one kind are leftmost and do not overlap.
 They come from splitting the text at the matches: the lengths of gaps and matches add up to the
-positions.
+positions. A blob that many rows hold does not gather them: such blobs are few, and what was found in
+them goes to the rows.
 
 Odd cases: a null text is the empty text and has no spans; ids may be null or repeat, every row
 gets its row; an empty table gives an empty result and leaves an empty ledger; further columns
@@ -25,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dwelltrace.llm.common import scratch, whole_text
+from dwelltrace.llm.common import join_by_key, scratch, staged, whole_text
 
 
 @dataclass(frozen=True)
@@ -169,15 +170,17 @@ def scan_secrets(
         raise ValueError("rules of one scan must have different kinds")
     ledger_path = ledger_path or scratch(docs.sparkSession, "blob-ledger")
     update_ledger(docs, ledger_path, rules)
-    ledger = read_ledger(docs.sparkSession, ledger_path)
+    spark = docs.sparkSession
+    ledger = read_ledger(spark, ledger_path)
     per_rule = [_spans_of(rule, place) for place, rule in enumerate(rules)]
     found = (
         ledger.select("blob", F.concat(*per_rule).alias("part"))
         .groupBy("blob")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("part")))).alias("found"))
     )
-    paths = docs.select("doc_id", F.sha2(whole_text().cast("binary"), 256).alias("blob"))
-    return paths.join(found, "blob").select("doc_id", "blob", "found")
+    found = staged(found, "found-secrets")
+    paths = staged(docs.select("doc_id", F.sha2(whole_text().cast("binary"), 256).alias("blob")), "blob-paths")
+    return join_by_key(paths, found, ["blob"]).select("doc_id", "blob", "found")
 
 
 def _listed(spans: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwelltrace.llm.blocks import in_slices
-from dwelltrace.llm.common import staged
+from dwelltrace.llm.common import join_by_key, staged
 from dwelltrace.llm.components import connected_components
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -257,7 +257,8 @@ def near_groups(docs: DataFrame, *, radius: int = 4, blocks: int = 6) -> DataFra
     named = classes.join(component, classes["rep"] == component["node"], "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(named, prints["fp"] == named["class_fp"]).select("doc_id", "fp", "component_id")
+    named = staged(named.withColumnRenamed("class_fp", "fp"), "named-classes")
+    return join_by_key(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -35,7 +35,7 @@ _NEAR = 1e-9
 _LANDING = 12  # units of the last block that are kept for the landing
 _OPEN = 6  # units that a block leaves open
 _FEW_SOURCES = 10_000
-_UNIT = "place long, doc_id long, size long, p double"
+_UNIT = "place long, doc_id long, size long, hash long, tie long, p double"
 
 
 def weighted_targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -105,10 +105,10 @@ def fly(p: list[float], sizes: list[int], rng: np.random.Generator, land: bool)
 
 def _flight(level: int, land: bool):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size", "p"], kind="stable")
+        pdf = pdf.sort_values(["order", "doc_id", "size", "hash", "tie", "p"], kind="stable")
         p = pdf["p"].tolist()
         fly(p, pdf["size"].tolist(), np.random.default_rng([5, level, int(key[0]), int(key[1])]), land)
-        return pdf.assign(p=p)[["place", "doc_id", "size", "p"]]
+        return pdf.assign(p=p)[["place", "doc_id", "size", "hash", "tie", "p"]]
 
     return run
 
@@ -122,14 +122,24 @@ def _beside(table: DataFrame, rows: int) -> DataFrame:
 def mix_sources(
     docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, block: int = 4096
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``, and
+    ``hash`` of the text.
 
     ``weights`` go round the sources in code-point order, null last; ``cap`` bounds a source's
     target and a document's copies; ``block`` is the number of units that fly together.
     """
     spark = docs.sparkSession
-    size = n_words(whole_text()).alias("size")
-    sized = staged(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size), "sizes")
+    sized = staged(
+        docs.select(
+            F.col("doc_id").cast("long"),
+            F.col("source").cast("string"),
+            n_words(whole_text()).alias("size"),
+            F.xxhash64(whole_text()).alias("hash"),
+            # Rows without an id and of one text are exchangeable, but must not all meet.
+            F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0).alias("tie"),
+        ),
+        "sizes",
+    )
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
     totals.sort(key=lambda row: (row["source"] is None, row["source"] or ""))
     sizes = [row["size"] for row in totals]
@@ -146,7 +156,7 @@ def mix_sources(
 
     sources = _beside(sources, len(rows))
     units = sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
-    open_units = units.select("place", "doc_id", "size", F.col("rate").alias("p"))
+    open_units = units.select("place", "doc_id", "size", "hash", "tie", F.col("rate").alias("p"))
     decided = None
     level = 0
     while True:
@@ -154,7 +164,7 @@ def mix_sources(
         blocks = {place: math.ceil(n / block) for place, n in blocks.items()}
         land = max(blocks.values(), default=1) <= 1
         counts = _beside(spark.createDataFrame(list(blocks.items()), "place long, n long"), len(blocks))
-        order = F.xxhash64(F.lit(level), "place", "doc_id", "size")
+        order = F.xxhash64(F.lit(level), "place", F.coalesce("doc_id", F.xxhash64("hash", "tie")), "size")
         dealt = (
             open_units.join(counts, "place")
             .withColumn("order", order)
@@ -179,6 +189,7 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        "hash",
     )
 
 
@@ -186,16 +197,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with its own columns only."""
     copies = (
         mix_sources(docs, **options)
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("__copies"))
+        .groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__of"))
+        .agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
     )
-    # Rows that repeat an id meet in one task of the join; sizes pair them with their copies.
-    nth = Window.partitionBy("doc_id").orderBy("__size")
+    # Only rows that repeat an id and a text meet in one task; they share out their copies.
+    nth = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(0))
     taken = (
-        docs.withColumn("__size", n_words(whole_text()))
-        .join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+        docs.withColumn("__hash", F.xxhash64(whole_text()))
+        .join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")))
         .withColumn("__nth", F.row_number().over(nth))
-        .withColumn("__taken", F.element_at("__copies", F.col("__nth"))["copies"])
+        .withColumn("__taken", F.element_at("__copies", F.col("__nth")))
         .filter(F.col("__taken") > 0)
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__taken"))))
     )

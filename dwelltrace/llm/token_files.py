@@ -252,8 +252,10 @@ def write_token_files(
         ]
     )
     (
-        texts.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        texts.withColumns({"hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+        .repartitionByRange("doc_id", "hash", "tie")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .select("doc_id", "text")
         .mapInArrow(shards, _SHARDS)
         .write.option("compression", "uncompressed")  # the payload is compressed
         .parquet(f"{path}/shards")

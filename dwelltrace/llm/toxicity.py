@@ -141,7 +141,7 @@ class LexiconAutomaton:
         for letter in word:
             known = self._steps[state]
             if letter not in known:
-                if len(self._sets) > 50_000:  # the states are a cache
+                if len(self._sets) > 20_000:  # the states are a cache
                     self._states.clear(), self._sets.clear(), self._steps.clear()
                     self._results.clear(), self._stems.clear()
                     self._start = self._state({0: 0})
@@ -395,14 +395,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value.terms)
-        for batch in in_slices(batches, 256):
-            *columns, texts = batch.columns
-            scores = _scores(shared.value, texts.to_pylist(), reader)
-            clean = pa.array([score < threshold for score in scores], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(clean)
+        for batch in in_slices(batches, 128):
+            scores = _scores(shared.value, batch.column(place).to_pylist(), reader)
+            yield batch.filter(pa.array([score < threshold for score in scores], pa.bool_()))
 
-    own = [F.col(f"`{c}`") for c in names]
-    return docs.select(*own, F.col("text").cast("string").alias("__whole_text")).mapInArrow(run, docs.schema)
+    place = names.index("text")  # a string, as in the table of documents
+    return docs.mapInArrow(run, docs.schema)
 
 
 def is_held_out(doc_id: Column) -> Column:

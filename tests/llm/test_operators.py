@@ -25,7 +25,7 @@ from dwelltrace.llm import (
     toxicity,
     weak_labels,
 )
-from dwelltrace.llm.common import scratch
+from dwelltrace.llm.common import join_by_key, lowest_hashes, scratch, staged
 from dwelltrace.llm.pretokens import PieceTable
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -151,7 +151,7 @@ def test_repeated_spans_of_odd_rows(nothing, no_ids):
 
 def test_token_files(spark, documents, texts):
     path = scratch(spark, "test-tokens")
-    token_files.write_token_files(documents, path, JSON, pattern=public_tokenizers.PATTERN, shard_bytes=1_000)
+    token_files.write_token_files(documents, path, JSON, pattern=public_tokenizers.PATTERN, added_tokens=True, shard_bytes=1_000)
     read = token_files.read_token_files(spark, path)
     got = by_id(read, "start", (F.length("ids") / 4).cast("int"), F.crc32("ids"))
     assert got == brute.token_file(texts)
@@ -211,6 +211,25 @@ def test_rules_are_found_in_order_and_pruned():
     assert decision_list.learn_rules(table, np.zeros(600, bool)) == []
 
 
+@pytest.mark.parametrize("n, rows", [(50, 40), (50, 400), (200, 5000), (3, 5000)])
+def test_lowest_hashes_are_those_of_a_whole_sort(spark, n, rows):
+    df = spark.range(rows).select((F.col("id") % (rows // 2 + 1)).alias("k"), "id")
+    expected = df.orderBy(F.xxhash64("k"), "k", "id").limit(n).collect()
+    assert lowest_hashes(df, n, "k", "id").collect() == expected
+    one = df.withColumn("k", F.lit(7))
+    assert lowest_hashes(one, n, "k", "id").count() == min(n, rows)
+
+
+def test_rows_of_hot_keys_stay_where_they_are(spark):
+    rows = staged(spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id")).alias("k"), "id"), "t")
+    table = staged(spark.range(-5, 40_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "t")
+    met = join_by_key(rows, table, ["k"])
+    assert sorted(met.collect()) == sorted(rows.join(table, "k").collect())
+    largest = met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 20_000
+    assert join_by_key(rows.filter("k < 0"), table, ["k"]).count() == 0
+
+
 def test_judged_quality(spark, documents, texts):
     labels = spark.createDataFrame([(d, int("***" not in t and len(t) > 20), 0) for d, t in texts.items()], "doc_id long, quality int, toxic int")
     out = by_id(decision_list.judge_quality(documents, labels), "n_words", "n_repeat_words", "base_failed", "rule", "kept")
@@ -304,7 +323,9 @@ def test_mix_of_odd_rows(documents, nothing, no_ids):
 def test_exact_groups(documents, rows):
     groups = brute.exact_groups([(d, t) for d, t, _ in rows])
     expected = {d: (min(ids), len(ids), d == min(ids), brute.sha(text)) for text, ids in groups.items() for d in ids}
-    for options in ({}, {"capacity": 2, "directory_bits": 5}):
+    few = lambda text: F.pmod(F.xxhash64(text), F.lit(3))  # all chains are long
+    crowded = lambda text: F.shiftleft(F.pmod(F.xxhash64(text), F.lit(20)), 40)
+    for options in ({}, {"capacity": 2}, {"key": few}, {"capacity": 1, "key": crowded}):
         assert by_id(exact_dedup.exact_groups(documents, **options), "keep_id", "group_size", "kept", "text_sha256") == expected
     stays = exact_dedup.drop_exact_copies(documents)
     assert stays.columns == documents.columns
@@ -320,6 +341,31 @@ def test_directory_doubles_where_keys_crowd():
     assert exact_dedup.grow_directory({3: 100}, 2, 5)[0] == 2  # equal keys cannot be split
 
 
+def test_the_index_holds_what_owners_decided(spark, documents, rows, tmp_path):
+    path = str(tmp_path / "index")
+    out = exact_dedup.exact_groups(documents, capacity=2, index_path=path, key=lambda text: F.pmod(F.length(text), F.lit(7)).cast("long"))
+    groups = brute.exact_groups([(d, t) for d, t, _ in rows])
+    assert out.count() == len(rows)
+    index = spark.read.parquet(path)
+    assert sorted((r.text_sha256, r.keep_id, r.group_size) for r in index.collect()) == sorted(
+        (brute.sha(text), min(ids), len(ids)) for text, ids in groups.items()
+    )
+    chains = index.groupBy("bucket", "key").agg(F.sort_array(F.collect_list("link")).alias("links")).collect()
+    assert all(r.links == list(range(1, len(r.links) + 1)) for r in chains) and max(len(r.links) for r in chains) > 3
+
+
+def test_a_crowd_of_copies_does_not_meet(spark):
+    texts = [(i if i % 3 else None, "the same text" if i % 2 else f"text {i % 400}") for i in range(6000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(13)
+    out = exact_dedup.exact_groups(docs)
+    groups = brute.exact_groups(texts)
+    expected = Counter(
+        (d, min((i for i in ids if i is not None), default=None), len(ids), brute.sha(t)) for t, ids in groups.items() for d in ids
+    )
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out.collect()) == expected
+    assert out.filter("kept").count() == len(groups)
+
+
 def test_exact_groups_of_odd_rows(nothing, no_ids):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert exact_dedup.drop_exact_copies(nothing).count() == 0
