@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,20 +74,34 @@ def grow_directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[in
 
 
 # Buckets per task that owns some; a directory has some times as many slots as there are tasks.
-_BUCKETS_PER_TASK = 4
+_BUCKETS_PER_TASK = 16
+# What an owner should get, at most, of the bytes of all texts.
+_OWNED_BYTES = 64 << 20
 
 
-def _directory(keys: DataFrame, capacity: int, tasks: int) -> tuple[int, DataFrame]:
-    """The directory for the distinct values of ``key``: its depth, and bucket by slot."""
+def _directory(keys: DataFrame, capacity: int, tasks: int) -> tuple[int, int, DataFrame]:
+    """The directory for the distinct values of ``key``: its depth, how many owners there are, and
+    by slot the bucket and its owner. Owners have ranges of buckets, of about as many keys each."""
     spark = keys.sparkSession
-    n = keys.select(F.approx_count_distinct("key")).first()[0]
-    capacity = max(capacity, n // (_BUCKETS_PER_TASK * tasks))
+    n, size = keys.agg(F.approx_count_distinct("key"), F.sum("bytes")).first()
+    owners = max(tasks, (size or 0) // _OWNED_BYTES)
+    capacity = max(capacity, n // (_BUCKETS_PER_TASK * owners))
     # Finer than the buckets will be; hashed keys fill prefixes evenly.
     bits = min(63, max(1, (n // capacity).bit_length() + 3))
     histogram = keys.groupBy(_leading(F.col("key"), bits).alias("prefix")).agg(F.count_distinct("key").alias("keys"))
     # Some dozen rows per task.
-    depth, slots = grow_directory({row["prefix"]: row["keys"] for row in histogram.collect()}, bits, capacity)
-    return depth, spark.createDataFrame(slots, DIRECTORY)
+    counts = {row["prefix"]: row["keys"] for row in histogram.collect()}
+    depth, slots = grow_directory(counts, bits, capacity)
+    held = dict.fromkeys(sorted({bucket for _, bucket, _ in slots}), 0)
+    firsts = list(held)
+    for prefix, keys_there in counts.items():
+        held[firsts[bisect_right(firsts, prefix) - 1]] += keys_there
+    total, before, owner = max(1, sum(held.values())), 0, {}
+    for bucket, keys_there in held.items():
+        owner[bucket] = min(owners - 1, owners * (2 * before + keys_there) // (2 * total))
+        before += keys_there
+    schema = T.StructType([*DIRECTORY.fields, T.StructField("owner", T.IntegerType(), False)])
+    return depth, owners, spark.createDataFrame([(*slot, owner[slot[1]]) for slot in slots], schema)
 
 
 _LANES = 8
@@ -112,30 +127,35 @@ def exact_groups(
     sha256 = F.sha2(F.col("content").cast("binary"), 256)
     named = docs.select("doc_id", content.alias("content")).withColumn("key", key(F.col("content")))
     rows = staged(
-        named.select("doc_id", "key", sha256.alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "exact-rows"
+        named.select(
+            "doc_id",
+            "key",
+            sha256.alias("text_sha256"),
+            F.octet_length("content").cast("long").alias("bytes"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "exact-rows",
     )
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    depth, slots = _directory(rows, capacity, tasks)
-
-    def with_bucket(df: DataFrame) -> DataFrame:
-        directory = F.broadcast(slots.select("slot", "bucket"))
-        return df.withColumn("slot", _leading(F.col("key"), depth)).join(directory, "slot").drop("slot")
+    depth, owners, slots = _directory(rows, capacity, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    directory = F.broadcast(slots.select("slot", "bucket", "owner"))
 
     # Copies collapse where they are read, once per lane.
     lane = F.pmod(F.spark_partition_id(), F.lit(_LANES)).alias("lane")
     lanes = named.groupBy(lane, "key", "content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
 
     # The owner of a bucket compares bytes along the chains of its keys.
-    chain = Window.partitionBy("bucket", "key").orderBy("content")
+    chain = Window.partitionBy("owner", "bucket", "key").orderBy("content")
     differs = F.col("content") != F.lag("content").over(chain)
-    owned = with_bucket(lanes).repartition(tasks, "bucket").withColumn("differs", F.coalesce(differs, F.lit(True)))
-    linked = owned.withColumn("link", F.sum(F.col("differs").cast("int")).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
-    links = linked.groupBy("bucket", "key", "link").agg(
+    dealt = lanes.withColumn("slot", _leading(F.col("key"), depth)).join(directory, "slot").drop("slot")
+    owned = dealt.repartitionById(owners, F.col("owner"))
+    linked = owned.withColumn("differs", F.coalesce(differs, F.lit(True)))
+    linked = linked.withColumn("link", F.sum(F.col("differs").cast("int")).over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    links = linked.groupBy("owner", "bucket", "key", "link").agg(
         F.min("least").alias("keep_id"),
         F.sum("n").alias("group_size"),
         F.max(F.when(F.col("differs"), sha256)).alias("text_sha256"),
     )
-    same_name = Window.partitionBy("bucket", "key").orderBy("text_sha256")
+    same_name = Window.partitionBy("owner", "bucket", "key").orderBy("text_sha256")
     clash = F.lit("two different texts share a 64-bit key and a SHA-256")
     unique = F.when(
         F.col("text_sha256") == F.lag("text_sha256").over(same_name), F.raise_error(clash).cast("string")
@@ -151,7 +171,7 @@ def exact_groups(
     first = rows.groupBy(*names).agg(F.min_by("row", by_id).alias("kept_row"), F.count(F.lit(1)).alias("n_rows"))
     first = staged(first, "exact-first")
     entries = staged(index.select(*names, "keep_id", "group_size").join(first.drop("n_rows"), names), "exact-entries")
-    found = join_by_key(rows, entries, names, first.select(*names, "n_rows"))
+    found = join_by_key(rows.drop("bytes"), entries, names, first.select(*names, "n_rows"))
     kept = F.col("row") == F.col("kept_row")
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
