@@ -164,6 +164,25 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+# -- parts of the operators above that SQL can express ---------------------------------------
+
+
+def base_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules are learned on, and their fixed part."""
+    return op4_quality_rules(spark, sf_dir).drop("rule", "kept")
+
+
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents and of their sources, and whether a document is taken within its bound."""
+    mix = op5_source_mix(spark, sf_dir)
+    return mix.select("doc_id", "source", "size", "source_size", (F.col("taken") <= 3 * F.col("size")).alias("bounded"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many secrets of each base kind a document holds."""
+    return op8_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -180,6 +199,9 @@ QUERIES: dict[str, Query] = {
         op11_periodic_runs,
         op12_sharding,
         op13_spelling_variants,
+        base_text_statistics,
+        mix_sizes,
+        secret_base_counts,
     )
 }
 
@@ -194,5 +216,42 @@ WITH t AS (
   FROM t
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""",
+    "base_text_statistics": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), triples AS (
+  SELECT doc_id, i, words[i:i + 2] AS triple FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM t)
+), again AS (
+  SELECT doc_id, i FROM triples QUALIFY count(*) OVER (PARTITION BY doc_id, triple) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM again) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), s AS (
+  SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+""",
+    "mix_sizes": r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+)
+SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size, true AS bounded FROM s
+""",
+    "secret_base_counts": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(text,
+    '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM t
 """,
 }

@@ -26,7 +26,8 @@ def rows(df):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 14))
+    numbers = [int(name[2:].split("_")[0]) for name in registry.QUERIES if name[:2] == "op"]
+    assert sorted(numbers) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
