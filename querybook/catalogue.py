@@ -518,6 +518,16 @@ _rules("rule_chain", CHAIN, CHAIN_STEPS)
 RULED_ACTIVE = sql.from_active(f"SELECT {sql.ACTIVE_COLUMNS} FROM t{len(CHAIN_STEPS)}", *CHAIN_STEPS)
 
 
+# So many patterns that they are tried once per value; those of the chain come last.
+_MANY = [when(pattern(name, f"no such {name} {k}"), {"addTag": f"none{k}"}) for k in range(40) for name in ("name", "processPath")]
+
+
+@register(RULED_ACTIVE)
+def rules_by_value(spark, sf_dir):
+    """The chain after many rules that never fire, patterns tried once per distinct value."""
+    return flat(dt.apply_rules_by_value(active(spark, sf_dir), table_rules(*_MANY, *CHAIN)))
+
+
 # -- sinks --------------------------------------------------------------------------------
 
 

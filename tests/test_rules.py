@@ -1,6 +1,7 @@
 """Rule semantics: single cases, and random rule lists against a row-by-row reading of them."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -315,3 +316,33 @@ def test_hundreds_of_rules_stay_within_the_optimizer(spark):
     assert (row["tags"], row["ignore"]) == (["t"], True)
     deletes = [R.Rule(p, (R.Delete(),)) for p in match]
     assert dwelltrace.apply_rules(table(spark, event(name="x7y"), event(name="a")), deletes, R.LIVE_RULES).count() == 1
+
+
+# -- patterns tried once per value -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("most_values", [100_000, 2, -1])
+def test_rules_by_value_equal_rules_by_row(spark, monkeypatch, most_values):
+    """Attributes with nulls, patterns before and after a rule that writes what they search."""
+    rows = [(i, n, p) for i, (n, p) in enumerate((n, p) for n in ["ab", "b", None, "", "x y"] for p in ["/a", None, "/b/a"])]
+    df = spark.createDataFrame(rows, "id int, name string, processPath string")
+    df = df.withColumns({"category": F.lit(None).cast("string"), "ignore": F.lit(False), "tags": F.array().cast("array<string>")})
+    rng = random.Random(7)
+    rules = []
+    for k in range(90):
+        search = R.AttributeRegex(rng.choice(["name", "processPath", "category"]), rng.choice("abxy/ ") + rng.choice(["", "$", "?b", ".*"]))
+        predicate = rng.choice([search, R.Not(search), R.And((search, R.Not(R.HasTag("t3")))), R.Or((R.Not(search), R.HasTag("t5")))])
+        action = R.SetAttribute(rng.choice(["name", "category"]), rng.choice(["ab", "y"])) if k > 60 and k % 9 == 0 else R.AddTag(f"t{k % 11}")
+        rules.append(R.Rule(predicate, (action,)))
+    monkeypatch.setattr(R, "_MANY_SEARCHES", 3)
+    by_value = R.apply_rules_by_value(df, rules, most_values=most_values)
+    assert by_value.columns == df.columns
+    assert sorted(by_value.collect()) == sorted(R.apply_rules(df, rules).collect())
+    joined = "BroadcastHashJoin" in by_value._jdf.queryExecution().executedPlan().toString()
+    assert joined == (most_values > 0)
+
+
+def test_few_patterns_are_tried_by_row(spark):
+    df = spark.createDataFrame([("a", False, [])], "name string, ignore boolean, tags array<string>")
+    plan = R.apply_rules_by_value(df, [R.Rule(R.AttributeRegex("name", "a+b"), (R.Ignore(),))])
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
