@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 import dwelltrace as dt
 from dwelltrace.operators import rules as R
-from dwelltrace.plans.workspace import shared_folder
+from dwelltrace.plans.workspace import materialize, shared_folder
 from dwelltrace.sinks.lines import write_lines
 from querybook import catalogue
-from querybook.derive import log_root
+from querybook.derive import log_root, write_wave
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -81,6 +81,17 @@ def main() -> None:
         return folder
 
     many = many_files()
+    # The derived log twenty times over, as a table that is cheap to read twice.
+    staged, _ = materialize(scan().crossJoin(F.broadcast(spark.range(20))).drop("id"), "bench-staged")
+    update_root, update_out = shared_folder(spark, "bench-logs"), shared_folder(spark, "bench-versions")
+    for wave in (0, 1):
+        write_wave(spark, SF_DIR, wave, f"{update_root}/wave-{wave}")
+    update = catalogue._configured(update_root, update_out, rule_list(10))
+    dt.run_incremental(spark, update)
+
+    def one_wave_changed() -> None:
+        write_wave(spark, SF_DIR, 1, f"{update_root}/wave-1")
+        dt.run_incremental(spark, update)
 
     def parquet():
         dt.write_table(scan(), shared_folder(spark, "bench"), "parquet")
@@ -99,6 +110,10 @@ def main() -> None:
             spark, log_root(spark, SF_DIR, "mixed"), shared_folder(spark, "bench"), upgrade=True
         ),
         "run_direct": lambda: drain(catalogue.run_active_output(spark, SF_DIR)),
+        "rules_500_of_2m": lambda: drain(dt.apply_rules(staged, rule_list(500))),
+        "rules_500_of_2m_by_value": lambda: drain(dt.apply_rules_by_value(staged, rule_list(500))),
+        "update_nothing_new": lambda: dt.run_incremental(spark, update),
+        "update_half_rewritten": one_wave_changed,
         "run_csv": lambda: drain(catalogue.run_unlock_output_csv(spark, SF_DIR)),
     }
     seconds = {}
