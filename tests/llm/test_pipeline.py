@@ -85,6 +85,20 @@ def test_learned_queries(spark, texts):
     assert (out.groupby("source")["taken"].sum() - out.groupby("source")["target"].first()).abs().max() < 30
 
 
+@pytest.mark.parametrize("name", ["nothing", "no_ids", "documents"])
+def test_pipeline_on_odd_tables(spark, request, tmp_path, name):
+    """Empty tables, rows without ids or with repeated ones, columns with the names of the operators' own."""
+    docs = request.getfixturevalue(name)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [] if name == "nothing" else [(1, 1, 0), (None, 0, 1), (4, None, None), (7, 0, 1), (7, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = {r.doc_id for r in out.collect()}
+    assert ids <= {r.doc_id for r in docs.select("doc_id").collect()}
+    assert bool(ids) == (name != "nothing")
+    assert registry.op1_quality_classifier(spark, str(tmp_path)).count() == docs.count()
+
+
 def test_stages(spark, texts):
     """Each stage against brute force on what its predecessor kept."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
