@@ -18,7 +18,9 @@ dialect it was written for. Spark matches with ``java.util.regex``, which differ
   automata) it stays recursive and needs a thread stack that fits the longest value
   (``cluster_settings``);
 * a search there tries every start anew, so a loop at the start of a pattern takes quadratic time.
-  Rules only ask whether there is a match: a loop at either end is cut to its fewest rounds.
+  Rules only ask whether there is a match: a loop at either end is cut to its fewest rounds. What
+  is then a plain word is a substring test, and a pattern of bounded length that ends at the end of
+  the value only gets to see so much of it.
 
 ``to_java`` rewrites one pattern, once, on the driver when a rule file is loaded. What it
 returns is a literal inside a built-in ``rlike``; no Python runs per row.
@@ -230,10 +232,48 @@ def _deterministic(pieces: list[_Piece]) -> str:
             continue
         # The text is free of flags; those set on the way hold for later alternatives.
         flags = "".join(piece.text for piece in pieces[begin:] if piece.silent)
-        return f"{_java(pieces[:begin], False)}(?U-i:{made}){flags}"
+        # Java tries one start only where a pattern itself begins with \\A.
+        edge = r"\A" if made.startswith(r"\A") else ""
+        return f"{_java(pieces[:begin], False)}{edge}(?U-i:{made.removeprefix(edge)}){flags}"
     return text
 
 
+def _longest(pattern: Pattern | None) -> int | None:
+    """The most characters of a match that depends on nothing before it, if they are bounded."""
+    match pattern:
+        case Known() | Named():
+            return 1
+        case Edge(end):
+            return 0 if end else None
+        case Sequence(parts) | Choice(parts):
+            lengths = [_longest(part) for part in parts]
+            if None in lengths:
+                return None
+            return sum(lengths) if isinstance(pattern, Sequence) else max(lengths)
+        case Repeat(part, _, most):
+            length = _longest(part)
+            return None if most is None or length is None else most * length
+    return None
+
+
+def _word(pieces: list[_Piece]) -> str | None:
+    """The text that a whole alternative stands for, if there is only one."""
+    parts = [piece.pattern for piece in pieces if not piece.silent]
+    if any(piece.repetition for piece in pieces) or not all(isinstance(part, Known) for part in parts):
+        return None
+    if not parts or any(len(part.spans) != 1 or part.spans[0][0] != part.spans[0][1] for part in parts):
+        return None
+    word = "".join(chr(part.spans[0][0]) for part in parts)
+    # A regex finds this one in broken UTF-8 too.
+    return None if "\ufffd" in word else word
+
+
+def _tail(pieces: list[_Piece]) -> int | None:
+    """The most characters of a whole alternative that ends at the end of the value only."""
+    parts = [piece.whole() for piece in pieces if not piece.silent]
+    return _longest(Sequence(tuple(parts))) if parts and parts[-1] == Edge(end=True) else None
+
+
 def _looks_back(pattern: Pattern) -> bool:
     match pattern:
         case Edge(end):
@@ -265,6 +305,9 @@ class _Rewriter:
         # The characters of the class read last, if it lists them, and its spans, if it has such.
         self.listed: set[str] | None = None
         self.spans: list[tuple[int, int]] | None = None
+        # Of the whole pattern: the word it is, and how many characters at the end decide.
+        self.word: str | None = None
+        self.tail: int | None = None
 
     # -- reading ---------------------------------------------------------------------
 
@@ -333,8 +376,7 @@ class _Rewriter:
             choices[-1].append(self.atom(flags, depth))
             repeatable = True
 
-    @staticmethod
-    def body(choices: list[list[_Piece]], depth: int) -> _Piece:
+    def body(self, choices: list[list[_Piece]], depth: int) -> _Piece:
         if all(len(choice) == 1 and choice[0].member for choice in choices):
             members = [choice[0].member for choice in choices]
             firsts = [choice[0].first for choice in choices]
@@ -349,6 +391,9 @@ class _Rewriter:
             return _Piece(choices[0][0].text if len(members) == 1 else member, member, first, pattern=pattern)
         if depth == 0:
             choices = [_without_loops_at_ends(choice) for choice in choices]
+            self.word = _word(choices[0]) if len(choices) == 1 else None
+            tails = [_tail(choice) for choice in choices]
+            self.tail = None if None in tails else max(tails)
             return _Piece("|".join(map(_deterministic, choices)))
         text = "|".join(_java(choice, False) for choice in choices)
         sequences = [[piece.whole() for piece in choice] for choice in choices]
@@ -645,9 +690,15 @@ class _Rewriter:
 
 
 @lru_cache(maxsize=4096)
+def _rewritten(pattern: str) -> tuple[str, str | None, int | None]:
+    """The Java pattern, the word it is and how many characters at the end decide."""
+    rewriter = _Rewriter(pattern)
+    return rewriter.rewrite(), rewriter.word, rewriter.tail
+
+
 def to_java(pattern: str) -> str:
     """The Java pattern that finds what ``pattern`` finds; raises :class:`PatternError`."""
-    return _Rewriter(pattern).rewrite()
+    return _rewritten(pattern)[0]
 
 
 _PLAIN_WORD = re.compile(r"[^\\^$.|?*+()\[\]{}]+\Z")
@@ -661,7 +712,15 @@ def search(value: Column, pattern: str) -> Column:
     """
     if _PLAIN_WORD.match(pattern):
         return value.contains(F.lit(pattern))
-    return value.rlike(to_java(pattern))
+    java, word, tail = _rewritten(pattern)
+    if word is not None:
+        return value.contains(F.lit(word))
+    if tail is not None:
+        # Cut by bytes, so that no characters are counted. The cut may break one; there is room for
+        # it before the characters that count.
+        size = 4 * (tail + 1)
+        value = F.substring(value.cast("string").cast("binary"), -size, size).cast("string")
+    return value.rlike(java)
 
 
 def check_patterns(spark: SparkSession, patterns: Iterable[str]) -> None:

@@ -373,9 +373,14 @@ _LONG_SQL = {
     )
 )
 def regex_on_long_values(spark, sf_dir):
-    value = F.concat(F.repeat(F.coalesce("processPath", "name"), F.lit(1000)), F.lit("é"))
+    rows = active(spark, sf_dir).withColumn("short", F.coalesce("processPath", "name"))
+    # A value is made and searched once, however many rows have it. The shuffle behind the searches
+    # keeps them out of the join, which would repeat them for every row.
+    values = rows.select("short").distinct().withColumn("v", F.concat(F.repeat("short", F.lit(1000)), F.lit("é")))
     found = [three_valued(regex.search(F.col("v"), p), n) for n, p in _LONG_PATTERNS.items()]
-    return active(spark, sf_dir).withColumn("v", value).select("time", "hostname", *found)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = values.select(F.col("short").alias("searched"), *found).repartition(tasks)
+    return rows.join(values, F.col("short").eqNullSafe(F.col("searched"))).select("time", "hostname", *_LONG_PATTERNS)
 
 
 # -- rules over the unified table ---------------------------------------------------------

@@ -134,3 +134,8 @@ def test_sets():
     assert any_case(((0xDF, 0xDF),)) == ((0xDF, 0xDF), (0x1E9E, 0x1E9E))
     assert any_case(((0x131, 0x131),)) == ((0x131, 0x131),)
     assert any_case(((0, 0x10FFFF),)) is None
+
+
+def test_rounds_of_one_character_are_a_loop_of_their_own():
+    java = to_java(r"/(u|us|[^é])*é$")
+    assert java.startswith(r"\A(?U-i:") and r"(?>[^\x{E9}]*)" in java and "]*+" not in java

@@ -230,3 +230,26 @@ def test_rewritten_loops_find_what_plain_ones_find(spark):
     for row in rows:
         for i, p in enumerate(patterns):
             assert row[f"p{i}"] == (re.search(p, row.v) is not None), (p, row.v)
+
+
+def test_patterns_at_the_end_see_the_end_only(spark):
+    patterns = [r"(?:é|x)+$", r"[à-ï]{1}\z", r"(?:/u|[a-z]{2})+é$", r"a.?$|\W\z", r"(?i)K$", "$"]
+    texts = ["", "é", "x", "😀", "a😀", "😀é", "ab/ué", "a/é", "ſK", "aé\n", "bä" * 9]
+    broken = [b"\xe2\x82\xc3\xa9", b"\x80" * 9 + b"x", b"a\xf0\x9f", b"\xf0\x9f\x98\x80\xc3\xa9", b"\xff\xc3"]
+    values = [t.encode() for t in texts] + broken
+    df = spark.createDataFrame([(bytearray(v),) for v in values], "b binary").select(F.col("b").cast("string").alias("v"))
+    for p in patterns:
+        found = df.select(regex.search(F.col("v"), p).alias("ours"), F.col("v").rlike(regex.to_java(p)).alias("whole"))
+        assert "substring" in found._jdf.queryExecution().analyzed().toString()
+        assert all(row.ours == row.whole for row in found.collect()), p
+    assert df.select(regex.search(F.lit(None).cast("string"), "é$")).first()[0] is None
+
+
+def test_what_is_left_of_a_pattern_may_be_a_word(spark):
+    df = spark.createDataFrame([("aÿ",), ("a",), (None,)], "v string")
+    found = df.select(regex.search(F.col("v"), r"(?:a|[^b])*\xff"))
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [row[0] for row in found.collect()] == [True, False, None]
+    for pattern in (r"(?i)a*k", r"a*�", r"a*[xy]", "b{2}a*"):
+        plan = df.select(regex.search(F.col("v"), pattern))._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" in plan, pattern

@@ -62,3 +62,11 @@ def test_the_corpus_operators_may_be_absent(absent):
     assert done.returncode == 0, done.stderr
     count, chain, pipeline = done.stdout.split()
     assert int(count) >= len(QUERIES) and (chain, pipeline) == ("True", "False")
+
+
+def test_long_values_are_searched_once_each(spark):
+    """The searches run before the join, on distinct values."""
+    plan = queries()["regex_on_long_values"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    before, shuffle, after = plan.partition("Repartition ")
+    assert shuffle and "RLIKE" in after and "Aggregate" in after
+    assert "RLIKE" not in before and "Join" in before
