@@ -30,7 +30,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+import sys
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,8 @@ _SHARDS = (
     "offsets array<long>, payload binary, dictionary string, width int"
 )
 _TRAINED_IDS = 4096
-_KNOWN_PIECES = 500_000
-_AT_ONCE = 256  # documents whose new pieces are encoded in one call
+_KNOWN_PIECES = 1_000_000
+_AT_ONCE = 256  # documents between two looks at what is known
 
 # Tasks already fill the cores.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,11 +64,32 @@ def _any_of(strings: list[str]) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if strings else None
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level tokenizers have for every byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(byte) for byte in shown} | {byte: chr(256 + i) for i, byte in enumerate(others)}
+
+
+class _Matches(dict):
+    """Serialized ids by match of the tokenizer's own cut."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._ids_of = ids_of
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self[match] = self._ids_of(match)
+        return ids
+
+
 class IdEncoder:
     """Serialized ids of texts. What was met before is not encoded again.
 
     Texts are cut into pieces between blanks and, where ``pattern`` gives the tokenizer's own cut,
-    new pieces further into its matches; each distinct match goes through the tokenizer once.
+    new pieces further into its matches; each distinct match goes through the tokenizer once. A
+    byte-level tokenizer without a normalizer would only cut a match again, in vain, so its model
+    gets it at once.
     With ``added_tokens`` texts are first cut at the strings of the tokenizer's added tokens, as
     the tokenizer does; texts with tokens that look at what is beside them go through it whole.
     """
@@ -74,54 +97,59 @@ class IdEncoder:
     def __init__(self, tokenizer_json: str, pattern: str | None, added_tokens: bool = False) -> None:
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = not added_tokens
-        added = (json.loads(tokenizer_json).get("added_tokens") or []) if added_tokens else []
+        about = json.loads(tokenizer_json)
+        added = (about.get("added_tokens") or []) if added_tokens else []
         looks = [t["content"] for t in added if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
         plain = [t["content"] for t in added]
         self._looking, self._plain = map(_any_of, (looks, plain))
         self._added = set(plain)
-        self._width = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self._cut = regex.compile(pattern).findall if pattern else lambda piece: [piece]
-        self._new: list[str] = []
-        self._pieces: list[bytes] = []
-        self._table = PieceTable(self._number)
-        self._matches: dict[str, bytes] = {}
-
-    def _number(self, piece: str) -> int:
-        self._new.append(piece)
-        return len(self._pieces) + len(self._new) - 1
-
-    def _encode_new(self) -> None:
-        cuts = [[piece] if piece in self._added else self._cut(piece) for piece in self._new]
-        unknown = list({match for cut in cuts for match in cut} - self._matches.keys())
-        for match, encoding in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            self._matches[match] = np.array(encoding.ids, self._width).tobytes()
-        self._pieces += [b"".join([self._matches[match] for match in cut]) for cut in cuts]
-        self._new.clear()
-
-    def _values_of(self, text: str) -> list[int | bytes]:
-        """Numbers of pieces, or the ids of the whole text."""
+        self._kind = "H" if self._tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self._cut = regex.compile(pattern).findall if pattern else None
+        before = about.get("pre_tokenizer") or {}
+        bare = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not about.get("normalizer")
+        self._model, self._signs = self._tokenizer.model, _byte_signs()
+        self._table = PieceTable(self._of_piece)
+        self._matches = _Matches(self._of_match if pattern and bare else self._of_text)
+
+    def _serialized(self, ids: list[int]) -> bytes:
+        values = array(self._kind, ids)
+        if sys.byteorder == "big":
+            values.byteswap()
+        return values.tobytes()
+
+    def _of_text(self, text: str) -> bytes:
+        return self._serialized(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _of_match(self, match: str) -> bytes:
+        if match.isascii() and match.isprintable():
+            signs = match.replace(" ", self._signs[32])
+        else:
+            signs = match.encode().decode("latin-1").translate(self._signs)
+        return self._serialized([token.id for token in self._model.tokenize(signs)])
+
+    def _of_piece(self, piece: str) -> bytes:
+        if self._cut is None or piece in self._added:
+            return self._of_text(piece)
+        cut = self._cut(piece)
+        return self._matches[cut[0]] if len(cut) == 1 else b"".join([self._matches[match] for match in cut])
+
+    def _encoded(self, text: str) -> bytes:
         if self._looking and self._looking.search(text):
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-            return [np.array(ids, self._width).tobytes()]
+            return self._of_text(text)
         if not self._plain or not self._plain.search(text):
-            return self._table.values_of(text)
+            return b"".join(self._table.values_of(text))
         values = []
         for i, part in enumerate(self._plain.split(text)):
             values += [self._table.whole(part)] if i % 2 else self._table.values_of(part)
-        return values
+        return b"".join(values)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), _AT_ONCE):
-            if len(self._pieces) > _KNOWN_PIECES:
+            if self._table.size() > _KNOWN_PIECES:
                 self._table.clear()
-                self._pieces.clear()
                 self._matches.clear()
-            codes = [self._values_of(text or "") for text in texts[at : at + _AT_ONCE]]
-            self._encode_new()
-            for own in codes:
-                whole = own and isinstance(own[0], bytes)
-                out.append(own[0] if whole else b"".join(map(self._pieces.__getitem__, own)))
+            out += [self._encoded(text or "") for text in texts[at : at + _AT_ONCE]]
         return out
 
 

@@ -43,3 +43,19 @@ def test_tokens_that_look_beside_them():
         encoded = token_files.IdEncoder(text, public_tokenizers.PATTERN, True).encode(TEXTS)
         expected = [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
         assert [np.frombuffer(own, "<u2").tolist() for own in encoded] == expected, change
+
+
+def test_matches_go_to_the_model_once_each():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        text = file.read()
+    texts = ["", " ", "it's  12,5 é́ ’s", "\t a\n\n b \x00\x1c c", "😀 word word. word!", "çà là <|endoftext|> x", "ab" * 99]
+    library = Tokenizer.from_str(text)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = token_files.IdEncoder(text, public_tokenizers.PATTERN, True)
+    assert [np.frombuffer(own, "<u2").tolist() for own in encoder.encode(texts)] == expected
+    asked, model = [], encoder._model
+    encoder = token_files.IdEncoder(text, public_tokenizers.PATTERN)
+    encoder._tokenizer = None
+    encoder._model = type("Counted", (), {"tokenize": lambda self, signs: asked.append(signs) or model.tokenize(signs)})()
+    encoder.encode(["one two, one", "two. one two!", "one"] * 300)
+    assert len(asked) == len(set(asked))
